@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bpe, decontam, pii, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": simhash.op1_simhash}
+    return {
+        "op1_simhash": simhash.op1_simhash,
+        "op2_bpe": bpe.op2_bpe,
+        "op5_decontamination": decontam.op5_decontamination,
+        "op7_quality": quality.op7_quality,
+        "op8_pii": pii.op8_pii,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontamination": decontam.ORACLE_SQL}

@@ -1,8 +1,22 @@
-"""The corpus pipeline."""
+"""From raw documents to token ids, in five stages.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
+each stage's rows as Parquet to the shared folder and reads them again for the
+next. All but the last keep the columns of ``documents``.
+"""
+
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymill.llm import simhash
+from waymill.llm import bpe, decontam, pii, quality, simhash
+from waymill.llm.common import Scratch, table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier (operator 7): documents that it rejects go. It learns
+    from this stage's input and the labels of its training rows."""
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -10,12 +24,37 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination (operator 5): documents that hold a test item go."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """PII (operator 8): personal data is replaced by its kind."""
+    return pii.redact(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """BPE encoding and decoding (operator 2): counts and digests of the ids."""
+    return bpe.digests(bpe.encode_documents(docs, bpe.default_vocabulary()))
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("near_dedup", near_dedup),
+    ("decontamination", without_benchmark),
+    ("pii", without_personal_data),
+    ("bpe", token_ids),
+]
+
+#: SQL can express neither the trained classifier nor the tokens; tests/llm holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        new = scratch.keep(stage(spark, docs, sf_dir), name)
+        scratch.drop(docs)
+        docs = new
     return docs

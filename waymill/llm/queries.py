@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, pii, quality, simhash
+from . import bpe, decontam, langid, pii, quality, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op2_bpe": bpe.op2_bpe,
+        "op4_langid": langid.op4_langid,
         "op5_decontamination": decontam.op5_decontamination,
+        "op6_secrets": secrets.op6_secrets,
         "op7_quality": quality.op7_quality,
         "op8_pii": pii.op8_pii,
     }

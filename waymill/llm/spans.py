@@ -32,5 +32,6 @@ def joined(spans: Column | str) -> Column:
 def digests(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
     """(doc_id, n_<kind> of each base kind, base_sha256, spans) of (doc_id, spans)."""
     own = F.filter("spans", lambda x: x["kind"].isin(*base))
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    of = lambda k: F.filter("spans", lambda x: x["kind"] == k)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in base]
     return found.select("doc_id", *counts, F.sha2(joined(own).cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))

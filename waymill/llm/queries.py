@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, pii, quality, secrets, simhash
+from . import bpe, decontam, langid, neighbours, pii, quality, secrets, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,8 +18,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_secrets": secrets.op6_secrets,
         "op7_quality": quality.op7_quality,
         "op8_pii": pii.op8_pii,
+        "op9_warc": warc.op9_warc,
+        "op10_neighbours": neighbours.op10_neighbours,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontam.ORACLE_SQL}
+    return {"op5_decontamination": decontam.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op10_neighbours": neighbours.ORACLE_SQL}

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, neighbours, pii, quality, secrets, simhash, warc
+from . import bpe, decontam, langid, licences, neighbours, pii, quality, secrets, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op2_bpe": bpe.op2_bpe,
+        "op3_licences": licences.op3_licences,
         "op4_langid": langid.op4_langid,
         "op5_decontamination": decontam.op5_decontamination,
         "op6_secrets": secrets.op6_secrets,

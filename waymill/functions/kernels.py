@@ -275,6 +275,9 @@ def find_stops(p: Track, metres: float = m.STOP_RADIUS_M, stay_s: float = m.STOP
     """Runs that stay near their own running centre for ``stay_s``."""
     n, out, i = len(p), [], 0
     while i < n and p.t[-1] - p.t[i] >= stay_s * US:
+        if i + 1 < n and hav1(p.lon[i], p.lat[i], p.lon[i + 1], p.lat[i + 1]) > metres:
+            i += 1
+            continue
         j, width, lon, lat = i, 16, p.lon[i], p.lat[i]
         while j + 1 < n:
             more = slice(j + 1, j + 1 + width)
@@ -406,16 +409,15 @@ def find_dual(p: Track) -> np.ndarray:
         if max(share_a, share_b) / max(min(share_a, share_b), 1e-6) >= m.DUAL_RATIO:
             bad[window] |= (at_a if share_b >= share_a else at_b)[window]
             continue
-        places: list[tuple[int, list[int]]] = []
-        for i in range(lo, hi + 1):
-            home = next((own for c, own in places if p.to(c, i) <= m.DUAL_NEAR_M), None)
-            if home is None:
-                places.append((i, [i]))
-            else:
-                home.append(i)
-        if len(places) < m.DUAL_PLACES:
+        # the first point without a place makes one, and all points near it are its own
+        left, crowd = np.arange(lo, hi + 1), []
+        while len(left):
+            near = p.to(int(left[0]), left) <= m.DUAL_NEAR_M
+            crowd.append(left[near])
+            left = left[~near]
+        if len(crowd) < m.DUAL_PLACES:
             continue
-        stays = [np.diff(p.t[own]) / US for _, own in places]
+        stays = [np.diff(p.t[own]) / US for own in crowd]
         if max(s[s <= m.DUAL_HELD_S].sum() / total for s in stays) < m.DUAL_SHARE:
             bad[window] = True
     return bad
@@ -432,18 +434,23 @@ class Place:
 
 def places(p: Track, idx) -> list[Place]:
     """Assigns each point to its nearest centre within reach, or makes it one."""
+    idx = np.asarray(idx, dtype=np.int64)
     found: list[Place] = []
-    lon, lat = [], []
-    for i in np.asarray(idx).tolist():
-        if found:
-            d = hav(np.array(lon), np.array(lat), p.lon[i], p.lat[i])
+    lon, lat = np.empty(len(idx)), np.empty(len(idx))
+    for i in idx.tolist():
+        n = len(found)
+        if n == 1:
+            near = hav1(lon[0], lat[0], p.lon[i], p.lat[i]) <= m.SPLIT_NEAR_M
+            k = 0
+        elif n:
+            d = hav(lon[:n], lat[:n], p.lon[i], p.lat[i])
             k = int(d.argmin())
-            if d[k] <= m.SPLIT_NEAR_M:
-                found[k].members.append(i)
-                continue
+            near = d[k] <= m.SPLIT_NEAR_M
+        if n and near:
+            found[k].members.append(i)
+            continue
+        lon[n], lat[n] = p.lon[i], p.lat[i]
         found.append(Place(i))
-        lon.append(p.lon[i])
-        lat.append(p.lat[i])
     return found
 
 
@@ -605,7 +612,11 @@ def point_weights(p: Track, snap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lo = np.clip(np.searchsorted(p.t, p.t - m.SMOOTH_S * US, side="left"), i - m.SMOOTH_MOST, i - m.SMOOTH_LEAST)
     hi = np.clip(np.searchsorted(p.t, p.t + m.SMOOTH_S * US, side="right"), i + m.SMOOTH_LEAST + 1, i + m.SMOOTH_MOST)
     lo, hi = np.maximum(lo, 0), np.minimum(hi, n)
-    smooth = np.array([np.median(raw[a:b]) for a, b in zip(lo, hi)]) if n else raw
+    # one sorted row per point, padded at its end
+    at = lo[:, None] + np.arange(2 * m.SMOOTH_MOST)
+    row = np.sort(np.where(at < hi[:, None], raw[np.minimum(at, n - 1)] if n else 0.0, np.inf), axis=1)
+    size = hi - lo
+    smooth = (row[i, (size - 1) // 2] + row[i, size // 2]) / 2
     return raw, np.minimum(raw, smooth)
 
 

@@ -313,3 +313,28 @@ def test_stream_end_to_end(spark, tmp_path):
 def test_config():
     c = m.EngineConfig.load({"WAYMILL_DEDUP_M": "3.5", "WAYMILL_STOP_POINTS": "x", "WAYMILL_MAX_POINTS": "-1"})
     assert c.dedup_m == 3.5 and c.stop_points == 5 and c.max_points == 50_000
+
+
+def test_resolve_route_debug_and_pass_cap(spark, tmp_path):
+    card = tasks.resolve_route(spark, codec.encode(drive(20)))
+    assert card["http_status"] == 200 and card["removed_points"] == 20 - card["points_after"] and card["degraded"]
+    assert tasks.resolve_route(spark, "?")["http_status"] == 400 and tasks.resolve_route(spark, codec.encode(drive(1)))["http_status"] == 422
+    assert tasks.resolve_route(spark, codec.encode(drive(20)), config=m.EngineConfig(max_points=5))["http_status"] == 413
+    results = str(tmp_path / "cards")
+    tasks.processor(results)(spark.createDataFrame([("a", codec.encode(drive(20)), 0)], "task_key string, route_compressed string, attempt int"), 0)
+    assert [r.stage for r in tasks.debug(spark, results, "a").orderBy("at").collect()] == list(m.STAGES)
+    # a single far point that is reached and left at a plausible speed: a stub
+    pts = drive(20) + [(1_700_000_720_000_000, 0, 37.155, 55.0)] + drive(20, lon0=37.1, t0=1_700_000_870)
+    p = k.Track(*(np.array(c) for c in zip(*[(t, x, y) for t, _, x, y in pts])))
+    capped = one.resolve(p, AnalyticRoads(), m.EngineConfig(), np.full(41, 5.0), passes=1)
+    assert capped["degraded"] and one.CUT_SHORT in capped["warnings"]
+    whole = one.resolve(p, AnalyticRoads(), m.EngineConfig(), np.full(41, 5.0))
+    assert not whole["degraded"] and 20 not in whole["own"]
+
+
+def test_in_polygon(spark):
+    from waymill.operators import sequence
+
+    rows = [(0.5, 0.5, 1.0), (1.5, 0.5, 0.0), (0.5, -0.1, 0.0), (0.9, 0.9, 0.0), (0.1, 0.2, 1.0)]
+    df = spark.createDataFrame(rows, "lon double, lat double, want double")
+    assert all(r.airfield == r.want for r in sequence.mark_airfields(df, [[(0.0, 0.0), (1.0, 0.0), (1.0, 0.7), (0.0, 0.8)]]).collect())

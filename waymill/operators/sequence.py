@@ -175,3 +175,11 @@ def stop_facts(points: DataFrame, stops: DataFrame) -> DataFrame:
         geo.span(F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat")).alias("span_m"),
     )
     return g.withColumn("frozen", (F.col("stay_s") >= m.TRUST_STAY_S) & (F.col("span_m") < m.FROZEN_SPAN_M))
+
+
+def mark_airfields(points: DataFrame, rings: list[list[tuple[float, float]]]) -> DataFrame:
+    """Adds airfield, 1 inside any of the rings of (lon, lat) corners, as the engine reads it."""
+    inside = F.lit(False)
+    for ring in rings:
+        inside = inside | geo.in_polygon(F.col("lon"), F.col("lat"), ring)
+    return points.withColumn("airfield", inside.cast("double"))

@@ -13,8 +13,10 @@ from waymill.functions import kernels as k
 from waymill.operators import sequence as s
 from waymill.plans import engine
 from waymill.plans.roads import AnalyticRoads
+from waymill.plans.shared import shared_path
 from waymill.sources import codec
 from waymill.sources.events import VIEW_SQL, track_view
+from waymill.streaming import tasks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -466,6 +468,24 @@ def _(v):
     return codec.exploded(codec.decode_routes(sent, key="track_id"))
 
 
+@query("core_resolve_airfields")
+def _(v):
+    """The pipeline with a no-go area, whose points are penalised."""
+    marked = s.mark_airfields(v, [[(38.0, 55.0), (38.4, 55.0), (38.4, 56.0), (38.0, 56.0)]])
+    return engine.resolve(marked, AnalyticRoads()).select("track_id", "status", "spread", "amnesty", "points_after", _r("length_after_m"))
+
+
+@query("stream_tasks")
+def _(v):
+    """All tracks as tasks through the queue, the stream and the result cards."""
+    spark = v.sparkSession
+    queue, results, check = (shared_path(spark, x) for x in ("queue", "results", "stream"))
+    sent = codec.encode_tracks(v).withColumnRenamed("track_id", "task_key")
+    tasks.submit(sent, queue)
+    tasks.start(spark, queue, results, check, None, once=True).awaitTermination()
+    return tasks.cards(spark, results).select("task_key", "status", "points_before", "points_after", "degraded", _r("length_before_m"), _r("length_m"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

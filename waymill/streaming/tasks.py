@@ -28,6 +28,9 @@ CARD = (
     "degraded boolean, warnings array<string>, error_kind string, error string, stages string, finished_at timestamp, expires_at timestamp"
 )
 
+#: What a failed task means to an HTTP client.
+HTTP_STATUS = {"invalid": 400, "too_large": 413, "too_many": 413, "too_few": 422, "unprocessable": 422, "not_found": 404}
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -67,6 +70,19 @@ def status(spark: SparkSession, queue: str, results: str, task_key: str) -> dict
     return {"task_key": task_key, "status": "pending", "length_m": 0.0} if waiting else None
 
 
+def debug(spark: SparkSession, results: str, task_key: str) -> DataFrame:
+    """The stages of one finished task: name, points before and after, report."""
+    return engine.stage_stats(cards(spark, results).where(F.col("task_key") == task_key).withColumnRenamed("task_key", "track_id"))
+
+
+def resolve_route(spark: SparkSession, route: str, roads=None, config: EngineConfig = EngineConfig()) -> dict:
+    """One route in one call: the card with counts, or the error and its HTTP status."""
+    card = solve(spark.createDataFrame([("route", route)], "task_key string, route_compressed string"), roads, config).first().asDict()
+    if card["status"] == "done":
+        return card | {"removed_points": card["points_before"] - card["points_after"], "http_status": 200}
+    return card | {"http_status": HTTP_STATUS.get(card["error_kind"], 500)}
+
+
 def solve(tasks: DataFrame, roads=None, config: EngineConfig = EngineConfig()) -> DataFrame:
     """One CARD row per (task_key, route_compressed): decode, resolve, encode."""
     decoded = codec.decode_routes(tasks, config=config)

@@ -280,28 +280,46 @@ def _(v):
     return engine.kept(v, lambda p: k.collapse_stops(p, 500.0, 5)).select("track_id", "seq")
 
 
-@query(
-    "find_stops",
-    _walk(
-        f"""cs AS (SELECT *, sum(lon) OVER w AS slon, sum(lat) OVER w AS slat FROM v WINDOW w AS (PARTITION BY track_id ORDER BY seq)), n AS (SELECT track_id, max(seq) AS final FROM v GROUP BY 1),
+_STOPS = f"""cs AS (SELECT *, sum(lon) OVER w AS slon, sum(lat) OVER w AS slat FROM v WINDOW w AS (PARTITION BY track_id ORDER BY seq)), n AS (SELECT track_id, max(seq) AS final FROM v GROUP BY 1),
 far AS (SELECT a.track_id, a.seq, min(b.seq) AS b FROM cs a JOIN cs c ON a.track_id = c.track_id AND c.seq >= a.seq JOIN v b ON b.track_id = c.track_id AND b.seq = c.seq + 1
 WHERE {_hav4("((c.slon - a.slon + a.lon) / (c.seq - a.seq + 1))", "((c.slat - a.slat + a.lat) / (c.seq - a.seq + 1))", "b.lon", "b.lat")} > {m.STOP_RADIUS_M} GROUP BY 1, 2),
 y AS (SELECT v.track_id, v.seq, v.t_us, coalesce(b - 1, final) AS last FROM v JOIN n USING (track_id) LEFT JOIN far USING (track_id, seq)),
-x AS (SELECT y.track_id, y.seq, y.last, z.t_us - y.t_us >= {m.STOP_STAY_S * 1_000_000} AND y.last > y.seq AS stays, CASE WHEN stays THEN y.last + 1 ELSE y.seq + 1 END AS nxt FROM y JOIN v z ON z.track_id = y.track_id AND z.seq = y.last)""",
-        "SELECT f.track_id, f.seq AS first, x.last, CAST(x.last - f.seq + 1 AS BIGINT) AS n FROM f JOIN x ON x.track_id = f.track_id AND x.seq = f.seq WHERE x.stays",
-    ),
-)
+x AS (SELECT y.track_id, y.seq, y.last, z.t_us - y.t_us >= {m.STOP_STAY_S * 1_000_000} AND y.last > y.seq AS stays, CASE WHEN stays THEN y.last + 1 ELSE y.seq + 1 END AS nxt FROM y JOIN v z ON z.track_id = y.track_id AND z.seq = y.last)"""
+_STOP_ROWS = "SELECT f.track_id, f.seq AS first, x.last FROM f JOIN x ON x.track_id = f.track_id AND x.seq = f.seq WHERE x.stays"
+
+
+@query("find_stops", _walk(_STOPS, f"SELECT *, CAST(last - first + 1 AS BIGINT) AS n FROM ({_STOP_ROWS})"))
 def _(v):
     return engine.grouped(v, lambda p, _: [{"first": a, "last": b, "n": b - a + 1} for a, b in k.find_stops(p)], "first int, last int, n long")
 
 
-@query("stop_facts")
+@query(
+    "stop_facts",
+    _walk(
+        f"{_STOPS}, pv AS (SELECT *, lag(t_us) OVER (PARTITION BY track_id ORDER BY seq) AS pt FROM v)",
+        f"""SELECT track_id, first, last, n, round(stay, 3) AS stay_s, round(gap, 3) AS gap_s, round(span, 3) AS span_m, stay >= {m.TRUST_STAY_S} AND span < {m.FROZEN_SPAN_M} AS frozen FROM
+(SELECT s.track_id, first, last, count(*) AS n, (max(t_us) - min(t_us)) / 1e6 AS stay, max(CASE WHEN pv.seq > first THEN t_us - pt END) / 1e6 AS gap, {_hav4("min(lon)", "min(lat)", "max(lon)", "max(lat)")} AS span
+FROM ({_STOP_ROWS}) s JOIN pv ON pv.track_id = s.track_id AND pv.seq BETWEEN first AND last GROUP BY 1, 2, 3)""",
+    ),
+)
 def _(v):
     stops = engine.grouped(v, lambda p, _: [{"first": a, "last": b} for a, b in k.find_stops(p)], "first int, last int")
     return s.stop_facts(v, stops).select("track_id", "first", "last", "n", _r("stay_s"), _r("gap_s"), _r("span_m"), "frozen")
 
 
-@query("trusted_stops")
+_TRUSTED = f"""SELECT s.track_id, first, last, any_value(s.snap) AS snap, (max(t_us) - min(t_us)) / 1e6 AS stay, max(CASE WHEN pv.seq > first THEN t_us - pt END) / 1e6 AS gap, {_hav4("min(lon)", "min(lat)", "max(lon)", "max(lat)")} AS span
+FROM (SELECT st.*, v.snap_m AS snap FROM ({_STOP_ROWS}) st JOIN v ON v.track_id = st.track_id AND v.seq = st.first) s JOIN pv ON pv.track_id = s.track_id AND pv.seq BETWEEN first AND last GROUP BY 1, 2, 3"""
+_EXITS = f"""SELECT track_id, first, min(kmh) AS kmh FROM (SELECT s.track_id, s.first, {_hav("a", "b")} / greatest((b.t_us - a.t_us) / 1e6, 1) * 3.6 AS kmh, row_number() OVER (PARTITION BY s.track_id, s.first ORDER BY b.seq) AS rank
+FROM ({_STOP_ROWS}) s JOIN v a ON a.track_id = s.track_id AND a.seq = s.last JOIN v b ON b.track_id = s.track_id AND b.seq > s.last AND b.t_us - a.t_us <= {m.EXIT_S * 1_000_000} AND {_hav("a", "b")} >= {m.EXIT_M}) WHERE rank <= {m.EXIT_LOOK} GROUP BY 1, 2"""
+
+
+@query(
+    "trusted_stops",
+    _walk(
+        f"{_STOPS}, pv AS (SELECT *, lag(t_us) OVER (PARTITION BY track_id ORDER BY seq) AS pt FROM v)",
+        f"SELECT track_id, first, last, stay >= {m.TRUST_STAY_S} AND coalesce(snap <= {m.TRUST_SNAP_M}, true) AND gap / stay <= {m.TRUST_GAP} AND span >= {m.TRUST_SPAN_M} AND coalesce(kmh <= {m.EXIT_KMH}, true) AS trusted FROM ({_TRUSTED}) LEFT JOIN ({_EXITS}) USING (track_id, first)",
+    ),
+)
 def _(v):
     def judged(p, table):
         snap = table.column("snap_m").to_pylist()
@@ -381,21 +399,48 @@ def _(v):
     return engine.grouped(v, lambda p, _: [{"seq": i, "input_seq": int(x)} for i, x in enumerate(k.reorder(p))], "seq int, input_seq int")
 
 
-@query("simplify")
+_OFF = f"abs(asin(sin({_hav4('a.lon', 'a.lat', 'p.lon', 'p.lat')} / {m.EARTH_M}) * sin({_bearing('a.lon', 'a.lat', 'p.lon', 'p.lat')} - ({_bearing('a.lon', 'a.lat', 'b.lon', 'b.lat')})))) * {m.EARTH_M}"
+
+
+def _segments(metres: int) -> str:
+    return f"""WITH RECURSIVE {VIEW_SQL}, seg AS (SELECT track_id, min(seq) AS lo, max(seq) AS hi FROM v GROUP BY 1
+UNION ALL SELECT track_id, unnest([lo, mid]) AS lo, unnest([mid, hi]) AS hi FROM (SELECT s.track_id, lo, hi, -(max({{'o': {_OFF}, 's': -p.seq}}).s) AS mid, max({_OFF}) AS off
+FROM seg s JOIN v a ON a.track_id = s.track_id AND a.seq = lo JOIN v b ON b.track_id = s.track_id AND b.seq = hi JOIN v p ON p.track_id = s.track_id AND p.seq > lo AND p.seq < hi GROUP BY s.track_id, lo, hi) WHERE off > {metres}),
+kept AS (SELECT DISTINCT track_id, CAST(unnest([lo, hi]) AS INTEGER) AS seq FROM seg)"""
+
+
+@query("simplify", f"{_segments(5)} SELECT track_id, seq FROM kept")
 def _(v):
     return engine.kept(v, lambda p: k.simplify(p, 5.0)).select("track_id", "seq")
 
 
-@query("reachability_guard")
+@query(
+    "reachability_guard",
+    f"""{_segments(500)}, steps AS (SELECT track_id, seq, lead(seq) OVER (PARTITION BY track_id ORDER BY seq) AS nxt FROM kept),
+broken AS (SELECT s.track_id, s.seq, s.nxt FROM steps s JOIN v a ON a.track_id = s.track_id AND a.seq = s.seq JOIN v b ON b.track_id = s.track_id AND b.seq = s.nxt WHERE NOT (b.t_us >= a.t_us AND {_hav("a", "b")} <= {m.CHAIN_KMH} / 3.6 * (b.t_us - a.t_us) / 1e6 + {m.CHAIN_SLACK_M}))
+SELECT track_id, seq FROM kept UNION SELECT v.track_id, v.seq FROM broken JOIN v ON v.track_id = broken.track_id AND v.seq > broken.seq AND v.seq < broken.nxt""",
+)
 def _(v):
     return engine.kept(v, lambda p: k.guard(p, k.simplify(p, 500.0))).select("track_id", "seq")
 
 
-@query("build_chain")
+@query(
+    "build_chain",
+    f"""WITH RECURSIVE {VIEW_SQL}, q AS (SELECT track_id, list(lon ORDER BY seq) AS lons, list(lat ORDER BY seq) AS lats, list(t_us ORDER BY seq) AS ts FROM v GROUP BY 1),
+d AS (SELECT track_id, 0 AS seq, [-3.0::DOUBLE] AS best, [-1] AS came FROM q
+UNION ALL SELECT track_id, seq, list_append(best, w + CASE WHEN i > 0 THEN best[i] ELSE 0 END), list_append(came, i - 1) FROM
+(SELECT *, CASE WHEN top > 0 THEN CAST(len(cand) - list_position(list_reverse(cand), top) + 1 AS INTEGER) ELSE 0 END AS i FROM
+(SELECT *, list_max(cand) AS top FROM (SELECT track_id, seq + 1 AS seq, best, came, CAST((seq + 1) % 7 - 3 AS DOUBLE) AS w, list_transform(list_zip(best, lons[:seq + 1], lats[:seq + 1], ts[:seq + 1]),
+lambda x: CASE WHEN ts[seq + 2] >= x[4] AND {_hav4("x[2]", "x[3]", "lons[seq + 2]", "lats[seq + 2]")} <= {m.CHAIN_KMH} / 3.6 * (ts[seq + 2] - x[4]) / 1e6 + {m.CHAIN_SLACK_M} THEN x[1] ELSE -1e18 END) AS cand FROM d JOIN q USING (track_id) WHERE seq + 1 < len(ts))))),
+fin AS (SELECT track_id, arg_max(best, seq) AS best, arg_max(came, seq) AS came FROM d GROUP BY 1),
+c AS (SELECT track_id, came, CAST(list_position(best, list_max(best)) - 1 AS INTEGER) AS seq, 0 AS back FROM fin UNION ALL SELECT track_id, came, CAST(came[seq + 1] AS INTEGER), back + 1 FROM c WHERE came[seq + 1] >= 0)
+SELECT track_id, CAST(max(back) OVER (PARTITION BY track_id) - back AS INTEGER) AS at, seq FROM c""",
+)
 def _(v):
+    """Weights from -3 to 3 by turns, whole numbers, so that equal sums are equal."""
+
     def chain(p, table):
-        raw, w = k.point_weights(p, table.column("snap_m").to_numpy())
-        return [{"at": i, "seq": int(x)} for i, x in enumerate(k.ChainBuilder(p).build(w))]
+        return [{"at": i, "seq": int(x)} for i, x in enumerate(k.ChainBuilder(p).build(table.column("seq").to_numpy() % 7 - 3.0))]
 
     return engine.grouped(v, chain, "at int, seq int")
 
@@ -410,7 +455,20 @@ def _(v):
     return engine.flagged(v, k.find_split, "split").groupBy("track_id").agg(F.sum(F.col("split").cast("long")).alias("points"))
 
 
-@query("amnesty")
+_TIE = f"dt_s <= {m.AMNESTY_GAP_S} AND step_m <= dt_s * {m.AMNESTY_KMH} / 3.6 + {m.CHAIN_SLACK_M}"
+
+
+@query(
+    "amnesty",
+    f"""WITH RECURSIVE {_ISLANDS}, b AS (SELECT c.track_id, c.seq, c.t_us, c.step_m, c.dt_s, coalesce(c.snap_m <= {m.AMNESTY_SNAP_M}, false) AS road, coalesce({_ISLAND}, false) AS bad FROM c JOIN f ON f.track_id = c.track_id AND f.part = c.part),
+z0 AS (SELECT *, max(bad::INT) OVER (PARTITION BY track_id ORDER BY t_us RANGE BETWEEN {m.SPREAD_S * 1_000_000} PRECEDING AND {m.SPREAD_S * 1_000_000} FOLLOWING) = 1 AS sus, coalesce({_TIE}, false) AS tie FROM b),
+z AS (SELECT *, NOT sus AS free, sus AND NOT bad AND road AS fits, coalesce(lead(tie) OVER (PARTITION BY track_id ORDER BY seq), false) AS tie_next, max(seq) OVER (PARTITION BY track_id) AS final FROM z0),
+fw AS (SELECT track_id, seq, free AS trust, false AS won FROM z WHERE seq = 0 UNION ALL SELECT z.track_id, z.seq, z.free OR (fw.trust AND z.fits AND z.tie), NOT z.free AND fw.trust AND z.fits AND z.tie FROM fw JOIN z ON z.track_id = fw.track_id AND z.seq = fw.seq + 1),
+bw AS (SELECT track_id, seq, free AS trust, false AS won FROM z WHERE seq = final UNION ALL SELECT z.track_id, z.seq, z.free OR (bw.trust AND z.fits AND z.tie_next), NOT z.free AND bw.trust AND z.fits AND z.tie_next FROM bw JOIN z ON z.track_id = bw.track_id AND z.seq = bw.seq - 1),
+rn AS (SELECT *, sum(CASE WHEN fits AND before AND tie THEN 0 ELSE 1 END) OVER (PARTITION BY track_id ORDER BY seq) AS run FROM (SELECT *, coalesce(lag(fits) OVER (PARTITION BY track_id ORDER BY seq), false) AS before FROM z)),
+lg AS (SELECT track_id, run FROM rn WHERE fits GROUP BY 1, 2 HAVING count(*) >= {m.AMNESTY_RUN})
+SELECT track_id, seq FROM fw WHERE won UNION SELECT track_id, seq FROM bw WHERE won UNION SELECT rn.track_id, rn.seq FROM rn JOIN lg ON lg.track_id = rn.track_id AND lg.run = rn.run WHERE fits""",
+)
 def _(v):
     def pardoned(p, table):
         import numpy as np

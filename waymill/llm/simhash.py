@@ -248,7 +248,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     found = scratch.keep(simhash_components(docs, **options).select("doc_id", "component_id"), "components")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    # by shuffle at every size: how many go grows with the input, so their ids are no side to broadcast
+    out = docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")
     repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count()
     if repeated:  # an id on several rows: one of them stays
         named = out.where("doc_id is not null").dropDuplicates(["doc_id"])

@@ -13,8 +13,8 @@ words.
 The sketches and items of a block are sent to all executors; a block holds at
 most BLOCK_HASHES hashes and its items' texts, and a larger benchmark is searched in several blocks.
 
-Words are runs of ASCII letters, digits and other non-ASCII characters,
-lower-cased in ASCII. An item of fewer than ``size`` words is one shingle of
+Words are runs of ASCII letters, digits and other non-ASCII characters of the
+lower-cased text. An item of fewer than ``size`` words is one shingle of
 all its words; one without words matches nothing. Null texts have no words;
 null ids pass through; other columns are kept by ``drop_contaminated`` and
 ignored by ``contaminations``.
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +39,8 @@ BLOCK_HASHES = 2_000_000
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
-def words(text: str | None) -> list[bytes]:
-    return _WORDS.findall((text or "").encode().lower())
+def words(lowered: str | None) -> list[bytes]:
+    return _WORDS.findall((lowered or "").encode())
 
 
 def shingles(tokens: list[bytes], size: int) -> set[bytes]:
@@ -57,7 +58,8 @@ class Block:
     def __init__(self, items: list[tuple[int, str]], size: int, threshold: float):
         self.threshold = threshold
         self.items: list[tuple[int, int, set[bytes]]] = []
-        for item_id, text in items:
+        lowered = pc.utf8_lower(pa.array([text for _, text in items], pa.string())).to_pylist()
+        for (item_id, _), text in zip(items, lowered):
             tokens = words(text)
             k = min(size, len(tokens))
             if k:
@@ -81,7 +83,7 @@ class Block:
             self.by_size[k] = (unique, np.append(first, len(pairs)), np.array([i for _, i in pairs], dtype=np.int64), least)
 
     def candidates(self, column: pa.Array) -> list[tuple[int, int]]:
-        """(row, item) pairs whose sketches meet often enough."""
+        """(row, item) pairs of lower-cased texts whose sketches meet often enough."""
         if not self.by_size:
             return []
         h, bounds = word_hashes(column)
@@ -107,6 +109,7 @@ class Block:
     def search(self, column: pa.Array) -> list[tuple[int, int, int, int]]:
         """(row, item_id, shingles of the item, of them in the row's text) of all
         pairs at the threshold, verified on the words themselves."""
+        column = pc.utf8_lower(column)
         out, at, own = [], -1, {}
         for row, item in sorted(self.candidates(column)):
             item_id, k, parts = self.items[item]
@@ -177,8 +180,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same pairs from the words themselves.
 ORACLE_SQL = f"""
-WITH w AS (SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents
-           UNION ALL SELECT 'b', item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') FROM benchmark),
+WITH w AS (SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents
+           UNION ALL SELECT 'b', item_id, regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') FROM benchmark),
 items AS (SELECT id AS item_id, least(len(ws), {SIZE}) AS k, ws FROM w WHERE kind = 'b' AND len(ws) > 0),
 item_parts AS (SELECT DISTINCT item_id, k, array_to_string(ws[i:i + k - 1], ' ') AS part FROM (SELECT item_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM items)),
 sizes AS (SELECT DISTINCT k FROM items),

@@ -208,9 +208,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: i
     total = slim.select("doc_id").count()
     share = (1 << 32) if total <= most else int((1 << 32) * most / total)
     seed = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)), F.lit(0)) < F.lit(share)
-    lines = slim.where(seed & F.col("doc_id").isNotNull()).select(F.explode(F.slice(F.split("text", "\n"), 1, 40)).alias("line")).where("length(trim(line)) > 0")
-    # at most NEGATIVE_PARAGRAPHS lines, cut to 2,000 characters, by hash: bounded on the driver
-    got = lines.select(F.substring("line", 1, 2000).alias("line")).distinct().orderBy(F.xxhash64("line"), "line").limit(NEGATIVE_PARAGRAPHS).collect()
+    lines = slim.where(seed & F.col("doc_id").isNotNull()).select(F.explode(F.split("text", "\n")).alias("line")).where("length(trim(line)) between 1 and 5000")
+    # at most NEGATIVE_PARAGRAPHS lines of at most 5,000 characters, by hash: bounded on the driver
+    got = lines.distinct().orderBy(F.xxhash64("line"), "line").limit(NEGATIVE_PARAGRAPHS).collect()
     return train([r.line for r in got])
 
 

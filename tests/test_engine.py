@@ -191,7 +191,7 @@ def test_tables_give_what_the_function_gives(spark, tmp_path):
     routes = spark.createDataFrame([(*map(float, key), None, float(r.distance), [(float(a), float(b)) for a, b in r.coords]) for key, r in asked["route"].items()], ends + ", bearing int, distance double, coords array<struct<lon:double,lat:double>>")
     want = {r.track_id: (r.points_after, round(r.length_after_m, 1)) for r in engine.resolve(df, roads).collect()}
     got = engine.resolve_with_tables(df, keep, pairs=pairs, routes=routes).collect()
-    assert {r.track_id: (r.points_after, round(r.length_after_m, 1)) for r in got} == want and kept[0] < 40
+    assert {r.track_id: (r.points_after, round(r.length_after_m, 1)) for r in got} == want and kept[0] < 60
     # a table without answers leaves every gap straight
     alone = engine.resolve_with_tables(df, keep).collect()
     assert all(set(r.reasons or {}) <= {"no route"} and r.road_banned == 0 for r in alone)

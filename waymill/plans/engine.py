@@ -113,7 +113,7 @@ def resolve_with_tables(points: DataFrame, keep: Callable[[DataFrame], DataFrame
     from waymill.functions import geo
 
     spark = points.sparkSession
-    tracks, schema = _tracks(points), "track_id string, kind string, key string, snap double, routes array<struct<hint:boolean,distance:double,coords:array<struct<lon:double,lat:double>>,snap_a:struct<lon:double,lat:double>,snap_b:struct<lon:double,lat:double>>>"
+    tracks, schema = keep(_tracks(points)), "track_id string, kind string, key string, snap double, routes array<struct<hint:boolean,distance:double,coords:array<struct<lon:double,lat:double>>,snap_a:struct<lon:double,lat:double>,snap_b:struct<lon:double,lat:double>>>"
     pair_key = F.concat_ws(";", geo.coordinate_key(F.col("a_lon"), F.col("a_lat")), geo.coordinate_key(F.col("b_lon"), F.col("b_lat")))
     back_key = F.concat_ws(";", geo.coordinate_key(F.col("b_lon"), F.col("b_lat")), geo.coordinate_key(F.col("a_lon"), F.col("a_lat")))
     parts = []
@@ -122,7 +122,7 @@ def resolve_with_tables(points: DataFrame, keep: Callable[[DataFrame], DataFrame
     if pairs is not None:
         valid = pairs.select(F.explode(F.array(pair_key, back_key)).alias("key"), F.when(F.col("dist_m") > 0, F.col("dist_m")).alias("dist_m"))
         parts.append(valid.groupBy(F.lit("pair").alias("kind"), "key").agg(F.min("dist_m").alias("value")))
-    values = None
+    whole, values = tracks, None
     for part in parts:
         values = part if values is None else values.unionByName(part)
     answers = spark.createDataFrame([], schema)
@@ -159,10 +159,10 @@ def resolve_with_tables(points: DataFrame, keep: Callable[[DataFrame], DataFrame
         else:
             got = got.withColumn("routes", F.lit(None).cast("array<struct<hint:boolean,distance:double,coords:array<struct<lon:double,lat:double>>,snap_a:struct<lon:double,lat:double>,snap_b:struct<lon:double,lat:double>>>"))
         answers = keep(answers.unionByName(got.select("track_id", "kind", "key", F.col("value").alias("snap"), "routes")))
-        tracks = tracks.join(asking.select("track_id").distinct(), "track_id", "left_semi")
+        tracks = keep(tracks.join(asking.select("track_id").distinct(), "track_id", "left_semi"))  # cuts the lineage of the rounds
     else:
         raise RuntimeError("tracks still ask after all rounds")
-    counted = _tracks(points).groupBy("track_id").agg(F.count("*").cast("int").alias("points_before"))
+    counted = whole.groupBy("track_id").agg(F.count("*").cast("int").alias("points_before"))
     failed = counted.where(F.col("points_before") > config.max_points).withColumns({"status": F.lit("failed"), "error": F.lit("too many points")})
     return finished.unionByName(failed, allowMissingColumns=True).drop("wanted")
 

@@ -533,6 +533,27 @@ def _(v):
     return engine.resolve(marked, AnalyticRoads()).select("track_id", "status", "spread", "amnesty", "points_after", _r("length_after_m"))
 
 
+@query("resolve_tables")
+def _(v):
+    """Snaps, road distances and routes from tables: every point's snap, and
+    the roads between neighbours that stood next to each other in time."""
+    spark = v.sparkSession
+
+    def keep(df):
+        path = shared_path(spark, "answers")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    snaps = v.groupBy("lon", "lat").agg(F.min("snap_m").alias("snap_m"))
+    p = s.steps(v).withColumns({"a_lon": F.lag("lon").over(s.order()), "a_lat": F.lag("lat").over(s.order())}).where("step_m >= 500")
+    ends = [F.col("a_lon"), F.col("a_lat"), F.col("lon").alias("b_lon"), F.col("lat").alias("b_lat")]
+    pairs = p.select(*ends, (F.col("step_m") * 1.2).alias("dist_m"))
+    corner = lambda lon, lat: F.struct(F.col(lon).alias("lon"), F.col(lat).alias("lat"))
+    routes = p.select(*ends, F.lit(None).cast("int").alias("bearing"), (F.col("step_m") * 1.2).alias("distance"), F.array(corner("a_lon", "a_lat"), corner("a_lon", "lat"), corner("lon", "lat")).alias("coords"))
+    found = engine.resolve_with_tables(v.drop("snap_m"), keep, snaps, pairs, routes)
+    return found.select("track_id", "status", "error", "road_asked", "road_banned", "gaps", "filled", "points_after", _r("length_after_m"))
+
+
 @query("stream_tasks")
 def _(v):
     """All tracks as tasks through the queue, the stream and the result cards."""

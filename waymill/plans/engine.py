@@ -86,11 +86,19 @@ def _tracks(points: DataFrame) -> DataFrame:
     return points.select(*cast, *(F.col(c).cast("double").alias(c) for c in ("lon", "lat", *extra)))
 
 
+def _by_track(points: DataFrame) -> DataFrame:
+    """Rows dealt out by track. The number is given, since kernels cost far more
+    than their bytes suggest and adaptive plans would merge small partitions."""
+    spark = points.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return points.repartition(n, "track_id")
+
+
 def resolve(points: DataFrame, roads=None, config: m.EngineConfig = m.EngineConfig(), passes: int = m.PASSES) -> DataFrame:
     """One row (RESULT) per track of ``points`` (track_id, seq, t_us, lon, lat[,
     tz_off_s, snap_m, decoy, airfield]). Without ``roads`` cleaning is skipped
     and the row marked degraded."""
-    counted = _tracks(points).withColumn("_n", F.count("*").over(Window.partitionBy("track_id")))
+    counted = _by_track(_tracks(points)).withColumn("_n", F.count("*").over(Window.partitionBy("track_id")))
     fits = counted.where(F.col("_n") <= config.max_points).drop("_n")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -143,7 +151,7 @@ def resolve_with_tables(points: DataFrame, keep: Callable[[DataFrame], DataFrame
             return _row(key[0].as_py(), {"status": "asking", "wanted": [{"kind": e.kind, "key": x} for x in e.wanted]})
 
     for _ in range(rounds):
-        counted = tracks.withColumn("_n", F.count("*").over(Window.partitionBy("track_id")))
+        counted = _by_track(tracks).withColumn("_n", F.count("*").over(Window.partitionBy("track_id")))
         fits = counted.where(F.col("_n") <= config.max_points).drop("_n")
         out = keep(fits.groupBy("track_id").cogroup(answers.groupBy("track_id")).applyInArrow(run, RESULT))
         done = out.where("status <> 'asking'")
@@ -220,7 +228,7 @@ def _per_track(points: DataFrame, fn, column: str, kind: str, arrow) -> DataFram
         p = k.Track(table.column("t_us").to_numpy(), table.column("lon").to_numpy(), table.column("lat").to_numpy())
         return table.append_column(column, pa.array(fn(p, table), arrow))
 
-    return slim.groupBy("track_id").applyInArrow(run, schema)
+    return _by_track(slim).groupBy("track_id").applyInArrow(run, schema)
 
 
 def grouped(points: DataFrame, fn: Callable[[k.Track, pa.Table], list[dict]], schema: str) -> DataFrame:
@@ -238,4 +246,4 @@ def grouped(points: DataFrame, fn: Callable[[k.Track, pa.Table], list[dict]], sc
             arrays[name] = pa.array([r[name] for r in rows], kinds[part.strip().split(" ")[1]])
         return pa.table(arrays)
 
-    return slim.groupBy("track_id").applyInArrow(run, f"track_id string, {schema}")
+    return _by_track(slim).groupBy("track_id").applyInArrow(run, f"track_id string, {schema}")

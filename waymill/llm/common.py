@@ -6,7 +6,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -191,8 +191,14 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return run_hashes(data, starts, stops), bounds
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def balanced(df: DataFrame) -> DataFrame:
+    """A plain scan with fewer partitions than the cluster has cores, as of one
+    small file, dealt out over all of them; anything else as it is."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in plan or "Adaptive" in plan or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, steps, table, word_hashes
+from .common import balanced, shingle_hashes, steps, table, word_hashes
 
 SIZE, THRESHOLD = 5, 0.8
 BLOCK_HASHES = 2_000_000
@@ -141,7 +141,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, thre
     """(doc_id, item_id, n_shingles, n_shared, containment) of every document
     and item of which at least ``threshold`` of the shingles are in it."""
     schema = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = balanced(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     out = None
     for block in blocks(benchmark, size, threshold):
 
@@ -161,7 +161,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, thre
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, that hold no test item."""
-    out = docs
+    out = balanced(docs)
     for block in blocks(benchmark, size, threshold):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:

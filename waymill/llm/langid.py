@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, steps, table
+from .common import balanced, packed, steps, table
 
 ORDER = 3
 LEAST = 4
@@ -178,7 +178,7 @@ def identify(docs: DataFrame, models: Models | None, id_col: str = "doc_id", tex
             lang, score = shared.value.predict(b.column("text")) if shared.value else (["und"] * b.num_rows, np.zeros(b.num_rows))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return balanced(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

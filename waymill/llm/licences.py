@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD, packed, run_hashes, runs, shingle_hashes, steps, table, word_hashes
+from .common import LOWER, WORD, balanced, packed, run_hashes, runs, shingle_hashes, steps, table, word_hashes
 
 CONFIDENT, CONFIRM = 0.6, 0.5
 NEGATIVE_DOCS, NEGATIVE_PARAGRAPHS, VARIANTS = 1000, 2000, 60
@@ -225,7 +225,7 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(shared.value.scan(b.column("text")), kind)], names=["doc_id", "findings"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, findings array<struct<family:string,start:long,stop:long,probability:double,similarity:double>>")
+    return balanced(slim).mapInArrow(run, "doc_id long, findings array<struct<family:string,start:long,stop:long,probability:double,similarity:double>>")
 
 
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import steps, table
+from .common import balanced, steps, table
 from .spans import SPAN, Span, as_arrow, digests, free_of, in_order
 
 BASE = ("email", "ip", "card", "phone")
@@ -132,7 +132,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for b in steps(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), as_arrow([find(t) for t in b.column("text").to_pylist()])], names=["doc_id", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id long, spans {SPAN}")
+    return balanced(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, f"doc_id long, spans {SPAN}")
 
 
 def redacted(text: str | None) -> str | None:
@@ -163,7 +163,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 b = b.set_column(names.index("n_chars"), b.schema.field("n_chars"), pa.array(size, b.schema.field("n_chars").type))
             yield b
 
-    return docs.mapInArrow(run, docs.schema)
+    return balanced(docs).mapInArrow(run, docs.schema)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

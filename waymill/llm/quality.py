@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD, packed, run_hashes, runs, shingle_hashes, steps, table
+from .common import LOWER, WORD, balanced, packed, run_hashes, runs, shingle_hashes, steps, table
 
 MOST_LABELLED = 20_000
 MOST_UNLABELLED = 20_000
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n, good = known.agg(F.count("*"), F.sum((F.col("quality") == 1).cast("long"))).first()
     if not good:
         return None
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(~held_out())
+    slim = balanced(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))).where(~held_out())
     total = slim.select("doc_id").count()
     trusted = known.where(taken(n, most_labelled)).where("quality = 1").select("doc_id", F.lit(True).alias("positive"))
     # about MOST_LABELLED ids at most, so they can go to every task
@@ -211,7 +211,7 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
             p = shared.value.score(features(b.column("text"))) if shared.value else np.full(b.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return balanced(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, net: Network | None, at: float = PREDICT_AT, text_col: str = "text") -> DataFrame:
@@ -223,7 +223,7 @@ def keep_good(docs: DataFrame, net: Network | None, at: float = PREDICT_AT, text
             good = shared.value.score(features(b.column(text_col))) >= at if shared.value else np.ones(b.num_rows, dtype=bool)
             yield b.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return balanced(docs).mapInArrow(run, docs.schema)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import steps, table
+from .common import balanced, steps, table
 from .spans import SPAN, Span, as_arrow, digests, free_of
 
 BASE = ("assign", "access", "hex")
@@ -240,7 +240,7 @@ def find_secrets(docs: DataFrame, formats: dict[str, Automaton] | None = None, i
         for b in steps(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), as_arrow([find(t, shared.value) for t in b.column("text").to_pylist()])], names=["doc_id", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id long, spans {SPAN}")
+    return balanced(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, f"doc_id long, spans {SPAN}")
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, steps, table
+from .common import Scratch, balanced, steps, table
 
 LEAST_REVISIT = 1000
 SLAB_BYTES, SLABS = 1 << 20, 16
@@ -241,7 +241,7 @@ def write_arc(pages: DataFrame, path: str, date: str = "20240101000000", version
             yield _one(held, 1)
 
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    _write(slim.mapInArrow(run, "slab binary"), path, "\n")
+    _write(balanced(slim).mapInArrow(run, "slab binary"), path, "\n")
 
 
 def _one(held: list[bytes], cut: int) -> pa.RecordBatch:

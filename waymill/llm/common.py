@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one step of a Python worker holds at a time (one longer text is a step of its own).
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 _own_dirs: dict[str, str] = {}
 

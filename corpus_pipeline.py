@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymill.llm import bpe, decontam, pii, quality, simhash
+from waymill.llm import bpe, decontam, nearcopies, pii, quality
 from waymill.llm.common import Scratch, table
 
 
@@ -20,8 +20,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup (operator 1): one document of each group stays."""
-    return simhash.keep_one(docs)
+    """Near-dedup: one document of each group of near copies (Jaccard similarity
+    of 5-word shingles of at least 0.8) stays."""
+    return nearcopies.keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -429,6 +429,27 @@ def test_neighbours_equal_brute_force(spark, monkeypatch):
     assert neighbours.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_tight_groups_that_link_less_closely(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CHUNK", 16)
+    monkeypatch.setattr(neighbours, "BALLS", 2)
+    rng = np.random.default_rng(8)
+    a, off = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+    b = 0.95 * a + np.sqrt(1 - 0.95**2) * off
+    far = [rng.normal(size=32) for _ in range(6)]
+    x = np.array([base / np.linalg.norm(base) + 0.006 * rng.normal(size=32) for base, n in zip((a, b, *far), (40, 40, 400, 5, 5, 5, 5, 5)) for _ in range(n)])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = x.astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    link = x @ x.T >= 0.93
+    assert link[:40, 40:80].mean() > 0.9 and not link[:80, 80:].any()
+    nearest = np.argsort(-x[:40] @ x.T, axis=1)[:, :11]
+    assert (nearest < 40).all()
+    rows = [(i, v.tolist(), "l") for i, v in enumerate(x)]
+    got = neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    want = [(i, int(link[i].sum()) - 1, 0 if i < 80 else int(np.flatnonzero(link[i])[0])) for i in range(len(x))]
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == want
+
+
 # ---------------------------------------------------------------- pipeline
 
 

@@ -7,12 +7,15 @@ its neighbours, in both directions, to each other, and whoever finds a nearer
 one keeps it. Rounds end when few lists change. List entries at the threshold,
 verified in double precision, are the graph's edges.
 
-A saturated list (all of its entries are links) may miss links. So lists of
-linked nodes are enlarged to their whole component: its members are dealt out
-to chunks, every pair of chunks is compared, and links are counted there, so no
-task ever holds a component and no list of links is made. Recall is then
-audited against brute force for AUDIT nodes chosen by hash; below TARGET the
-lists are doubled and refined anew.
+A saturated list (all of its entries are links) may miss links. Those to other
+components are searched for without lists: saturated nodes are dealt out to
+chunks of one component, and every two chunks whose balls come near enough are
+compared. (A node whose list holds a non-link has its links in its own list.)
+Links within a component are then counted the same way: every pair of its
+chunks is compared, so no task ever holds a component and no list of links is
+made. Recall is then audited against brute force, averaged over AUDIT nodes
+chosen by hash; below TARGET the lists are doubled and refined anew, and the
+run fails if lists as long as the table still fall short.
 
 Rows: vectors that are null, zero or hold null or non-finite components, and
 rows with null label, link with nothing and are their own component; vectors of
@@ -38,6 +41,8 @@ NEAREST, BLOCK, TREES, ROUNDS, SETTLED = 10, 256, 4, 4, 0.01
 #: Members of a component's chunk.
 CHUNK = 256
 AUDIT, TARGET = 1024, 0.95
+#: Balls compared with one another at a time.
+BALLS = 1024
 #: Half precision may understate a link by this much; double precision decides.
 SLACK = 0.004
 
@@ -258,9 +263,100 @@ def link_counts(members: DataFrame, threshold: float = THRESHOLD, chunk: int = C
     return dealt.mapInArrow(_counted(threshold), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
 
 
+def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (component, chunk): each chunk's mean direction and the
+    largest angle to it, with the chunk's place (label, dim)."""
+    for t in _runs(batches, ("component", "chunk")):
+        comp, chunk, dim = (t.column(x).to_numpy() for x in ("component", "chunk", "dim"))
+        label, unit = t.column("label").to_pylist(), _matrix(t.column("unit"))
+        first = _bounds(comp, chunk)
+        centers, radii = [], []
+        for s, e in zip(first, first[1:]):
+            x = np.vstack(unit[s:e])
+            mean = x.sum(axis=0)
+            size = np.sqrt(mean @ mean)
+            center = mean / size if size > 1e-9 else x[0]
+            centers.append(center.tobytes())
+            radii.append(float(np.arccos(np.clip(x @ center, -1, 1)).max()))
+        at = first[:-1]
+        yield pa.RecordBatch.from_arrays([pa.array([label[i] for i in at], pa.string()), pa.array(dim[at], pa.int32()), pa.array(comp[at]), pa.array(chunk[at], pa.int32()), pa.array(centers, pa.binary()), pa.array(radii, pa.float64())], names=["label", "dim", "component", "chunk", "center", "radius"])
+
+
+def _close(threshold: float):
+    """Rows (label, dim, i, j, part, component, chunk, center, radius) sorted by
+    the first four: pairs of chunks of two components that can hold a link."""
+    reach = float(np.arccos(threshold)) + 1e-6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, ("label", "dim", "i", "j")):
+            dim, i, j, part, comp, chunk, radius = (t.column(x).to_numpy() for x in ("dim", "i", "j", "part", "component", "chunk", "radius"))
+            center = _matrix(t.column("center"))
+            b = _bounds(t.column("label").to_pylist(), dim, i, j)
+            for s, e in zip(b, b[1:]):
+                left = np.arange(s, e)[part[s:e] == i[s]]
+                right = np.arange(s, e)[part[s:e] == j[s]]
+                if not len(left) or not len(right):
+                    continue
+                y = np.vstack([center[q] for q in right])
+                for at in range(0, len(left), 256):
+                    some = left[at : at + 256]
+                    angle = np.arccos(np.clip(np.vstack([center[p] for p in some]) @ y.T, -1, 1))
+                    ok = (angle <= radius[some][:, None] + radius[right][None, :] + reach) & (comp[some][:, None] != comp[right][None, :])
+                    if i[s] == j[s]:
+                        ok &= some[:, None] < right[None, :]
+                    p, q = np.nonzero(ok)
+                    p, q = some[p], right[q]
+                    yield pa.RecordBatch.from_arrays([pa.array(comp[p]), pa.array(chunk[p]), pa.array(comp[q]), pa.array(chunk[q])], names=["ca", "ka", "cb", "kb"])
+
+    return run
+
+
+def _met(threshold: float):
+    """Rows (ca, ka, cb, kb, component, node, unit) sorted by the first four: a
+    link between the two chunks, if there is one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, ("ca", "ka", "cb", "kb")):
+            ca, ka, cb, kb, comp, node = (t.column(x).to_numpy() for x in ("ca", "ka", "cb", "kb", "component", "node"))
+            unit = _matrix(t.column("unit"))
+            b = _bounds(ca, ka, cb, kb)
+            us, vs = [], []
+            for s, e in zip(b, b[1:]):
+                one = np.arange(s, e)[comp[s:e] == ca[s]]
+                two = np.arange(s, e)[comp[s:e] == cb[s]]
+                sims = np.vstack([unit[p] for p in one]) @ np.vstack([unit[q] for q in two]).T
+                p, q = np.unravel_index(int(sims.argmax()), sims.shape)
+                if sims[p, q] >= threshold:
+                    us.append(node[one[p]])
+                    vs.append(node[two[q]])
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def bridges(members: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
+    """Links (u, v) that connect components as all links between their members
+    do: ``members`` is (node, component, label, dim, unit)."""
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    m = members.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    m = scratch.keep(m.select("component", "chunk", "node", "label", "dim", "unit"), "saturated")
+    dealt = m.repartition("component", "chunk").sortWithinPartitions("component", "chunk")
+    balls = scratch.keep(dealt.mapInArrow(_balls, "label string, dim int, component long, chunk int, center binary, radius double"), "balls")
+    parts = balls.groupBy("label", "dim").agg(F.ceil(F.count("*") / BALLS).cast("int").alias("parts"))
+    d = balls.join(parts, ["label", "dim"]).withColumn("part", F.pmod(F.xxhash64("component", "chunk"), F.col("parts")).cast("int"))
+    d = d.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    d = d.select("label", "dim", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "component", "chunk", "center", "radius")
+    d = d.repartition("label", "dim", "i", "j").sortWithinPartitions("label", "dim", "i", "j")
+    close = scratch.keep(d.mapInArrow(_close(threshold), "ca long, ka int, cb long, kb int"), "close")
+    sides = close.withColumn("side", F.explode(F.array(F.struct(F.col("ca").alias("component"), F.col("ka").alias("chunk")), F.struct(F.col("cb").alias("component"), F.col("kb").alias("chunk")))))
+    sides = sides.select("ca", "ka", "cb", "kb", "side.component", "side.chunk").join(m, ["component", "chunk"]).select("ca", "ka", "cb", "kb", "component", "node", "unit")
+    dealt = sides.repartition("ca", "ka", "cb", "kb").sortWithinPartitions("ca", "ka", "cb", "kb")
+    return dealt.mapInArrow(_met(threshold), "u long, v long")
+
+
 def _audited(nodes: DataFrame, counts: DataFrame, threshold: float, most: int) -> tuple[float, int]:
-    """Recall of the links of ``most`` nodes against brute force, and how many
-    links those have. The nodes go to all tasks (most * vector bytes)."""
+    """Recall of links against brute force, averaged over ``most`` nodes (those
+    that have links), and how many links those have. The nodes go to all tasks (most * vector bytes)."""
     total = nodes.count()
     share = (1 << 31) if total <= most else int((1 << 31) * most / total)
     probe = nodes.where(F.pmod(F.hash("node"), F.lit(1 << 31)) < share).select("node", "label", "dim", "unit")
@@ -286,8 +382,8 @@ def _audited(nodes: DataFrame, counts: DataFrame, threshold: float, most: int) -
             yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.int64())], names=["node", "true_n"])
 
     truth = nodes.select("label", "dim", "node", "copies", "unit").mapInArrow(run, "node long, true_n long").groupBy("node").agg(F.sum("true_n").alias("true_n"))
-    row = truth.join(counts, "node", "left").agg(F.sum("true_n"), F.sum(F.least(F.coalesce("n", F.lit(0)), "true_n"))).first()
-    return (row[1] / row[0], int(row[0])) if row[0] else (1.0, 0)
+    row = truth.join(counts, "node", "left").agg(F.sum("true_n"), F.avg(F.least(F.coalesce("n", F.lit(0)), "true_n") / F.col("true_n"))).first()
+    return (row[1], int(row[0])) if row[0] else (1.0, 0)
 
 
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEAREST, audit: int = AUDIT, report: dict | None = None, **columns) -> DataFrame:
@@ -304,21 +400,28 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEAR
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "rep", "copies", "label", "unit")), pa.array([len(v) for v in x], pa.int32()), half], names=["node", "rep", "copies", "label", "unit", "dim", "half"])
 
     nodes = scratch.keep(nodes.mapInArrow(halved, "node long, rep long, copies long, label string, unit binary, dim int, half binary"), "nodes")
-    slim, lists = nodes.select("node", "label", "dim", "half"), None
+    slim, lists, size = nodes.select("node", "label", "dim", "half"), None, nodes.count()
     while True:
-        lists = descend(slim, scratch, k, known=lists)
+        lists = descend(slim, scratch, k, known=lists, block=max(BLOCK, 4 * k))
         near = lists.where(F.col("s") >= threshold - SLACK).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         pairs = near.join(nodes.select(F.col("node").alias("u"), F.col("unit").alias("a")), "u").join(nodes.select(F.col("node").alias("v"), F.col("unit").alias("b")), "v")
         links = scratch.keep(pairs.select("u", "v", "a", "b").mapInArrow(_verified(threshold), "u long, v long"), "links")
         comps = connected_components(links, scratch)
+        full = lists.groupBy("u").agg(F.min("s").alias("s")).where(F.col("s") >= threshold - SLACK).select("u")
+        full = nodes.join(full, nodes.node == full.u).join(comps, nodes.node == comps.id, "left")
+        across = scratch.keep(bridges(full.select("node", F.coalesce("component", "node").alias("component"), "label", "dim", "unit"), scratch, threshold), "bridges")
+        if across.limit(1).count():
+            comps = connected_components(links.union(across), scratch)
         comps = scratch.keep(comps.union(comps.select(F.col("component").alias("id"), "component").distinct()), "components")
         members = nodes.join(comps, nodes.node == comps.id).select("node", "component", "copies", "unit")
         counts = scratch.keep(link_counts(members, threshold), "counts")
         recall, seen = _audited(nodes, counts, threshold, audit)
         if report is not None:
             report |= {"recall": recall, "links": seen, "k": k}
-        if recall >= TARGET or k >= 8 * NEAREST:
+        if recall >= TARGET:
             break
+        if k >= size:
+            raise RuntimeError(f"recall {recall:.3f} is below {TARGET} with lists of {k}")
         k *= 2
     named = nodes.select("node", "rep", "copies").join(comps, nodes.node == comps.id, "left").join(counts, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     low = named.groupBy("component").agg(F.min("rep").alias("low"))

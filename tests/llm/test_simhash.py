@@ -56,9 +56,9 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("chain", [1, 2, None])
-def test_components_match_brute_force(spark, rows, chain, monkeypatch):
-    monkeypatch.setattr(sh, "CHUNK", 4)
+@pytest.mark.parametrize("chain, cell", [(1, 32), (2, 32), (2, sh.CELL)])
+def test_components_match_brute_force(spark, rows, chain, cell, monkeypatch):
+    monkeypatch.setattr(sh, "CELL", cell)
     got = sh.simhash_components(spark.createDataFrame(rows, SCHEMA), chain=chain).collect()
     want = plain_components([(r[0], plain_fingerprint(r[1])) for r in rows])
     assert sorted((r.doc_id or -1, r.fingerprint, r.component_id) for r in got) == sorted((d or -1, f"{f:016x}", want[d, f]) for d, f in [(r[0], plain_fingerprint(r[1])) for r in rows])
@@ -76,7 +76,7 @@ def test_random_fingerprints_at_every_chain_length(spark):
             fps.add(x)
     signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
     want = plain_components([(x, x) for x in fps])
-    for chain in (1, 2, 3):
+    for chain in (1, 2, 3):  # the links are the same for each of them
         edges = sh.links(spark.createDataFrame(signed, "fp long"), sh.Scratch(spark), chain=chain).collect()
         unsigned = [(e.a % (1 << 64), e.b % (1 << 64)) for e in edges]
         assert all(bin(a ^ b).count("1") <= 4 for a, b in unsigned)
@@ -115,3 +115,62 @@ def test_keep_one_and_empty_table(spark, rows):
     assert sum(r.doc_id is None for r in kept) == 1
     none = docs.limit(0)
     assert sh.simhash_components(none).count() == 0 and sh.keep_one(none).count() == 0
+
+
+def test_rows_of_one_id_decide_alone(spark):
+    """Found with fingerprints set by hand: a null id bridges, an id on two unlike texts joins nothing."""
+    fps = {"x": 0, "bridge": 0xF, "end": 0xFF, "y": 0x0F0F0F0F0F0F0F0F, "z": (1 << 64) - 1}
+    old = sh.fingerprint
+    try:
+        sh.fingerprint = lambda text, size=4: fps[text.decode()]
+        make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        with_fps = sh.fingerprints
+        sh.fingerprints = lambda docs, *a, **k: spark.createDataFrame([(r[0], fps[r[1]] - (1 << 64) if fps[r[1]] >> 63 else fps[r[1]]) for r in docs.select("doc_id", "text").collect()], "doc_id long, fp long")
+        got = sh.simhash_components(make([(1, "x"), (None, "bridge"), (3, "end"), (1, "y"), (None, "z")])).collect()
+        assert sorted((r.doc_id or -1, r.fingerprint, r.component_id) for r in got) == sorted([(1, "0" * 16, 1), (-1, f"{0xF:016x}", 1), (3, f"{0xFF:016x}", 1), (1, "0f" * 8, 1), (-1, "f" * 16, None)])
+        kept = sh.keep_one(make([(5, "bridge"), (5, "y"), (1, "x"), (None, "end"), (7, "z"), (7, "z")])).collect()
+        assert sorted((r.doc_id or -1, r.text) for r in kept) == [(-1, "end"), (1, "x"), (5, "y"), (7, "z")]
+    finally:
+        sh.fingerprint, sh.fingerprints = old, with_fps
+
+
+def test_hot_keys_of_many_owners_and_of_many_probes(spark, monkeypatch):
+    monkeypatch.setattr(sh, "CELL", 64)
+    rng = random.Random(9)
+    fps = set()
+    for _ in range(3):  # dense groups that share the first two segments
+        base = rng.getrandbits(38) << 26 | 12345
+        while len(fps) % 500 != 499:
+            x = base
+            for bit in rng.sample(range(26, 64), rng.randint(0, 7)):
+                x ^= 1 << bit
+            fps.add(x)
+        fps.add(base)
+    one = rng.getrandbits(64)  # a key of one owner, whose neighbour keys have many
+    fps.add(one)
+    for _ in range(400):
+        x = one ^ (1 << 20)
+        for bit in rng.sample(range(26, 64), rng.randint(2, 20)):
+            x ^= 1 << bit
+        fps.add(x)
+    signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
+    frame = spark.createDataFrame(signed, "fp long")
+    assert sh._hot_keys(frame, sh.Scratch(spark), 2, 4).count() > 2
+    want, left = {}, set(fps)
+    while left:
+        todo, seen = [left.pop()], set()
+        while todo:
+            x = todo.pop()
+            seen.add(x)
+            near = {y for y in left if (x ^ y).bit_count() <= 4}
+            left -= near
+            todo += near
+        want |= {f: min(g - (1 << 64) if g >> 63 else g for g in seen) for f in seen}
+    got = {r.fp % (1 << 64): r.component for r in sh.fingerprint_components(frame, sh.Scratch(spark)).collect()}
+    assert all(got.get(f, f - (1 << 64) if f >> 63 else f) == c for f, c in want.items())
+
+
+def test_rows_of_a_fingerprint_do_not_grow(spark):
+    rng = random.Random(3)
+    frame = spark.createDataFrame([(rng.getrandbits(63),) for _ in range(5000)], "fp long")
+    assert frame.mapInArrow(sh._keyed(sh.CHAIN, 4), "start int, key long, fp long").count() <= 40 * 5000

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one step of a Python worker holds at a time (one longer text is a step of its own).
 STEP_BYTES = 2 << 20
+#: Nodes that a task of the components holds at a time.
+FOREST = 1_000_000
 
 _own_dirs: dict[str, str] = {}
 
@@ -26,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``;
-    a folder of our own only where that setting is absent (tests, local mode)."""
+    a folder of our own where that setting is absent, in local mode alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         found = _own_dirs.get(app) or _own_dirs.setdefault(app, "file://" + tempfile.mkdtemp(prefix="waymill-"))
     return found.rstrip("/")
@@ -202,7 +206,8 @@ def balanced(df: DataFrame) -> DataFrame:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces a partition's edges by (node, least node reachable within it)."""
+    """Replaces a partition's edges by (node, least node reachable within them),
+    for at most FOREST nodes at a time."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -213,22 +218,29 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x], x = top, parent[x]
         return top
 
+    def found() -> Iterator[pa.RecordBatch]:
+        nodes = [x for x in parent if root(x) != x]
+        for at in range(0, len(nodes), 50_000):
+            part = nodes[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["u", "v"])
+        parent.clear()
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    nodes = [x for x in parent if root(x) != x]
-    for at in range(0, len(nodes), 50_000):
-        part = nodes[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["u", "v"])
+        if len(parent) > FOREST:
+            yield from found()
+    yield from found()
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """(id, component) for every node of the (long, long) edges but components'
     least nodes: alternating large-star and small-star steps until nothing
-    changes. Group minima are aggregated before the join, so a hub never has to
-    fit in one task, and each round is a table in the shared folder."""
+    changes. Group minima are aggregated partially before their shuffle; a hub's
+    edges meet its minimum in a sort-merge join, which streams them and which the
+    adaptive skew join splits. Each round is a table in the shared folder."""
     a, b = edges.columns[:2]
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
     e = scratch.keep(e.mapInArrow(_forest, "u long, v long").distinct(), "edges")
@@ -254,3 +266,22 @@ def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int =
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, but one for each component.
+    ``found`` is (doc_id, node, component) of every row, node being the text's
+    xxhash64. The row with the smallest (doc_id, node) stays, once; rows without
+    doc_id stay, and never stand for a component."""
+    text = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    named = found.where("doc_id is not null")
+    first = named.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("first"))
+    stays = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))
+    told = scratch.keep(named.join(first, "component").select(F.col("doc_id").alias("_doc"), F.col("node").alias("_node"), stays.alias("stays")), "told")
+    # by shuffle at every size: how many go grows with the input, so they are no side to broadcast
+    gone = told.where("not stays").select("_doc", "_node").distinct().hint("merge")
+    out = docs.join(gone, (text == F.col("_node")) & (docs[id_col].cast("long") == F.col("_doc")), "left_anti")
+    if told.where("stays").groupBy("_doc", "_node").count().where("count > 1").limit(1).count():  # a row repeated: one stays
+        named = out.where(F.col(id_col).isNotNull()).withColumn("_node", text).dropDuplicates([id_col, "_node"]).drop("_node")
+        out = named.unionByName(out.where(F.col(id_col).isNull()))
+    return out

@@ -3,16 +3,25 @@
 A fingerprint is cut into RING segments that form a ring. If two fingerprints
 differ in at most ``distance`` bits, some segment starts a chain whose first l
 segments differ in at most floor(l * distance / RING) bits, for every l. The
-first CHAIN segments of such a chain are the join key (a row probes every key
-within the chain's budgets), the longer prefixes of the chain prune candidates,
-and only what survives gets the full Hamming check. Longer key chains are taken
-as the corpus grows, so that the mean key stays rare: the links are the same
-for each of them.
-
-Rows: null text counts as empty; a text without words has fingerprint zero,
-which links like any other; repeated rows share a fingerprint and so a
-component; a row without doc_id gets the component of its fingerprint and is
-never the name of one. Other columns are ignored.
+first CHAIN segments of such a chain are the join key, at every corpus size: a
+row probes every key within the chain's budgets, 37 rows a fingerprint. The
+longer prefixes of the chain prune candidates, and only what survives gets the
+full Hamming check.
+
+A hot key (more than CELL owners and probes) is compared in two passes. First
+its rows are dealt out over cells of about CELL rows, each with the key's
+smallest owner as a pivot; that connects a dense group. Then the rows outside
+the key's largest component, and only they, meet all of the key's rows, in
+cells again. No link is lost, no row is in a cell of unbounded size, and what
+a dense group costs grows with its stragglers rather than its square.
+
+Components are those of fingerprints; they are named by the smallest doc_id of
+their rows. Rows: null text counts as empty; a text without words has
+fingerprint zero, which links like any other; repeated rows share a fingerprint
+and so a component; rows of one doc_id with different texts are rows of their
+own; a row without doc_id links like any other and gets its component, but
+never names one (a component of such rows alone has none). Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,14 +34,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, balanced, connected_components, steps, table
+from .common import Scratch, balanced, connected_components, one_of_each, steps, table
 
 RING = 5
 _WIDTHS = [13, 13, 13, 13, 12]
 _FROM = np.cumsum([0, *_WIDTHS])[:-1]
 SEGMENTS = [((1 << w) - 1) << int(s) for w, s in zip(_WIDTHS, _FROM)]
-#: Members of a key beyond which it is dealt out as pairs of chunks.
-CHUNK = 256
+#: Segments of the join key.
+CHAIN = 2
+#: Rows of a key beyond which it is dealt out over cells of about so many.
+CELL = 4096
 #: Hot keys up to this number (16 bytes each) are broadcast; more are joined by shuffle.
 MOST_BROADCAST = 200_000
 _ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -86,17 +97,22 @@ def chain_masks(start: int, chain: int, distance: int) -> list[int]:
     return [m for m, _ in found]
 
 
-def _keyed(chain: int, distance: int):
-    """(key, fp) rows: key = start segment in the low 3 bits and a hash-free
-    packing of the chain's bits above; one row with the own bits (the index) and
-    one for each difference whose highest bit is clear here (the probes: of two
-    fingerprints that differ there, just one probes the other)."""
-    plan = []
+def _regions(chain: int) -> list[int]:
+    """The key's bits for each start."""
+    out = []
     for start in range(RING):
         region = 0
         for l in range(chain):
             region |= SEGMENTS[(start + l) % RING]
-        plan.append((start, region, [m for m in chain_masks(start, chain, distance) if m]))
+        out.append(region)
+    return out
+
+
+def _keyed(chain: int, distance: int):
+    """(start, key, fp) rows: one with the own bits (the row owns that key) and
+    one for each difference whose highest bit is clear here (the probes: of two
+    fingerprints that differ there, just one probes the other)."""
+    plan = [(start, region, [m for m in chain_masks(start, chain, distance) if m]) for start, region in enumerate(_regions(chain))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -116,17 +132,13 @@ def _keyed(chain: int, distance: int):
     return run
 
 
-def _linked(chain: int, distance: int):
-    """From rows sorted by (start, key, pair) to edges (a, b) that connect what is
-    linked within each run. Only rows that own the key are compared with the
-    run's others; what is connected already gives no further edge."""
-    regions = []
-    for start in range(RING):
-        region = 0
-        for l in range(chain):
-            region |= SEGMENTS[(start + l) % RING]
-        regions.append(region)
-    regions = np.array(regions, dtype=np.uint64)
+def _linked(chain: int, distance: int, lead: str):
+    """From rows (start, key, cell, fp, lead, component) sorted by the first
+    three to edges (a, b) that connect what is linked within each cell. The rows
+    of ``lead`` (the key's owners, or the rows marked so) are compared with the
+    cell's others; what has one component already gives no further edge, nor
+    does a pair of which neither owns the key (another key has it)."""
+    regions = np.array(_regions(chain), dtype=np.uint64)
     # prefix masks of the ring from each start, with their budgets
     prefix = np.zeros((RING, RING), dtype=np.uint64)
     for start in range(RING):
@@ -136,125 +148,171 @@ def _linked(chain: int, distance: int):
             prefix[start, l] = m
     budgets = [(l + 1) * distance // RING for l in range(RING)]
 
-    def edges(start: np.ndarray, key: np.ndarray, pair: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def edges(start, key, cell, fp, marked, component) -> tuple[np.ndarray, np.ndarray]:
         new = np.ones(len(fp), dtype=bool)
-        new[1:] = (start[1:] != start[:-1]) | (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])
+        new[1:] = (start[1:] != start[:-1]) | (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])
         run = np.cumsum(new) - 1
         owns = (fp & regions[start]) == key
-        order = np.lexsort((~owns, run))
-        start, fp, run, owns = start[order], fp[order], run[order], owns[order]
+        leads = owns if lead == "owners" else marked
+        order = np.lexsort((~leads, run))
+        start, fp, run, owns, leads, component = (x[order] for x in (start, fp, run, owns, leads, component))
         first = np.flatnonzero(np.diff(run, prepend=-1))
-        size, own = np.diff(np.append(first, len(fp))), np.add.reduceat(owns.astype(np.int64), first)
-        live = (own > 0) & (size > 1)
-        rows = np.flatnonzero(live[run])
-        label = np.arange(len(fp))
-        out_a, out_b = [], []
-        k = 0
+        size, n_lead = np.diff(np.append(first, len(fp))), np.add.reduceat(leads.astype(np.int64), first)
+        rows = np.flatnonzero(((n_lead > 0) & (size > 1))[run])
+        # rows of a run that are connected already begin with one label
+        by = np.lexsort((component, run))
+        same = np.zeros(len(fp), dtype=bool)
+        same[1:] = (run[by][1:] == run[by][:-1]) & (component[by][1:] == component[by][:-1])
+        label = np.empty(len(fp), dtype=np.int64)
+        label[by] = by[np.maximum.accumulate(np.where(same, 0, np.arange(len(fp))))]
+        out_a, out_b, k = [], [], 0
         while len(rows):
             pivot = first[run[rows]] + k
             ahead = rows > pivot
             r, p = rows[ahead], pivot[ahead]
+            apart = (label[r] != label[p]) & (owns[r] | owns[p])
+            r, p = r[apart], p[apart]
             x = fp[r] ^ fp[p]
             for l in range(1, RING):  # the chain's longer prefixes; the last is the full Hamming check
                 if l < chain and l + 1 < RING:
                     continue
                 ok = np.bitwise_count(x & prefix[start[r], l]) <= budgets[l]
                 r, p, x = r[ok], p[ok], x[ok]
-            apart = label[r] != label[p]
-            r, p = r[apart], p[apart]
             if len(r):
                 out_a.append(fp[r])
                 out_b.append(fp[p])
                 to = np.arange(len(fp))
+                # of several rows with one label, any stands for it: all get the pivot's
                 to[label[r]] = label[p]
                 label[rows] = to[label[rows]]
             k += 1
-            rows = rows[own[run[rows]] > k]
+            rows = rows[n_lead[run[rows]] > k]
         none = np.zeros(0, dtype=np.uint64)
         return np.concatenate([*out_a, none]), np.concatenate([*out_b, none])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
+        held: list[list[np.ndarray]] = []
 
-        def done(cols: list[np.ndarray]) -> pa.RecordBatch:
-            a, b = edges(*cols)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        def done(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+            a, b = edges(*(np.concatenate(x) for x in zip(*parts)))
+            ok = a != b
+            return pa.RecordBatch.from_arrays([pa.array(a[ok].view(np.int64)), pa.array(b[ok].view(np.int64))], names=["a", "b"])
 
         for batch in batches:
-            cols = [batch.column("start").to_numpy(), batch.column("key").to_numpy().view(np.uint64), batch.column("pair").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols)]
-            n = len(cols[0])
+            n = batch.num_rows
             if not n:
                 continue
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("start", "key", "cell", "fp", "lead", "component")]
+            cols[1], cols[3] = cols[1].view(np.uint64), cols[3].view(np.uint64)
+            if held and any(c[0] != h[-1] for c, h in zip(cols[:3], held[-1])):
+                yield done(held)
+                held = []
             last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1])
             cut = n - int(np.argmin(last[::-1])) if not last.all() else 0
             if cut:
-                yield done([c[:cut] for c in cols])
-            rest = [c[cut:] for c in cols]
-        if rest is not None and len(rest[0]):
-            yield done(rest)
+                yield done([*held, [c[:cut] for c in cols]])
+                held = []
+            held.append([c[cut:] for c in cols])
+        if held:
+            yield done(held)
 
     return run
 
 
-def links(distinct: DataFrame, scratch: Scratch, distance: int = 4, chain: int | None = None) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints whose components are those of
-    all pairs within ``distance`` bits."""
-    if not 0 <= distance < 2 * RING:
-        raise ValueError("distance must be 0 to 9")
-    if chain is None:
-        n = distinct.count()
-        chain = next((l for l in (1, 2) if (1 << (13 * l)) >= 8 * n), 3)
-    rows = distinct.select("fp").mapInArrow(_keyed(chain, distance), "start int, key long, fp long")
-    own = F.array([F.struct(F.lit(s).alias("start"), F.col("fp").bitwiseAND(F.lit(_signed(s, chain))).alias("key")) for s in range(RING)])
-    hot = distinct.select(F.explode(own).alias("k")).groupBy("k").count().where(F.col("count") > CHUNK).select("k.start", "k.key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
-    hot = scratch.keep(hot, "hot")
-    n_hot = hot.count()
-    if n_hot:
-        rows = rows.join(F.broadcast(hot) if n_hot <= MOST_BROADCAST else hot, ["start", "key"], "left")
-        mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-        pairs = F.transform(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: j != mine), lambda j: F.least(j, mine).cast("long") * 1_000_000 + F.greatest(j, mine))
-        rows = rows.select("start", "key", "fp", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(pairs)).alias("pair"))
-    else:
-        rows = rows.withColumn("pair", F.lit(-1).cast("long"))
-    dealt = rows.repartition("start", "key", "pair").sortWithinPartitions("start", "key", "pair")
-    return dealt.select("start", "key", "pair", "fp").mapInArrow(_linked(chain, distance), "a long, b long")
+def _hot_keys(distinct: DataFrame, scratch: Scratch, chain: int, distance: int) -> DataFrame:
+    """(start, key, n) of the keys with more than CELL rows. Owners are counted;
+    probes follow from the owners of the keys around, of which those with few
+    owners are left out (their probes are below the number of differences times
+    CELL / 32)."""
+    own = _owned(distinct, chain)
+    warm = scratch.keep(own.groupBy("start", "key").agg(F.count("*").alias("n")).where(F.col("n") > CELL // 32), "warm")
+    masks = F.array([F.array([F.lit(_signed(m)) for m in chain_masks(s, chain, distance) if m]) for s in range(RING)])
+    tops = F.array([F.array([F.lit(_signed(1 << (m.bit_length() - 1))) for m in chain_masks(s, chain, distance) if m]) for s in range(RING)])
+    around = warm.select("start", "key", "n", F.explode(F.arrays_zip(masks[F.col("start")].alias("m"), tops[F.col("start")].alias("t"))).alias("d"))
+    around = around.where(F.col("key").bitwiseAND(F.col("d.t")) == 0).select("start", F.col("key").bitwiseXOR(F.col("d.m")).alias("key"), "n")
+    return warm.unionByName(around).groupBy("start", "key").agg(F.sum("n").alias("n")).where(F.col("n") > CELL)
+
+
+def _owned(distinct: DataFrame, chain: int) -> DataFrame:
+    regions = _regions(chain)
+    own = F.array([F.struct(F.lit(s).alias("start"), F.col("fp").bitwiseAND(F.lit(_signed(regions[s]))).alias("key")) for s in range(RING)])
+    return distinct.select("fp", F.explode(own).alias("k")).select("fp", "k.start", "k.key")
 
 
-def _signed(start: int, chain: int) -> int:
-    region = 0
-    for l in range(chain):
-        region |= SEGMENTS[(start + l) % RING]
-    return region - (1 << 64) if region >> 63 else region
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, distance: int = 4, chain: int | None = None) -> DataFrame:
+def links(distinct: DataFrame, scratch: Scratch, distance: int = 4, chain: int = CHAIN) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints (column ``fp``) whose components
+    are those of all pairs within ``distance`` bits."""
+    if not 0 <= distance < 2 * RING:
+        raise ValueError("distance must be 0 to 9")
+    distinct = distinct.select("fp")
+    rows = distinct.mapInArrow(_keyed(chain, distance), "start int, key long, fp long")
+    edge, cells = "a long, b long", ["start", "key", "cell"]
+    hot = scratch.keep(_hot_keys(distinct, scratch, chain, distance), "hot")
+    n_hot = hot.count()
+
+    def compared(rows: DataFrame, lead: str) -> DataFrame:
+        dealt = rows.select(*cells, "fp", "lead", "component").repartition(*cells).sortWithinPartitions(*cells)
+        return dealt.mapInArrow(_linked(chain, distance, lead), edge)
+
+    plain = lambda d, cell: d.select("start", "key", cell.alias("cell"), "fp", F.lit(False).alias("lead"), F.col("fp").alias("component"))
+    if not n_hot:
+        return compared(plain(rows, F.lit(0)), "owners")
+    few = n_hot <= MOST_BROADCAST
+    side = lambda d: F.broadcast(d) if few else d
+    first = _owned(distinct, chain).join(side(hot), ["start", "key"]).groupBy("start", "key").agg(F.min("fp").alias("fp"))
+    hot = scratch.keep(hot.join(first, ["start", "key"], "left").withColumn("cells", F.when(F.col("fp").isNotNull(), F.ceil(F.col("n") / CELL).cast("int") + 1).otherwise(0)), "hot")
+    told = rows.join(side(hot.select("start", "key", "cells")), ["start", "key"], "left")
+    told, hot = told.where("cells is null or cells > 0"), hot.where("cells > 0")  # probes alone link nothing
+    spread = plain(told, F.coalesce(F.pmod(F.xxhash64("fp"), F.col("cells")).cast("int"), F.lit(0)))
+    pivots = plain(hot.select("start", "key", "fp", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("c")), F.col("c"))
+    found = scratch.keep(compared(spread.unionByName(pivots), "owners"), "links")
+
+    comps = connected_components(found, scratch)
+    hot_rows = scratch.keep(rows.join(side(hot.select("start", "key")), ["start", "key"]), "rows")
+    hot_rows = hot_rows.join(comps, hot_rows.fp == comps.id, "left").select("start", "key", "fp", F.coalesce("component", "fp").alias("component"))
+    hot_rows = scratch.keep(hot_rows, "rows")
+    sizes = hot_rows.groupBy("start", "key", "component").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("start", "key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
+    split = sizes.where("n > top.n").select("start", "key", F.col("top.component").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / CELL).cast("int").alias("few"), F.ceil(F.col("n") / CELL).cast("int").alias("all"))
+    told = hot_rows.join(side(split), ["start", "key"])
+    at = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("long")
+    over = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+    leads = told.where("component <> top").withColumn("o", over("all")).select("start", "key", (at("few") * F.col("all") + F.col("o")).alias("cell"), "fp", F.lit(True).alias("lead"), "component")
+    others = told.withColumn("o", over("few")).select("start", "key", (F.col("o") * F.col("all") + at("all")).alias("cell"), "fp", F.lit(False).alias("lead"), "component")
+    return found.unionAll(compared(leads.unionByName(others), "marked"))
+
+
+def fingerprint_components(distinct: DataFrame, scratch: Scratch, distance: int = 4, chain: int = CHAIN) -> DataFrame:
+    """(fp, component) of the fingerprints that are linked with others."""
+    comps = connected_components(scratch.keep(links(distinct, scratch, distance, chain), "links"), scratch)
+    return comps.union(comps.select(F.col("component").alias("id"), "component").distinct()).select(F.col("id").alias("fp"), "component")
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, distance: int = 4, chain: int = CHAIN) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     fps = scratch.keep(fingerprints(docs, id_col, text_col, size), "fingerprints")
     reps = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
-    edges = scratch.keep(links(reps, scratch, distance, chain).distinct(), "links")
-    named = edges.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b")
-    comps = connected_components(named.select("u", "v").where("u is not null and v is not null"), scratch)
-    reps = reps.join(comps, reps.rep == comps.id, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(reps, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    comps = scratch.keep(fingerprint_components(reps, scratch, distance, chain).join(reps, "fp"), "components")
+    low = comps.groupBy("component").agg(F.min("rep").alias("low"))
+    named = reps.join(comps.join(low, "component").select("fp", "low"), "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"))
+    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component, one each; rows
-    without doc_id stay. All columns are kept."""
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, distance: int = 4) -> DataFrame:
+    """The rows of ``docs``, with all columns, but one for each component (see
+    ``one_of_each``); rows without doc_id stay."""
     scratch = Scratch(docs.sparkSession)
-    found = scratch.keep(simhash_components(docs, **options).select("doc_id", "component_id"), "components")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    # by shuffle at every size: how many go grows with the input, so their ids are no side to broadcast
-    out = docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeated:  # an id on several rows: one of them stays
-        named = out.where("doc_id is not null").dropDuplicates(["doc_id"])
-        out = named.unionByName(out.where("doc_id is null"))
-    return out
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    fps = scratch.keep(fingerprints(slim.select(F.xxhash64("text").alias("doc_id"), "text"), size=size).distinct().withColumnRenamed("doc_id", "node"), "fingerprints")
+    comps = fingerprint_components(fps.select("fp").distinct(), scratch, distance)
+    found = slim.select("doc_id", F.xxhash64("text").alias("node")).join(fps.join(comps, "fp", "left"), "node").select("doc_id", "node", F.coalesce("component", "fp").alias("component"))
+    return one_of_each(docs, found, scratch, id_col, text_col)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,4 +86,36 @@ def test_pairs_at_the_limit_share_a_key():
         b.append(" ".join(words))
     x, y = pa.array(a), pa.array(b)
     assert nearcopies.are_near(x, y).all()
-    assert (nearcopies.band_keys(x) == nearcopies.band_keys(y)).any(axis=1).all()
+    assert (nearcopies.band_keys(*nearcopies.shingles(x)) == nearcopies.band_keys(*nearcopies.shingles(y))).any(axis=1).all()
+
+
+def test_cells_lose_no_similar_pair():
+    rng = random.Random(4)
+    texts = []
+    for n in (30, 400, 3000):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        texts += [" ".join(words), *(edited(rng, words, k) for k in (1, n // 60 + 1, n // 50 + 1, n // 40, n // 20))]
+    h, bounds = nearcopies.shingles(pa.array(texts))
+    size, level, kept = zip(*(nearcopies.sketch(h[s:e]) for s, e in zip(bounds, bounds[1:])))
+    assert max(level) > 0 and all(len(k) <= 4 * nearcopies.SKETCH for k in kept)
+    lead = np.arange(len(texts)) % 3 > 0
+    p, q = nearcopies.similar(lead, np.arange(len(texts)), np.array(size), np.array(level), [np.frombuffer(k, np.uint32) for k in kept])
+    found = {(min(a, b), max(a, b)) for a, b in zip(p.tolist(), q.tolist())}
+    sets = [plain_shingles(t) for t in texts]
+    near = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and (lead[i] or lead[j])}
+    assert near and near <= found
+    assert all(len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j]) for i, j in found)
+
+
+def test_a_large_group_of_copies_of_one_text(spark, monkeypatch):
+    """Copies that are near the text but not near one another, with stragglers and a second group, in small cells."""
+    monkeypatch.setattr(nearcopies, "FEW", 8)
+    monkeypatch.setattr(nearcopies, "MANY", 16)
+    rng = random.Random(12)
+    words, texts = [f"w{i}" for i in range(100)], []
+    texts = [" ".join(words)] + [edited(rng, words, rng.choice([1, 2, 3, 4])) for _ in range(120)]
+    other = edited(rng, words, 6).split()
+    texts += [" ".join(other)] + [edited(rng, other, 2) for _ in range(40)]
+    groups = plain_groups(texts)
+    kept = nearcopies.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(set(groups)) > 5 and sorted(r.doc_id for r in kept) == sorted(set(groups))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +23,22 @@ def in_order(spans: list[Span], kinds: tuple[str, ...]) -> list[Span]:
     return sorted(spans, key=lambda x: (x[0], kinds.index(x[2]), x[1]))
 
 
-def free_of(span: tuple[int, int], taken: list[Span]) -> bool:
-    return all(e <= span[0] or s >= span[1] for s, e, _ in taken)
+class Taken:
+    """The stretches that spans cover, as disjoint sorted intervals."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.stops: list[int] = []
+        for s, e, *_ in sorted(spans):
+            if self.stops and s <= self.stops[-1]:
+                self.stops[-1] = max(self.stops[-1], e)
+            else:
+                self.starts.append(s)
+                self.stops.append(e)
+
+    def free(self, start: int, stop: int) -> bool:
+        at = bisect.bisect_right(self.stops, start)
+        return at == len(self.starts) or self.starts[at] >= stop
 
 
 def joined(spans: Column | str) -> Column:

@@ -168,10 +168,20 @@ def test_langid_code_lengths_equal_plain_ppm():
     model = langid.Models(counts, least=1)
     texts = [b"abra the zyx", b"", b"\xff\x00q", b"cadabra"]
     data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-    got = model.bits(data, ends) / langid.UNIT
+    got = model.bits(data, ends)
     for row, t in zip(got, texts):
         for x, lang in zip(row, model.langs):
-            assert abs(x - plain_bits(plain[lang], t)) <= 0.002 * len(t) + 1e-9
+            assert abs(x - plain_bits(plain[lang], t)) <= 1e-6 * len(t) + 1e-9
+
+
+def test_langid_needs_a_letter_and_bounds_its_table(monkeypatch):
+    counts = {lang: np.unique(langid._grams(np.frombuffer(t, np.uint8), np.array([0, len(t)])), return_counts=True) for lang, t in {"en": b"the cat sat on the mat", "fr": b"le chat est la"}.items()}
+    model = langid.Models({k: (g, n.astype(float)) for k, (g, n) in counts.items()}, least=1)
+    langs, scores = model.predict(pa.array(["²", "Ⅳ", "½ 12", "_", "ª", "ß", "the", None]))
+    assert langs[:4] == ["und"] * 4 and not scores[:4].any() and all(x != "und" for x in langs[4:7]) and langs[7] == "und"
+    monkeypatch.setattr(langid, "MOST_BYTES", 1000)
+    with pytest.raises(ValueError):
+        langid.Models({k: (g, n.astype(float)) for k, (g, n) in counts.items()}, least=1)
 
 
 def test_langid_held_out_accuracy_and_edges(spark, docs, edge):
@@ -209,26 +219,26 @@ def test_decontamination_equals_brute_force(spark, edge):
         if d % 17 == 0:
             words += ["SHORT", "item!"]
         rows.append((d, " ".join(words).upper() if d % 3 == 0 else ", ".join(words)))
-    rows += [(500, None), (501, ""), (None, "x null item of five words here y"), (502, "w1")]
+    rows += [(500, None), (501, ""), (None, "x null item of five words here y"), (502, "w1"), rows[1], (rows[1][0], rows[3][1])]
     low = lambda t: (t or "").lower()
     cut = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", low(t))
-    want = []
+    want, bad = [], set()
     for i, text in items:
         w = cut(text)
         k = min(5, len(w))
         own = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if k else set()
-        for d, t in rows:
+        for at, (d, t) in enumerate(rows):
             x = cut(t)
             shared = len(own & {tuple(x[j : j + k]) for j in range(len(x) - k + 1)}) if k else 0
             if own and shared >= 0.8 * len(own) - 1e-9:
-                want.append((d or -1, i or -1, len(own), shared, shared / len(own)))
-    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+                bad.add(at)
+                want.append((-1 if d is None else d, -1 if i is None else i, len(own), shared, shared / len(own)))
+    items_rows = [*items, items[0], items[3], (93, None)]  # repeated rows count once
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items_rows, "item_id long, text string")
     got = [(r[0] if r[0] is not None else -1, r[1] if r[1] is not None else -1, *r[2:]) for r in decontam.contaminations(docs, bench).collect()]
-    fix = lambda rows: sorted((a if a else (0 if a == 0 else -1), b, *c) for a, b, *c in rows)
-    assert [(x[0], *x[2:]) for x in fix(got)] != [] and len(got) == len(want)
-    kept = {r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()}
-    bad = {r[0] for r in got}
-    assert kept == {d for d, _ in rows if (d if d is not None else -1) not in bad}
+    assert got and sorted(got) == sorted(want)
+    kept = [(-1 if r.doc_id is None else r.doc_id, r.text or "") for r in decontam.drop_contaminated(docs, bench).collect()]
+    assert sorted(kept) == sorted((-1 if d is None else d, t or "") for at, (d, t) in enumerate(rows) if at not in bad)
     assert decontam.contaminations(edge, bench.limit(0)).count() == 0 and decontam.drop_contaminated(edge, bench.limit(0)).count() == len(EDGE)
     assert decontam.drop_contaminated(edge, bench).columns == edge.columns
 

@@ -3,7 +3,8 @@
 A rolling hash over the last WINDOW bytes cuts texts into chunks, so a passage
 that documents share is cut alike in each of them. The inside of a chunk, from
 its first to its last agreement point, is encoded once and reused by every
-later document of the worker (a bounded store, see STORE_BYTES). An agreement
+later document of the worker process, in this task and later ones (a bounded
+store, see STORE_BYTES). An agreement
 point is a white space after a visible character: the pre-tokeniser always
 splits there, so the encodings of a chunk alone and of the chunk in its text
 agree from there on. Around a cut the join is encoded anew: its window grows to
@@ -45,6 +46,9 @@ STORE_BYTES = 48 << 20
 # Fixed value: the pre-tokenisation pattern of the byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Of each vocabulary: the pieces that this worker process has encoded, and their size.
+_stores: dict[str, tuple[dict, list[int]]] = {}
+
 _LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 _GEAR = np.random.default_rng(20240607).integers(0, 1 << 32, 256, dtype=np.uint32)
 _SPACE = np.zeros(256, dtype=bool)
@@ -178,7 +182,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     on every machine."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, size = {}, [0]
+        from waymill.llm import bpe  # the module itself: its store outlives the task
+
+        store, size = bpe._stores.setdefault(vocabulary, ({}, [0]))
         for b in steps(batches, "text", 2 << 20):
             ids, text = encode_column(b.column("text"), vocabulary, store, size)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array([t.decode("utf-8", "replace") for t in text], pa.string())], names=["doc_id", "ids", "decoded"])

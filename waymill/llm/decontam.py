@@ -11,13 +11,17 @@ reaches its item's count is verified by exact containment of the shingles'
 words.
 
 The sketches and items of a block are sent to all executors; a block holds at
-most BLOCK_HASHES hashes and its items' texts, and a larger benchmark is searched in several blocks.
+most BLOCK_HASHES hashes and its items' texts. A larger benchmark is searched
+block after block, each by a scan whose result is written before the next block
+is sent, so driver and executors hold one block at a time.
 
 Words are runs of ASCII letters, digits and other non-ASCII characters of the
 lower-cased text. An item of fewer than ``size`` words is one shingle of
-all its words; one without words matches nothing. Null texts have no words;
-null ids pass through; other columns are kept by ``drop_contaminated`` and
-ignored by ``contaminations``.
+all its words; one without words matches nothing. Repeated benchmark rows count
+once; texts of one item_id are items of their own; repeated documents each have
+their rows. Null texts have no words; null ids pass through; other columns are
+kept by ``drop_contaminated`` and ignored by ``contaminations``. Whole texts are
+read, however long.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import balanced, shingle_hashes, steps, table, word_hashes
+from .common import Scratch, balanced, shingle_hashes, steps, table, word_hashes
 
 SIZE, THRESHOLD = 5, 0.8
 BLOCK_HASHES = 2_000_000
@@ -123,18 +127,16 @@ class Block:
         return out
 
 
-def blocks(benchmark: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, id_col: str = "item_id", text_col: str = "text") -> list:
-    """Broadcast blocks of the items. The number of words bounds that of shingles."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+def blocks(benchmark: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, id_col: str = "item_id", text_col: str = "text") -> Iterator:
+    """The items' blocks, one after the other, broadcast, and how many there are. The number of words bounds that of shingles."""
+    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / 2 / BLOCK_HASHES))
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    out = []
     for k in range(n):
         rows = [(r.item_id, r.text) for r in dealt.where(F.col("block") == k).select("item_id", "text").collect()]
         if rows:
-            out.append(benchmark.sparkSession.sparkContext.broadcast(Block(rows, size, threshold)))
-    return out
+            yield benchmark.sparkSession.sparkContext.broadcast(Block(rows, size, threshold)), n
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,8 +144,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, thre
     and item of which at least ``threshold`` of the shingles are in it."""
     schema = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
     slim = balanced(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    out = None
-    for block in blocks(benchmark, size, threshold):
+    scratch, out = Scratch(docs.sparkSession), None
+    for block, n in blocks(benchmark, size, threshold):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for b in steps(batches, "text"):
@@ -155,14 +157,17 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, thre
                     )
 
         part = slim.mapInArrow(run, schema)
+        if n > 1:
+            part = scratch.keep(part, "found")
+            block.destroy()
         out = part if out is None else out.unionAll(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, that hold no test item."""
-    out = balanced(docs)
-    for block in blocks(benchmark, size, threshold):
+    scratch, out = Scratch(docs.sparkSession), balanced(docs)
+    for block, n in blocks(benchmark, size, threshold):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for b in steps(batches, text_col):
@@ -170,7 +175,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, t
                 clean[[row for row, *_ in block.value.search(b.column(text_col))]] = False
                 yield b.filter(pa.array(clean))
 
-        out = out.mapInArrow(run, docs.schema)
+        new = out.mapInArrow(run, docs.schema)
+        if n > 1:
+            new = scratch.keep(new, "clean")
+            block.destroy()
+            scratch.drop(out)
+        out = new
     return out
 
 
@@ -178,15 +188,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-#: The same pairs from the words themselves.
+#: The same pairs from the words themselves; documents by row, items by id and text.
 ORACLE_SQL = f"""
-WITH w AS (SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents
-           UNION ALL SELECT 'b', item_id, regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') FROM benchmark),
-items AS (SELECT id AS item_id, least(len(ws), {SIZE}) AS k, ws FROM w WHERE kind = 'b' AND len(ws) > 0),
-item_parts AS (SELECT DISTINCT item_id, k, array_to_string(ws[i:i + k - 1], ' ') AS part FROM (SELECT item_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM items)),
+WITH w AS (SELECT 'd' AS kind, row_number() OVER () AS row_id, doc_id AS id, regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents
+           UNION ALL SELECT 'b', row_number() OVER (), item_id, regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+items AS (SELECT row_id AS item_row, id AS item_id, least(len(ws), {SIZE}) AS k, ws FROM w WHERE kind = 'b' AND len(ws) > 0),
+item_parts AS (SELECT DISTINCT item_row, k, array_to_string(ws[i:i + k - 1], ' ') AS part FROM (SELECT item_row, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM items)),
 sizes AS (SELECT DISTINCT k FROM items),
-doc_parts AS (SELECT DISTINCT id AS doc_id, k, array_to_string(ws[i:i + k - 1], ' ') AS part FROM (SELECT id, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM w, sizes WHERE kind = 'd' AND len(ws) >= k)),
-n AS (SELECT item_id, count(*) AS n_shingles FROM item_parts GROUP BY item_id),
-met AS (SELECT doc_id, item_id, count(*) AS n_shared FROM doc_parts JOIN item_parts USING (k, part) GROUP BY ALL)
-SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment FROM met JOIN n USING (item_id) WHERE n_shared >= {THRESHOLD} * n_shingles - 1e-9
+doc_parts AS (SELECT DISTINCT row_id, k, array_to_string(ws[i:i + k - 1], ' ') AS part FROM (SELECT row_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM w, sizes WHERE kind = 'd' AND len(ws) >= k)),
+n AS (SELECT item_row, count(*) AS n_shingles FROM item_parts GROUP BY item_row),
+met AS (SELECT row_id, item_row, count(*) AS n_shared FROM doc_parts JOIN item_parts USING (k, part) GROUP BY ALL)
+SELECT w.id AS doc_id, items.item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
+FROM met JOIN n USING (item_row) JOIN items USING (item_row) JOIN w ON w.kind = 'd' AND w.row_id = met.row_id WHERE n_shared >= {THRESHOLD} * n_shingles - 1e-9
 """

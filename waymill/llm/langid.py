@@ -4,15 +4,17 @@ Each language has a tree of byte contexts of up to ORDER bytes. A byte costs
 -log2 of its share in the longest context that the language has seen; a context
 without the byte costs its escape (distinct followers / (occurrences +
 distinct)) and passes on to the next shorter one, down to 1/256. The statistics
-are frozen after training, so these costs are tables, and the code length of a
-whole text is a sum of look-ups. Contexts that occur less than LEAST times in
-every language are left to their shorter ones.
+are frozen after training, so these costs are a table (single precision), and
+the code length of a whole text is a sum of look-ups (double precision).
+Contexts that occur less than LEAST times in every language are no part of the
+trees: their shorter ones stand for them.
 
 Training takes at most about MOST_DOCS training rows of each language, chosen by a
 hash of doc_id; every row is scored. The models are held by the driver and all
-workers: size grows with the contexts (bounded by the sample) times languages.
+workers: their size grows with the contexts (bounded by the sample) times
+languages, and models of more than MOST_BYTES are refused, not sent.
 
-Rows: null texts and texts without a letter are ``und`` with score 0, as is
+Rows: null texts and texts without a letter (Unicode category L) are ``und`` with score 0, as is
 everything when nothing can be learned; equal code lengths give the first
 language by name; a row without doc_id is not held out and never trains; rows
 with null lang never train; other columns are ignored.
@@ -20,11 +22,11 @@ with null lang never train; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +35,10 @@ from .common import balanced, packed, steps, table
 ORDER = 3
 LEAST = 4
 MOST_DOCS = 1500
-#: Code lengths are kept in 1/UNIT bits.
-UNIT = 256
+#: The models' table of code lengths (4 bytes each) holds at most so many bytes.
+MOST_BYTES = 256 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def held_out() -> Column:
@@ -107,7 +109,9 @@ class Models:
             cost.append(table)
             below = table
         first = np.cumsum([0, *(len(s) for s in states)])
-        self.cost = np.minimum(np.rint(np.concatenate(cost) * UNIT), 32767).astype(np.int16).reshape(-1, n_lang)
+        if first[-1] * a * n_lang * 4 > MOST_BYTES:
+            raise ValueError(f"{first[-1]} contexts of {n_lang} languages exceed MOST_BYTES; train on fewer rows or raise it")
+        self.cost = np.ascontiguousarray(np.concatenate([x.astype(np.float32) for x in cost]).reshape(-1, n_lang).T)
         # the state of the last ORDER symbols: their deepest context
         self.state = np.zeros(a**ORDER, dtype=np.int32)
         cells = np.arange(a**ORDER)
@@ -120,8 +124,8 @@ class Models:
                 self.state[ok] = first[depth] + pos[ok]
 
     def bits(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Code length of every text under every language."""
-        out = np.zeros((len(ends) - 1, len(self.langs)), dtype=np.int64)
+        """Code length of every text under every language, in bits."""
+        out = np.zeros((len(ends) - 1, len(self.langs)))
         if not len(data):
             return out
         sym = self.symbol[data]
@@ -133,7 +137,7 @@ class Models:
         at += sym
         some = np.flatnonzero(np.diff(ends))
         for l in range(len(self.langs)):
-            out[some, l] = np.add.reduceat(self.cost[:, l][at].astype(np.int64), ends[some])
+            out[some, l] = np.add.reduceat(self.cost[l].take(at), ends[some], dtype=np.float64)
         return out
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -141,7 +145,7 @@ class Models:
         letters = np.array([t is not None and _LETTER.search(t) is not None for t in column.to_pylist()], dtype=bool)
         if not self.langs:
             return ["und"] * n, np.zeros(n)
-        bits = self.bits(*packed(column)) / UNIT
+        bits = self.bits(*packed(column))
         best = bits.argmin(axis=1)
         share = 1 / np.exp2(-np.minimum(bits - bits.min(axis=1, keepdims=True), 1000)).sum(axis=1)
         return [self.langs[i] if ok else "und" for i, ok in zip(best.tolist(), letters.tolist())], np.where(letters, share, 0.0)

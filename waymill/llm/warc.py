@@ -15,7 +15,8 @@ SLABS slabs make one file, which bounds what a reader holds.
 
 Rows: null html is an empty payload; null url is ``about:blank``; a record
 without page_id is read back without one, and never referred to; of equal
-records with the same page_id each is a response; other columns are ignored.
+records with the same page_id each is a response; other columns are ignored. A
+payload of any length is one record of one slab.
 """
 
 from __future__ import annotations
@@ -285,8 +286,9 @@ def arc_to_warc(spark: SparkSession, arc: str, warc: str) -> None:
     again = scratch.keep(again, "repeated")
     few = again.count() <= MOST_BROADCAST
     records = read_arc(spark, arc)
-    joined = records.join(F.broadcast(again) if few else again, ["digest"], "left")
-    joined = joined.withColumn("target", F.when(F.col("size") >= LEAST_REVISIT, F.col("target"))).select("url", "ip", "date", "block", "target")
+    # small payloads have no target; keys of their own (8 bytes, no digest) keep them off one join key
+    records = records.withColumn("digest", F.when(F.col("size") >= LEAST_REVISIT, F.col("digest")).otherwise(F.unhex(F.lpad(F.hex(F.xxhash64("key", "url")), 16, "0"))))
+    joined = records.join(F.broadcast(again) if few else again, ["digest"], "left").select("url", "ip", "date", "block", "target")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         info = warc_record({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": iso("20240101"), "Content-Type": "application/warc-fields"}, b"software: waymill\r\nformat: WARC File Format 1.0\r\n")
@@ -337,7 +339,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = f"""
 WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 g AS (SELECT payload_digest, max(page_id) AS target FROM p WHERE payload_bytes >= {LEAST_REVISIT} GROUP BY 1 HAVING count(*) > 1)
-SELECT p.page_id, payload_bytes, p.payload_digest, CASE WHEN g.target <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN g.target <> p.page_id THEN g.target END AS refers_to
+SELECT p.page_id, payload_bytes, p.payload_digest, CASE WHEN g.target IS DISTINCT FROM p.page_id AND g.target IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN g.target IS DISTINCT FROM p.page_id THEN g.target END AS refers_to
 FROM p LEFT JOIN g ON g.payload_digest = p.payload_digest AND payload_bytes >= {LEAST_REVISIT}
 """

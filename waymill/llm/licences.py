@@ -1,20 +1,29 @@
 """Licence scans with a trained paragraph classifier.
 
-A paragraph is a line of a text. Its sparse word n-grams (1 to 3 words) feed a
-multinomial logistic regression over licence families, the class ``unknown``
-(licence talk of no known family) and ``none``. It is trained on variants of
-the templates (crops, dropped and inserted words) and on paragraphs of a
-bounded sample of the corpus (NEGATIVE_DOCS documents by a hash of doc_id);
-sample paragraphs that share template wording are left out. Its confidence is calibrated by a temperature
-fitted on variants it has not seen: a family that does not reach CONFIDENT is
-reported as ``unknown`` instead, if all licence classes together reach it.
-
-A predicted family is confirmed if at least CONFIRM of the paragraph's 3-word
-shingles, or of a template's, are shared by the two; one that is not confirmed
-is reported as ``unknown`` too. Paragraphs of class ``none`` are not reported.
+Sparse word n-grams (1 to 3 words) feed a multinomial logistic regression over
+licence families, the class ``unknown`` (licence talk of no known family) and
+``none``. Lines are judged first; neighbouring lines that are not ``none``, or of
+which at least CONFIRM of the word triples are a template's, form a paragraph (a wrapped notice is one), which is judged as a whole. Two lines
+that each hold most of a template, of different families, begin paragraphs of
+their own.
+
+It is trained on variants of the templates (crops, dropped and inserted words)
+and on lines of a bounded sample of the corpus (NEGATIVE_DOCS documents by a
+hash of doc_id); lines that share template wording are left out. Its confidence
+is calibrated by a temperature fitted on variants it has not seen and on talk of
+licences that it was not trained on (OTHER_HELD): a family that does not reach
+CONFIDENT is reported as ``unknown`` instead, if all licence classes together
+reach it.
+
+A predicted family is confirmed by its templates: at least CONFIRM of the
+paragraph's 3-word shingles, or of a template's, are shared by the two, and the
+paragraph has a word that names the family (NAMES) or LONG shared shingles. One
+that is not confirmed is reported as ``unknown`` too. Paragraphs of class
+``none`` are not reported.
 
 Rows: null text has no paragraphs; missing or repeated doc_id pass through;
-other columns are ignored; an empty corpus trains on the templates alone.
+other columns are ignored; an empty corpus trains on the templates alone. The
+time for a text grows with its length, however many findings it has.
 """
 
 from __future__ import annotations
@@ -30,26 +39,26 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, WORD, balanced, packed, run_hashes, runs, shingle_hashes, steps, table, word_hashes
 
-CONFIDENT, CONFIRM = 0.6, 0.5
+CONFIDENT, CONFIRM, LONG = 0.6, 0.5, 8
 NEGATIVE_DOCS, NEGATIVE_PARAGRAPHS, VARIANTS = 1000, 2000, 60
 NONE, UNKNOWN = "none", "unknown"
 
 # Notices and characteristic sentences of public licences.
 TEMPLATES = {
-    "agpl-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "Licensed under the GNU Affero General Public License, version 3."],
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "Released under the BSD 3-Clause License.", "Licensed under the BSD 2-Clause License."],
-    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
-    "cc-by-nc": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
-    "cc-by-sa": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."],
-    "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "Dedicated to the public domain under CC0 1.0 Universal."],
-    "gpl-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "This work is licensed under the GNU General Public License, version 2."],
-    "gpl-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This work is licensed under the GNU General Public License, version 3.", "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/."],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Released under the ISC License."],
-    "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "Licensed under the GNU Lesser General Public License, version 3."],
-    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "Released under the MIT License.", "Licensed under the MIT License."],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "Licensed under the Mozilla Public License, version 2.0."],
-    "unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "agpl-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", "SPDX-License-Identifier: Apache-2.0"],
+    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "Released under the BSD 3-Clause License.", "Licensed under the BSD 2-Clause License.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.", "SPDX-License-Identifier: BSD-3-Clause"],
+    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0.", "SPDX-License-Identifier: CC-BY-4.0"],
+    "cc-by-nc": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "cc-by-sa": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "Dedicated to the public domain under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0"],
+    "gpl-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-or-later"],
+    "gpl-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This work is licensed under the GNU General Public License, version 3.", "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Released under the ISC License.", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.", "SPDX-License-Identifier: ISC"],
+    "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "Released under the MIT License.", "Licensed under the MIT License.", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.", "SPDX-License-Identifier: MIT"],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "SPDX-License-Identifier: Unlicense"],
 }
 # Licence talk of no known family.
 OTHER = [
@@ -60,7 +69,32 @@ OTHER = [
     "Distributed under the terms of the house license; ask the author for a copy of the license.",
     "The licensee shall not sublicense, rent or lease the licensed material to any third party.",
     "Released under a custom license, see the license file for terms.",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    "Eclipse Public License - v 2.0",
+    "Licensed under the Common Development and Distribution License, version 1.0.",
+    "This package is free software under the Artistic License 2.0.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "SPDX-License-Identifier: EPL-2.0",
+    "SPDX-License-Identifier: Zlib",
+    "SPDX-License-Identifier: LicenseRef-Custom",
 ]
+# More of it, kept from training to fit and test the calibration.
+OTHER_HELD = [
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "This font software is licensed under the SIL Open Font License, Version 1.1.",
+    "Released under the Microsoft Public License.",
+    "Licensed under the Academic Free License version 3.0.",
+    "Licensed under the Open Software License version 3.0.",
+    "SPDX-License-Identifier: PostgreSQL",
+    "This code is licensed under the terms of the Sleepycat License.",
+    "All content is licensed to the publisher; reuse requires a separate license.",
+]
+# Words that name a family.
+NAMES = {
+    "agpl-3.0": {"affero", "agpl"}, "apache-2.0": {"apache"}, "bsd": {"bsd"}, "cc-by": {"cc", "commons"}, "cc-by-nc": {"nc", "noncommercial"},
+    "cc-by-sa": {"sa", "sharealike"}, "cc0": {"cc0", "waived"}, "gpl-2.0": {"gnu", "gpl"}, "gpl-3.0": {"gnu", "gpl"}, "isc": {"isc"},
+    "lgpl": {"lesser", "lgpl"}, "mit": {"mit"}, "mpl-2.0": {"mozilla", "mpl"}, "unlicense": {"unlicense", "unencumbered"},
+}
 
 _LINE = np.ones(256, dtype=bool)
 _LINE[[10, 13]] = False
@@ -110,10 +144,16 @@ class Classifier:
         p = np.exp(z - z.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
-    def similarity(self, family: str, text: str) -> float:
-        """Shared shingles, as a share of the smaller of paragraph and template."""
+    def compared(self, family: str, text: str) -> tuple[float, float, bool]:
+        """Shared shingles as a share of the paragraph's and of the most alike
+        template's, and whether they confirm the family."""
         own = shingles(text)
-        return max((len(own & t) / min(len(own), len(t)) for t in self.templates.get(family, []) if own and t), default=0.0)
+        both = [(len(own & t), len(t)) for t in self.templates.get(family, []) if own and t]
+        if not both:
+            return 0.0, 0.0, False
+        mine, theirs, shared = max(n for n, _ in both) / len(own), max(n / size for n, size in both), max(n for n, _ in both)
+        named = not NAMES[family].isdisjoint(w.decode("utf-8", "replace") for w in _WORDS.findall(text.encode().lower()))
+        return mine, theirs, max(mine, theirs) >= CONFIRM and (named or shared >= LONG)
 
     def scan(self, column: pa.Array) -> list[list[dict]]:
         data, ends = packed(column)
@@ -123,22 +163,53 @@ class Classifier:
         h, bounds = run_hashes(low, ws, we), np.searchsorted(ws, np.append(s, len(low)))
         rows, z = self.logits(h, bounds)
         out: list[list[dict]] = [[] for _ in range(len(column))]
+        none = self.classes.index(NONE)
         if not len(rows):
             return out
+        told = self.probabilities(z).argmax(axis=1)
+        # a piece of a wrapped notice may be no licence by itself, but its word triples are a template's
+        triples, at = shingle_hashes(h, bounds, 3)
+        pos = np.searchsorted(self.vocabulary, triples)
+        pos[pos == len(self.vocabulary)] = 0
+        known = np.concatenate(([0], np.cumsum(self.vocabulary[pos] == triples)))
+        share = (known[at[1:]] - known[at[:-1]]) / np.maximum(np.diff(at), 1)
+        taken = (told != none) | (share[rows] >= CONFIRM)
+        lines = rows[taken].tolist()
+        if not lines:
+            return out
+        # neighbouring lines make a paragraph: [first line, last line, family of a template held]
+        parts: list[list] = []
+        text_of = (np.searchsorted(per_text, lines, side="right") - 1).tolist()
+        for at, t, c in zip(lines, text_of, told[taken].tolist()):
+            a, b = int(s[at]), int(e[at])
+            held = self.compared(self.classes[c], data[a:b].tobytes().decode())
+            whole = c if held[1] >= CONFIRM and held[2] else None
+            joins = parts and parts[-1][1] == at - 1 and parts[-1][3] == t and int(s[at]) - int(e[at - 1]) <= 2 and low[int(e[at - 1]) : a].tobytes() in (b"\n", b"\r\n", b"\r")
+            if joins and (whole is None or parts[-1][2] in (None, whole)):
+                parts[-1][1] = at
+                parts[-1][2] = whole if parts[-1][2] is None else parts[-1][2]
+            else:
+                parts.append([at, at, whole, t])
+        first, last = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
+        size = bounds[last + 1] - bounds[first]
+        own = np.concatenate(([0], np.cumsum(size)))
+        words = h[np.repeat(bounds[first] - own[:-1], size) + np.arange(own[-1])]
+        rows, z = self.logits(words, own)
         p = self.probabilities(z)
-        best = p.argmax(axis=1)
-        none = self.classes.index(NONE)
-        text_of = np.searchsorted(per_text, rows, side="right") - 1
-        for i in np.flatnonzero(best != none).tolist():
-            a, b, t = int(s[rows[i]]), int(e[rows[i]]), int(text_of[i])
-            text, before = data[a:b].tobytes().decode(), data[int(ends[t]) : a].tobytes().decode()
-            family, q = self.classes[best[i]], float(p[i, best[i]])
-            like = self.similarity(family, text)
-            if q < CONFIDENT or like < CONFIRM:
+        points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+        for i, row in enumerate(rows.tolist()):
+            best = int(p[i].argmax())
+            if best == none:
+                continue
+            a, b, t = int(s[first[row]]), int(e[last[row]]), parts[row][3]
+            family, q = self.classes[best], float(p[i, best])
+            mine, theirs, confirmed = self.compared(family, data[a:b].tobytes().decode())
+            if q < CONFIDENT or not confirmed:
                 if 1 - p[i, none] < CONFIDENT:
                     continue
                 family = UNKNOWN
-            out[t].append({"family": family, "start": len(before), "stop": len(before) + len(text), "probability": round(q, 6), "similarity": round(like, 6)})
+            start = int(points[a] - points[ends[t]])
+            out[t].append({"family": family, "start": start, "stop": start + int(points[b] - points[a]), "probability": round(q, 6), "similarity": round(max(mine, theirs), 6)})
         return out
 
 
@@ -158,7 +229,7 @@ def variants(texts: list[str], n: int, filler: list[str], rng: random.Random) ->
 
 
 def train(negatives: list[str], n: int = VARIANTS, seed: int = 5, epochs: int = 200, rate: float = 0.5, decay: float = 1e-4) -> Classifier:
-    """Full-batch gradient descent; the last fifth of all paragraphs fits the temperature."""
+    """Full-batch gradient descent; the last fifth of all paragraphs, and OTHER_HELD, fit the temperature."""
     rng = random.Random(seed)
     filler = sorted({w for t in negatives[:200] for w in t.split()[:20]}) or ["lorem", "ipsum", "dolor"]
     known = {s for ts in TEMPLATES.values() for t in ts for s in shingles(t)}
@@ -192,12 +263,17 @@ def train(negatives: list[str], n: int = VARIANTS, seed: int = 5, epochs: int =
         p *= weight[:, None]
         model.weights -= rate * 40 * (x[:cut].T @ p.astype(np.float32) + decay * model.weights / len(classes))
         model.bias -= rate * p.sum(axis=0)
-    z = x[cut:] @ model.weights.astype(np.float32) + model.bias
+    held_words, held_bounds = word_hashes(pa.array(OTHER_HELD))
+    held = np.zeros((len(OTHER_HELD), len(vocabulary)), dtype=np.float32)
+    row, at = model.known(held_words, held_bounds)
+    held[row, at] = (1 / np.sqrt(np.maximum(np.diff(held_bounds), 1)))[row]
+    z = np.vstack([x[cut:], held]) @ model.weights.astype(np.float32) + model.bias
+    truth = np.concatenate([y[cut:], np.full(len(held), classes.index(UNKNOWN))])
     if len(z):
 
         def loss(t: float) -> float:
             model.temperature = t
-            return -np.log(model.probabilities(z)[np.arange(len(z)), y[cut:]] + 1e-12).mean()
+            return -np.log(model.probabilities(z)[np.arange(len(z)), truth] + 1e-12).mean()
 
         model.temperature = min((0.05 * 1.25**k for k in range(20)), key=loss)
     return model

@@ -1,31 +1,38 @@
 """Embedding near-duplicates by NN-descent.
 
-Equal vectors of a label become one node. Each node holds a list of its nearest
+Equal vectors of a label become one node. Each node holds a list of its NEAREST
 nodes so far. The lists start from blocks of vectors that random hyperplanes
 order alike (TREES orders), and are refined in rounds: every node introduces
 its neighbours, in both directions, to each other, and whoever finds a nearer
-one keeps it. Rounds end when few lists change. List entries at the threshold,
-verified in double precision, are the graph's edges.
-
-A saturated list (all of its entries are links) may miss links. Those to other
-components are searched for without lists: saturated nodes are dealt out to
-chunks of one component, and every two chunks whose balls come near enough are
-compared. (A node whose list holds a non-link has its links in its own list.)
-Links within a component are then counted the same way: every pair of its
-chunks is compared, so no task ever holds a component and no list of links is
-made. Recall is then audited against brute force, averaged over AUDIT nodes
-chosen by hash; below TARGET the lists are doubled and refined anew, and the
-run fails if lists as long as the table still fall short.
+one keeps it. Rounds end when few lists change. A list is saturated if all of
+its entries are links, so that it may miss some: such lists are doubled and
+refined again, WIDER times. List entries at the threshold, verified in double
+precision, are the graph's edges.
+
+Nodes whose lists are saturated even then are dense. Their links to other
+components are searched for without lists: they are dealt out to chunks of one
+component, and every two chunks whose balls come near enough are compared. (A
+list with a non-link in it holds its node's links.) How many links a dense node
+has is counted against its component, chunk by chunk, so no task ever holds a
+component and no list of its links is made; this costs as many products as a
+dense group has pairs, and each vector is sent once for every CHUNK dense ones.
+
+Recall is audited against brute force on AUDIT nodes chosen by hash, half of
+them among those that have links, and averaged over the nodes that truly have
+some. Below TARGET all lists are doubled and refined anew, twice; the run fails
+rather than return less.
 
 Rows: vectors that are null, zero or hold null or non-finite components, and
 rows with null label, link with nothing and are their own component; vectors of
 different lengths never link; repeated rows are linked rows of their own; a
 row without vec_id counts as a vector but never names a component, and is not
-kept; other columns are ignored.
+kept; other columns are ignored; an empty table gives no rows. Two vectors that
+share a node's 64-bit hash end the run with an error.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,14 +45,18 @@ from .common import Scratch, connected_components, table
 THRESHOLD = 0.93
 #: List length, blocks of the first lists, orders, rounds, and the share of changed entries at which rounds end.
 NEAREST, BLOCK, TREES, ROUNDS, SETTLED = 10, 256, 4, 4, 0.01
+#: How often saturated lists are doubled.
+WIDER = 2
 #: Members of a component's chunk.
-CHUNK = 256
+CHUNK = 1024
 AUDIT, TARGET = 1024, 0.95
 #: Balls compared with one another at a time.
 BALLS = 1024
 #: Half precision may understate a link by this much; double precision decides.
 SLACK = 0.004
 
+log = logging.getLogger(__name__)
+
 
 def _unit(vectors: pa.Array) -> list[bytes | None]:
     """Each vector at length 1, in double precision, or None if it can't link."""
@@ -160,7 +171,7 @@ def _introduced(k: int):
                     continue
                 x = np.vstack(half[s:e]).astype(np.float32)
                 sims = x @ x.T
-                r, c = _top(sims, min(k, 4))
+                r, c = _top(sims, k)
                 sim = sims[r, c]
                 ok = (sim > worst[s:e][r]) & (m[s:e][r] != m[s:e][c])
                 us.append(m[s:e][r[ok]])
@@ -197,14 +208,29 @@ def descend(nodes: DataFrame, scratch: Scratch, k: int, trees: int = TREES, roun
         dealt = coded.repartitionByRange("label", "dim", "code", "node").sortWithinPartitions("label", "dim", "code", "node")
         lists = dealt.mapInArrow(_first_lists(k, block), "u long, v long, s float")
         edges = lists if edges is None else edges.unionAll(lists)
-    now = scratch.keep(_best(edges, k), "lists")
+    return refined(nodes, scratch.keep(_best(edges, k), "lists"), scratch, k, rounds)
+
+
+def refined(nodes: DataFrame, now: DataFrame, scratch: Scratch, k: int, rounds: int = ROUNDS, only: DataFrame | None = None) -> DataFrame:
+    """The lists after rounds of introductions, of k entries; with ``only`` (u),
+    lists of other nodes stay as they are."""
+    kept = None
+    if only is not None:
+        only = scratch.keep(only, "only")
+        kept = scratch.keep(now.join(only, "u", "left_anti"), "kept")
+        now = scratch.keep(now.join(only, "u", "left_semi"), "lists")
     size = now.count()
     for _ in range(rounds):
-        worst = now.groupBy("u").agg(F.when(F.count("*") >= k, F.min("s")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
+        every = now if kept is None else now.unionAll(kept)
         # a node's circle: its list and, of those that list it, the nearest
-        back = _best(now.select(F.col("v").alias("u"), F.col("u").alias("v"), "s"), k)
-        circle = now.select(F.col("u").alias("c"), F.col("v").alias("m")).union(back.select("u", "v")).distinct()
-        own = nodes.select("node", "half").join(worst, F.col("node") == F.col("u")).select(F.col("node").alias("m"), "worst", "half")
+        back = _best(every.select(F.col("v").alias("u"), F.col("u").alias("v"), "s"), k)
+        circle = every.select(F.col("u").alias("c"), F.col("v").alias("m")).union(back.select("u", "v")).distinct()
+        # those that don't look for more (worst 3, above any similarity) are introduced alone
+        worst = now.groupBy("u").agg(F.when(F.count("*") >= k, F.min("s")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
+        own = nodes.select("node", "half").join(worst, F.col("node") == F.col("u"), "left").select(F.col("node").alias("m"), F.coalesce("worst", F.lit(-2.0 if only is None else 3.0)).cast("float").alias("worst"), "half")
+        if only is not None:
+            seekers = circle.join(only.select(F.col("u").alias("m")), "m", "left_semi").select("c").distinct()
+            circle = circle.join(seekers, "c", "left_semi")
         met = circle.join(own, "m").select("c", "m", "worst", "half").repartition("c").sortWithinPartitions("c")
         found = met.mapInArrow(_introduced(k), "u long, v long, s float")
         new = scratch.keep(_best(now.unionAll(found), k), "lists")
@@ -213,7 +239,12 @@ def descend(nodes: DataFrame, scratch: Scratch, k: int, trees: int = TREES, roun
         now = new
         if changed <= SETTLED * size:
             break
-    return now
+    return now if kept is None else now.unionAll(kept)
+
+
+def saturated(lists: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(u) of the nodes whose k entries are all links."""
+    return lists.groupBy("u").agg(F.min("s").alias("s"), F.count("*").alias("n")).where((F.col("s") >= threshold - SLACK) & (F.col("n") >= k)).select("u")
 
 
 def _verified(threshold: float):
@@ -227,39 +258,41 @@ def _verified(threshold: float):
 
 
 def _counted(threshold: float):
-    """Rows (component, i, j, node, chunk, copies, unit) sorted by the first
-    three: copies of linked others for each node, within a chunk if i = j, else
-    across the two."""
+    """Rows (component, i, j, node, dense, copies, unit) sorted by the first
+    three: for each dense node, the copies of linked rows among the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, ("component", "i", "j")):
-            comp, i, j, node, chunk, copies = (t.column(x).to_numpy() for x in ("component", "i", "j", "node", "chunk", "copies"))
+            comp, i, j, node, copies = (t.column(x).to_numpy() for x in ("component", "i", "j", "node", "copies"))
+            dense = t.column("dense").to_numpy()
             unit = _matrix(t.column("unit"))
             b = _bounds(comp, i, j)
-            out = np.zeros(len(node), dtype=np.int64)
+            nodes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for s, e in zip(b, b[1:]):
-                if e - s < 2:
-                    continue
-                x = np.vstack(unit[s:e])
-                links = x @ x.T >= threshold
-                if i[s] == j[s]:
-                    np.fill_diagonal(links, False)
-                else:
-                    links &= chunk[s:e][:, None] != chunk[s:e][None, :]
-                out[s:e] = links @ copies[s:e]
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(out)], names=["node", "n"])
+                left, right = s + np.flatnonzero(dense[s:e]), s + np.flatnonzero(~dense[s:e])
+                if len(left) and len(right):
+                    x, y = (np.vstack([unit[q] for q in side]) for side in (left, right))
+                    nodes.append(node[left])
+                    counts.append((x @ y.T >= threshold) @ copies[right])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(counts).astype(np.int64))], names=["node", "n"])
 
     return run
 
 
-def link_counts(members: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
-    """(node, n) with the copies of linked other nodes, exactly, within
-    components: ``members`` is (node, component, copies, unit)."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    m = members.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    m = m.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    m = m.select("component", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "node", "chunk", "copies", "unit")
-    dealt = m.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
+def dense_counts(members: DataFrame, threshold: float = THRESHOLD, chunk: int | None = None) -> DataFrame:
+    """(node, n) for each dense node: the rows of its component that link with
+    it, its own included. ``members`` is (node, component, dense, copies, unit)
+    of the components that have dense nodes."""
+    chunk = chunk or CHUNK
+    parts = lambda n: F.greatest(F.ceil(n / chunk), F.lit(1)).cast("int")
+    sizes = members.groupBy("component").agg(parts(F.sum(F.col("dense").cast("long"))).alias("left"), parts(F.count("*")).alias("right"))
+    m = members.join(sizes, "component")
+    at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["component", "i", "j", "node", "dense", "copies", "unit"]
+    seeking = m.where("dense").withColumn("i", at("left")).withColumn("j", over("right")).select(columns)
+    others = m.withColumn("dense", F.lit(False)).withColumn("j", at("right")).withColumn("i", over("left")).select(columns)
+    dealt = seeking.unionAll(others).repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
     return dealt.mapInArrow(_counted(threshold), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
 
 
@@ -335,11 +368,11 @@ def _met(threshold: float):
 
 
 def bridges(members: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
-    """Links (u, v) that connect components as all links between their members
-    do: ``members`` is (node, component, label, dim, unit)."""
+    """Links (u, v) that connect components as all links between their dense nodes
+    do: ``members`` is (node, component, label, dim, unit) of these."""
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     m = members.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    m = scratch.keep(m.select("component", "chunk", "node", "label", "dim", "unit"), "saturated")
+    m = scratch.keep(m.select("component", "chunk", "node", "label", "dim", "unit"), "dense")
     dealt = m.repartition("component", "chunk").sortWithinPartitions("component", "chunk")
     balls = scratch.keep(dealt.mapInArrow(_balls, "label string, dim int, component long, chunk int, center binary, radius double"), "balls")
     parts = balls.groupBy("label", "dim").agg(F.ceil(F.count("*") / BALLS).cast("int").alias("parts"))
@@ -354,15 +387,21 @@ def bridges(members: DataFrame, scratch: Scratch, threshold: float = THRESHOLD)
     return dealt.mapInArrow(_met(threshold), "u long, v long")
 
 
-def _audited(nodes: DataFrame, counts: DataFrame, threshold: float, most: int) -> tuple[float, int]:
-    """Recall of links against brute force, averaged over ``most`` nodes (those
-    that have links), and how many links those have. The nodes go to all tasks (most * vector bytes)."""
-    total = nodes.count()
-    share = (1 << 31) if total <= most else int((1 << 31) * most / total)
-    probe = nodes.where(F.pmod(F.hash("node"), F.lit(1 << 31)) < share).select("node", "label", "dim", "unit")
-    held = probe.toPandas()
+def _audited(nodes: DataFrame, counts: DataFrame, threshold: float, most: int) -> tuple[float | None, int]:
+    """Recall of links against brute force, averaged over the nodes that truly
+    have links among ``most`` nodes chosen by hash (half of them of those with
+    found links), and how many links those have; no recall if none has. These
+    nodes go to all tasks (most * vector bytes)."""
+    mine = nodes.join(counts, "node", "left").select("node", "label", "dim", "unit", F.coalesce("n", F.lit(0)).alias("n"))
+
+    def chosen(rows: DataFrame) -> DataFrame:
+        total = rows.count()
+        share = (1 << 31) if total <= most // 2 else int((1 << 31) * (most // 2) / total)
+        return rows.where(F.pmod(F.hash("node"), F.lit(1 << 31)) < share)
+
+    held = chosen(mine.where("n > 0")).union(chosen(mine)).dropDuplicates(["node"]).toPandas()
     if not len(held):
-        return 1.0, 0
+        return None, 0
     groups = {key: (d["node"].to_numpy(), np.vstack([np.frombuffer(x) for x in d["unit"]])) for key, d in held.groupby(["label", "dim"])}
     shared = nodes.sparkSession.sparkContext.broadcast(groups)
 
@@ -383,15 +422,18 @@ def _audited(nodes: DataFrame, counts: DataFrame, threshold: float, most: int) -
 
     truth = nodes.select("label", "dim", "node", "copies", "unit").mapInArrow(run, "node long, true_n long").groupBy("node").agg(F.sum("true_n").alias("true_n"))
     row = truth.join(counts, "node", "left").agg(F.sum("true_n"), F.avg(F.least(F.coalesce("n", F.lit(0)), "true_n") / F.col("true_n"))).first()
-    return (row[1], int(row[0])) if row[0] else (1.0, 0)
+    shared.destroy()
+    return (row[1], int(row[0])) if row[0] else (None, 0)
 
 
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEAREST, audit: int = AUDIT, report: dict | None = None, **columns) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row. ``report`` receives
-    the audited recall, the links it was measured on and the list length."""
+    the audited recall (None without links), the links it was measured on and
+    the list length; they are logged too."""
     scratch = Scratch(rows.sparkSession)
     own = scratch.keep(vectors(rows, **columns), "vectors")
-    nodes = own.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("unit").alias("unit"))
+    unit = F.when(F.min("unit") == F.max("unit"), F.min("unit")).otherwise(F.raise_error(F.lit("two vectors share a hash")).cast("binary"))
+    nodes = own.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), unit.alias("unit"))
 
     def halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -400,29 +442,45 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEAR
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "rep", "copies", "label", "unit")), pa.array([len(v) for v in x], pa.int32()), half], names=["node", "rep", "copies", "label", "unit", "dim", "half"])
 
     nodes = scratch.keep(nodes.mapInArrow(halved, "node long, rep long, copies long, label string, unit binary, dim int, half binary"), "nodes")
-    slim, lists, size = nodes.select("node", "label", "dim", "half"), None, nodes.count()
-    while True:
+    slim, lists = nodes.select("node", "label", "dim", "half"), None
+    for attempt in range(3):
         lists = descend(slim, scratch, k, known=lists, block=max(BLOCK, 4 * k))
+        longest = k
+        full = scratch.keep(saturated(lists, threshold, longest), "saturated")
+        for _ in range(WIDER):
+            if not full.limit(1).count():
+                break
+            longest *= 2
+            lists = refined(slim, lists, scratch, longest, only=full)
+            full = scratch.keep(saturated(lists, threshold, longest), "saturated")
         near = lists.where(F.col("s") >= threshold - SLACK).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         pairs = near.join(nodes.select(F.col("node").alias("u"), F.col("unit").alias("a")), "u").join(nodes.select(F.col("node").alias("v"), F.col("unit").alias("b")), "v")
         links = scratch.keep(pairs.select("u", "v", "a", "b").mapInArrow(_verified(threshold), "u long, v long"), "links")
         comps = connected_components(links, scratch)
-        full = lists.groupBy("u").agg(F.min("s").alias("s")).where(F.col("s") >= threshold - SLACK).select("u")
-        full = nodes.join(full, nodes.node == full.u).join(comps, nodes.node == comps.id, "left")
-        across = scratch.keep(bridges(full.select("node", F.coalesce("component", "node").alias("component"), "label", "dim", "unit"), scratch, threshold), "bridges")
-        if across.limit(1).count():
-            comps = connected_components(links.union(across), scratch)
-        comps = scratch.keep(comps.union(comps.select(F.col("component").alias("id"), "component").distinct()), "components")
-        members = nodes.join(comps, nodes.node == comps.id).select("node", "component", "copies", "unit")
-        counts = scratch.keep(link_counts(members, threshold), "counts")
+        both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).join(nodes.select(F.col("node").alias("v"), "copies"), "v")
+        counts = both.groupBy(F.col("u").alias("node")).agg(F.sum("copies").alias("n"))
+        if full.limit(1).count():
+            placed = nodes.join(comps, nodes.node == comps.id, "left").select("node", "label", "dim", "copies", "unit", F.coalesce("component", "node").alias("component"))
+            across = scratch.keep(bridges(placed.join(full, placed.node == full.u, "left_semi").select("node", "component", "label", "dim", "unit"), scratch, threshold), "bridges")
+            if across.limit(1).count():
+                comps = connected_components(links.union(across), scratch)
+                placed = nodes.join(comps, nodes.node == comps.id, "left").select("node", "copies", "unit", F.coalesce("component", "node").alias("component"))
+            placed = placed.join(full, placed.node == full.u, "left").select("node", "component", F.col("u").isNotNull().alias("dense"), "copies", "unit")
+            packed = placed.where("dense").select("component").distinct()
+            dense = dense_counts(placed.join(packed, "component", "left_semi"), threshold)
+            dense = dense.join(nodes.select("node", "copies"), "node").select("node", (F.col("n") - F.col("copies")).alias("n"))
+            counts = counts.join(dense.select("node"), "node", "left_anti").unionAll(dense)
+        counts = scratch.keep(counts, "counts")
         recall, seen = _audited(nodes, counts, threshold, audit)
+        log.info("recall %s over %d links, lists of %d", recall, seen, k)
         if report is not None:
             report |= {"recall": recall, "links": seen, "k": k}
-        if recall >= TARGET:
+        if recall is None or recall >= TARGET:
             break
-        if k >= size:
+        if attempt == 2:
             raise RuntimeError(f"recall {recall:.3f} is below {TARGET} with lists of {k}")
         k *= 2
+    comps = scratch.keep(comps.union(comps.select(F.col("component").alias("id"), "component").distinct()), "components")
     named = nodes.select("node", "rep", "copies").join(comps, nodes.node == comps.id, "left").join(counts, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     low = named.groupBy("component").agg(F.min("rep").alias("low"))
     named = named.join(low, "component").select("node", "n_links", "low")
@@ -431,15 +489,40 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEAR
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own_id.alias("component_id"), F.coalesce(F.col("vec_id") == own_id, F.lit(False)).alias("kept"))
 
 
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` with a near copy of every row (5 in 100 off, similarity over
+    0.99), and of every tenth 30 (3 in 100 off, over 0.99 to one another)."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    rows = rows.withColumn("c", F.explode(F.when(F.col("vec_id") % 10 == 0, F.sequence(F.lit(0), F.lit(30))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    size = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x) / F.size("e"))
+    share = F.when(F.col("vec_id") % 10 == 0, F.lit(0.03)).otherwise(F.lit(0.05))
+    moved = F.transform("e", lambda x, i: F.when((F.col("c") > 0) & ((i * 7 + F.col("c") * 11) % 5 < 2), x + share * size).otherwise(x))
+    return rows.select((F.col("vec_id") * 32 + F.col("c")).alias("vec_id"), "label", moved.alias("embedding"))
+
+
+def planted_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator on a table that has links (``embeddings`` has none)."""
+    return near_duplicates(planted(spark, sf_dir))
+
+
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-ORACLE_SQL = f"""
-WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-link AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
-reach AS (SELECT vec_id AS id, vec_id AS r FROM embeddings UNION SELECT reach.id, link.w FROM reach JOIN link ON link.u = reach.r),
+_SQL = """
+WITH RECURSIVE {rows}v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM {table} WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {threshold}),
+reach AS (SELECT vec_id AS id, vec_id AS r FROM {table} UNION SELECT reach.id, link.w FROM reach JOIN link ON link.u = reach.r),
 c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id),
 n AS (SELECT u, count(*) AS n_links FROM link GROUP BY u)
-SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.id = vec_id LEFT JOIN n ON n.u = vec_id
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM {table} JOIN c ON c.id = vec_id LEFT JOIN n ON n.u = vec_id
 """
+ORACLE_SQL = _SQL.format(rows="", table="embeddings", threshold=THRESHOLD)
+PLANTED_SQL = _SQL.format(
+    rows="""planted AS MATERIALIZED (SELECT vec_id * 32 + c AS vec_id, label,
+    list_transform(e, lambda x, i: CASE WHEN c > 0 AND ((i - 1) * 7 + c * 11) % 5 < 2 THEN x + CASE WHEN vec_id % 10 = 0 THEN 0.03 ELSE 0.05 END * sqrt(list_sum(list_transform(e, lambda y: y * y)) / len(e)) ELSE x END) AS embedding
+    FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, unnest(range(CASE WHEN vec_id % 10 = 0 THEN 31 ELSE 2 END)) AS c FROM embeddings)),
+""",
+    table="planted",
+    threshold=THRESHOLD,
+)

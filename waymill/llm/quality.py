@@ -4,17 +4,22 @@ A small network scores whole texts on counts of characters, words, lines and
 repeats. It is trained on trusted positives and unlabelled web text alone, by
 the non-negative unbiased risk: with prior p,
     p * R+(positives) + max(0, R-(unlabelled) - p * R-(positives)),
-and when the bracket is negative a step is taken against it. The prior is
-estimated as the share of positives among the labelled training rows.
+and when the bracket is negative a step is taken against it. Labels of 0 are
+never read as such. The prior is estimated from positives and unlabelled rows
+too, by the best bin: a first network tells the two apart on one half of them;
+on the other half, the share of unlabelled rows that score above a threshold is
+divided by that of positives, at the threshold where the bound on this ratio is
+least.
 
-Training reads at most MOST_LABELLED labelled and MOST_UNLABELLED unlabelled
-rows, taken by a hash of doc_id from the training rows; scoring reads all.
+Training reads about MOST_LABELLED labelled and MOST_UNLABELLED unlabelled rows
+at most, taken by a hash of id and text from the training rows, repeated rows
+once; scoring reads all.
 
 Rows: null text counts as empty and is scored like an empty one; missing or
 repeated doc_id pass through (a row without doc_id is never held out and never
 trains); label rows without doc_id or quality are ignored, and of several
 labels of a document the least counts; without labelled positives every score
-is 0.5; other columns are ignored.
+is 0.5; other columns are ignored; whole texts are read, however long.
 """
 
 from __future__ import annotations
@@ -163,6 +168,22 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, units: int
     return net
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 3, delta: float = 0.1, slack: float = 0.01) -> float:
+    """The share of positives among the unlabelled rows, by the best bin."""
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    rng = np.random.default_rng(seed)
+    p, u = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
+    h, k = len(p) // 2, len(u) // 2
+    net = train(positive[p[:h]], unlabelled[u[:k]], 0.5, epochs=30)
+    sp, su = np.sort(net.logit(positive[p[h:]])), np.sort(net.logit(unlabelled[u[k:]]))
+    share_p = 1 - np.searchsorted(sp, sp, side="left") / len(sp)
+    share_u = 1 - np.searchsorted(su, sp, side="left") / len(su)
+    width = np.sqrt(np.log(4 / delta) / 2 / len(sp)) + np.sqrt(np.log(4 / delta) / 2 / len(su))
+    best = (share_u / share_p + (1 + slack) / share_p * width).argmin()
+    return float(np.clip(share_u[best] / share_p[best], 0.01, 0.99))
+
+
 def held_out(id_col: Column | str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary") if isinstance(id_col, str) else id_col), F.lit(5)) == 0, F.lit(False))
 
@@ -184,22 +205,24 @@ def _share(n: int, most: int) -> int:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = MOST_LABELLED, most_unlabelled: int = MOST_UNLABELLED) -> Network | None:
     """A network from the training rows, or None without labelled positives."""
-    taken = lambda n, most: F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < F.lit(_share(n, most))
+    taken = lambda n, most, *by: F.pmod(F.xxhash64(*by), F.lit(1 << 32)) < F.lit(_share(n, most))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").where(~held_out())
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    n, good = known.agg(F.count("*"), F.sum((F.col("quality") == 1).cast("long"))).first()
-    if not good:
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
+    n = known.count()
+    if not n:
         return None
-    slim = balanced(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))).where(~held_out())
+    slim = balanced(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))).where("doc_id is not null").where(~held_out())
     total = slim.select("doc_id").count()
-    trusted = known.where(taken(n, most_labelled)).where("quality = 1").select("doc_id", F.lit(True).alias("positive"))
+    trusted = known.where(taken(n, most_labelled, "doc_id")).select("doc_id", F.lit(True).alias("positive"))
     # about MOST_LABELLED ids at most, so they can go to every task
-    rows = slim.join(F.broadcast(trusted), "doc_id", "left").select("doc_id", "text", F.col("positive").isNotNull().alias("positive"), F.coalesce(taken(total, most_unlabelled), F.lit(True)).alias("unlabelled"))
-    got = _feature_rows(rows.where("positive or unlabelled")).toPandas().sort_values("doc_id", kind="stable")
+    rows = slim.join(F.broadcast(trusted), "doc_id", "left").select("doc_id", "text", F.col("positive").isNotNull().alias("positive"), taken(total, most_unlabelled, "doc_id", "text").alias("unlabelled"))
+    rows = rows.where("positive or unlabelled").dropDuplicates(["doc_id", "text"]).limit(2 * (most_labelled + most_unlabelled))
+    got = _feature_rows(rows).toPandas().sort_values(["doc_id", "x"], kind="stable", key=lambda c: c.map(tuple) if c.name == "x" else c)
     if not got["positive"].any():
         return None
     x = np.vstack(got["x"].to_numpy())
-    return train(x[got["positive"].to_numpy()], x[got["unlabelled"].to_numpy()] if got["unlabelled"].any() else x, good / n)
+    positive, unlabelled = x[got["positive"].to_numpy()], x[got["unlabelled"].to_numpy()] if got["unlabelled"].any() else x
+    return train(positive, unlabelled, estimated_prior(positive, unlabelled))
 
 
 def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": pii.op8_pii,
         "op9_warc": warc.op9_warc,
         "op10_neighbours": neighbours.op10_neighbours,
+        "planted_neighbours": neighbours.planted_neighbours,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontam.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op10_neighbours": neighbours.ORACLE_SQL}
+    return {"op5_decontamination": decontam.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op10_neighbours": neighbours.ORACLE_SQL, "planted_neighbours": neighbours.PLANTED_SQL}

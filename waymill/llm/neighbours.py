@@ -43,10 +43,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, connected_components, table
 
 THRESHOLD = 0.93
-#: List length, blocks of the first lists, orders, rounds, and the share of changed entries at which rounds end.
-NEAREST, BLOCK, TREES, ROUNDS, SETTLED = 10, 256, 4, 4, 0.01
-#: How often saturated lists are doubled.
-WIDER = 2
+#: List length, blocks of the first lists, orders, rounds, and the gain in similarity, as a share, at which rounds end.
+NEAREST, BLOCK, TREES, ROUNDS, SETTLED = 10, 256, 4, 4, 0.002
+#: How much longer saturated lists become, and the rounds in which they fill.
+WIDER, WIDER_ROUNDS = 4, 2
 #: Members of a component's chunk.
 CHUNK = 1024
 AUDIT, TARGET = 1024, 0.95
@@ -219,7 +219,8 @@ def refined(nodes: DataFrame, now: DataFrame, scratch: Scratch, k: int, rounds:
         only = scratch.keep(only, "only")
         kept = scratch.keep(now.join(only, "u", "left_anti"), "kept")
         now = scratch.keep(now.join(only, "u", "left_semi"), "lists")
-    size = now.count()
+    total = lambda d: d.agg(F.sum("s")).first()[0] or 0.0
+    before = total(now)
     for _ in range(rounds):
         every = now if kept is None else now.unionAll(kept)
         # a node's circle: its list and, of those that list it, the nearest
@@ -234,11 +235,12 @@ def refined(nodes: DataFrame, now: DataFrame, scratch: Scratch, k: int, rounds:
         met = circle.join(own, "m").select("c", "m", "worst", "half").repartition("c").sortWithinPartitions("c")
         found = met.mapInArrow(_introduced(k), "u long, v long, s float")
         new = scratch.keep(_best(now.unionAll(found), k), "lists")
-        changed = new.join(now, ["u", "v"], "left_anti").count()
+        after = total(new)
         scratch.drop(now)
         now = new
-        if changed <= SETTLED * size:
+        if after - before <= SETTLED * abs(before):
             break
+        before = after
     return now if kept is None else now.unionAll(kept)
 
 
@@ -445,14 +447,10 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEAR
     slim, lists = nodes.select("node", "label", "dim", "half"), None
     for attempt in range(3):
         lists = descend(slim, scratch, k, known=lists, block=max(BLOCK, 4 * k))
-        longest = k
-        full = scratch.keep(saturated(lists, threshold, longest), "saturated")
-        for _ in range(WIDER):
-            if not full.limit(1).count():
-                break
-            longest *= 2
-            lists = refined(slim, lists, scratch, longest, only=full)
-            full = scratch.keep(saturated(lists, threshold, longest), "saturated")
+        full = scratch.keep(saturated(lists, threshold, k), "saturated")
+        if full.limit(1).count():
+            lists = refined(slim, lists, scratch, WIDER * k, WIDER_ROUNDS, only=full)
+            full = scratch.keep(saturated(lists, threshold, WIDER * k), "saturated")
         near = lists.where(F.col("s") >= threshold - SLACK).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         pairs = near.join(nodes.select(F.col("node").alias("u"), F.col("unit").alias("a")), "u").join(nodes.select(F.col("node").alias("v"), F.col("unit").alias("b")), "v")
         links = scratch.keep(pairs.select("u", "v", "a", "b").mapInArrow(_verified(threshold), "u long, v long"), "links")

@@ -457,15 +457,20 @@ def places(p: Track, idx) -> list[Place]:
 def returns(p: Track, idx, found: list[Place]) -> tuple[int, set[int]]:
     """How often the track comes back to a known, distant place, and which
     places take part."""
-    home = {i: k for k, c in enumerate(found) for i in c.members}
-    seen, guilty, count, last = set(), set(), 0, None
-    for k in (home[i] for i in np.asarray(idx).tolist() if i in home):
-        if last is not None and k != last and k in seen and p.to(found[last].centre, found[k].centre) >= m.SPLIT_APART_M:
-            count += 1
-            guilty |= {k, last}
-        seen.add(k)
-        last = k
-    return count, guilty
+    home = np.full(len(p), -1)
+    for k, c in enumerate(found):
+        home[c.members] = k
+    visits = home[np.asarray(idx, dtype=np.int64)]
+    visits = visits[visits >= 0]
+    visits = visits[np.diff(visits, prepend=-1) != 0]  # one entry a stay
+    if len(visits) < 2:
+        return 0, set()
+    first = np.full(len(found), len(visits))
+    np.minimum.at(first, visits, np.arange(len(visits)))
+    centre = np.array([c.centre for c in found])
+    a, b = centre[visits[:-1]], centre[visits[1:]]
+    back = (first[visits[1:]] < np.arange(1, len(visits))) & (hav(p.lon[a], p.lat[a], p.lon[b], p.lat[b]) >= m.SPLIT_APART_M)
+    return int(back.sum()), {*visits[:-1][back].tolist(), *visits[1:][back].tolist()}
 
 
 def _split_suspects(p: Track) -> np.ndarray:
@@ -522,16 +527,12 @@ def slot_share(p: Track, members: list[int], lo: int, hi: int) -> float:
 
 
 def _extended(near: np.ndarray, at: int, step: int) -> int:
-    """Moves an end outwards over guilty points, stepping across a few others."""
-    limit = 0 if step < 0 else len(near) - 1
-    while at != limit:
-        j = at + step
-        while j != limit and not near[j] and abs(j - at) <= m.SPLIT_SKIP:
-            j += step
-        if not near[j]:
-            break
-        at = j
-    return at
+    """Moves an end outwards over guilty points, stepping across a few others:
+    to the last guilty one before the first run of more than SPLIT_SKIP others."""
+    hits = np.flatnonzero(near[at + 1 :] if step > 0 else near[:at][::-1]) + 1
+    wide = np.flatnonzero(np.diff(hits, prepend=0) > m.SPLIT_SKIP + 1)
+    reach = hits[: wide[0]] if len(wide) else hits
+    return at + step * int(reach[-1]) if len(reach) else at
 
 
 def _split_guilty(p: Track, lo: int, hi: int, seed: list[int]) -> list[int]:

@@ -48,7 +48,14 @@ def _row(track_id: str, found: dict) -> pa.Table:
     full = dict.fromkeys(schema.names) | {x: found[x] for x in schema.names if x in found} | {"track_id": track_id}
     full["reasons"] = sorted((found.get("reasons") or {}).items())
     full["stages"] = json.dumps(found.get("stages") or [])
-    return pa.Table.from_pylist([full], schema=schema)
+    points = full.pop("points")
+    names = [x for x in schema.names if x != "points"]
+    row = pa.Table.from_pylist([full], schema=pa.schema([schema.field(x) for x in names]))
+    kind = schema.field("points").type
+    if points is None:
+        return row.append_column("points", pa.nulls(1, kind)).select(schema.names)
+    parts = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(points, kind.value_type)], fields=list(kind.value_type))
+    return row.append_column("points", pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), parts).cast(kind)).select(schema.names)
 
 
 def _resolved(table: pa.Table, roads, config: m.EngineConfig, passes: int) -> dict:
@@ -58,14 +65,13 @@ def _resolved(table: pa.Table, roads, config: m.EngineConfig, passes: int) -> di
     try:
         found = one.resolve(p, roads, config, column("snap_m"), column("decoy"), column("airfield"), passes)
     except one.Rejected as e:
-        return {"status": "failed", "error": clamp_error(str(e)), "points_before": len(p)}
+        return {"status": "failed", "error": clamp_error(str(e)), "points_before": len(p), "stages": e.stages}
     t, own = found["track"], found["own"]
     # a drawn point takes the zone of the observed one before it
     zone = off[own[np.maximum.accumulate(np.where(own >= 0, np.arange(len(own)), 0))]]
-    found["points"] = [
-        {"seq": i, "input_seq": int(seq[o]) if o >= 0 else None, "t_us": a, "tz_off_s": int(z), "lon": x, "lat": y, "synthetic": bool(s), "is_stop": bool(q)}
-        for i, (o, a, z, x, y, s, q) in enumerate(zip(own.tolist(), t.t.tolist(), zone.tolist(), t.lon.tolist(), t.lat.tolist(), found["synthetic"].tolist(), found["stop"].tolist()))
-    ]
+    # columns in the order of the point's fields; a drawn point has no input
+    input_seq = pa.array(np.where(own >= 0, seq[own], 0).astype(np.int32), mask=own < 0)
+    found["points"] = (np.arange(len(own), dtype=np.int32), input_seq, t.t, zone.astype(np.int32), t.lon, t.lat, found["synthetic"].astype(bool), found["stop"].astype(bool))
     return found
 
 
@@ -194,12 +200,24 @@ def points_of(results: DataFrame) -> DataFrame:
 
 
 def stage_stats(results: DataFrame) -> DataFrame:
-    """(track_id, stage, points_before, points_after, extra) of every stage run."""
-    kind = "array<struct<name:string,pointsBefore:int,pointsAfter:int,extra:map<string,string>>>"
+    """(track_id, stage, points_before, points_after, elapsed_ms, extra) of every
+    stage run, those of failed tracks too."""
+    kind = "array<struct<name:string,pointsBefore:int,pointsAfter:int,elapsedMs:double,extra:map<string,string>>>"
     s = results.select("track_id", F.posexplode(F.from_json("stages", kind)).alias("at", "s"))
-    return s.select("track_id", "at", F.col("s.name").alias("stage"), F.col("s.pointsBefore").alias("points_before"), F.col("s.pointsAfter").alias("points_after"), F.to_json("s.extra").alias("extra"))
+    return s.select("track_id", "at", F.col("s.name").alias("stage"), F.col("s.pointsBefore").alias("points_before"), F.col("s.pointsAfter").alias("points_after"), F.col("s.elapsedMs").alias("elapsed_ms"), F.to_json("s.extra").alias("extra"))
 
 
+def _bounded(points: DataFrame) -> DataFrame:
+    """Points dealt out by track; a track of more than MOST_POINTS ends the query
+    with an error before any worker loads it."""
+    n = F.count("*").over(Window.partitionBy("track_id"))
+    checked = F.when(n <= MOST_POINTS, F.col("track_id")).otherwise(F.raise_error(F.format_string("track %s has more than %d points", "track_id", F.lit(MOST_POINTS))))
+    return _by_track(points).withColumn("track_id", checked)
+
+
+#: Points of a track that a single rule is run on at most; the engine itself has ``EngineConfig.max_points``.
+MOST_POINTS = 5_000_000
+
 KernelFn = Callable[[k.Track], np.ndarray]
 
 
@@ -228,7 +246,7 @@ def _per_track(points: DataFrame, fn, column: str, kind: str, arrow) -> DataFram
         p = k.Track(table.column("t_us").to_numpy(), table.column("lon").to_numpy(), table.column("lat").to_numpy())
         return table.append_column(column, pa.array(fn(p, table), arrow))
 
-    return _by_track(slim).groupBy("track_id").applyInArrow(run, schema)
+    return _bounded(slim).groupBy("track_id").applyInArrow(run, schema)
 
 
 def grouped(points: DataFrame, fn: Callable[[k.Track, pa.Table], list[dict]], schema: str) -> DataFrame:
@@ -246,4 +264,4 @@ def grouped(points: DataFrame, fn: Callable[[k.Track, pa.Table], list[dict]], sc
             arrays[name] = pa.array([r[name] for r in rows], kinds[part.strip().split(" ")[1]])
         return pa.table(arrays)
 
-    return _by_track(slim).groupBy("track_id").applyInArrow(run, f"track_id string, {schema}")
+    return _bounded(slim).groupBy("track_id").applyInArrow(run, f"track_id string, {schema}")

@@ -8,6 +8,10 @@ answer) and ``route`` the drawn way between two points.
 from __future__ import annotations
 
 import json
+import logging
+import random
+import threading
+import time
 import urllib.error
 import urllib.request
 from concurrent.futures import ThreadPoolExecutor
@@ -18,6 +22,8 @@ import numpy as np
 from waymill import model as m
 from waymill.functions import kernels as k
 
+log = logging.getLogger("waymill")
+
 
 @dataclass
 class Route:
@@ -105,11 +111,29 @@ class TableRoads:
         return [self.routes[x] for x in keys]
 
 
+class _Known:
+    """What a process knows of a server, and its limit of requests."""
+
+    def __init__(self, parallel: int):
+        self.limit, self.batch, self.no_table = threading.BoundedSemaphore(parallel), None, False
+
+
+_servers: dict[str, _Known] = {}
+_servers_lock = threading.Lock()
+
+
+def _process(url: str, parallel: int) -> _Known:
+    with _servers_lock:
+        return _servers.setdefault(url, _Known(parallel))
+
+
 @dataclass
 class HttpRoads:
     """A routing server with the usual /route and /table services. Answers that
-    fail are missing answers; a too long request is halved, and a server without
-    /table is asked pair by pair."""
+    fail are missing answers, and are logged and told as ``complaints``. Faults
+    are tried again after growing pauses with jitter; at most ``parallel``
+    requests of a process are under way. A too long request is halved, and later
+    ones are as short; a server without /table is asked pair by pair from then on."""
 
     url: str
     timeout_s: float = 30.0
@@ -117,12 +141,29 @@ class HttpRoads:
     retries: int = 2
     batch: int = 400
     chunk: int = 150
+    pause_s: float = 0.1
+
+    def __post_init__(self):
+        self._failed: dict[str, int] = {}
+
+    def complaints(self) -> list[str]:
+        """What failed since the last call, with counts."""
+        found, self._failed = [f"{text} ({n}x)" for text, n in sorted(self._failed.items())], {}
+        return found
+
+    def _complain(self, error: Exception | str) -> None:
+        text = str(error)[:200]
+        self._failed[text] = self._failed.get(text, 0) + 1
+        log.warning("router %s: %s", self.url, text)
 
     def _get(self, path: str) -> dict:
         error: Exception | None = None
-        for _ in range(self.retries + 1):
+        known = _process(self.url, self.parallel)
+        for n in range(self.retries + 1):
+            if n:
+                time.sleep(self.pause_s * 2 ** (n - 1) * random.uniform(0.5, 1.5))
             try:
-                with urllib.request.urlopen(f"{self.url.rstrip('/')}{path}", timeout=self.timeout_s) as r:
+                with known.limit, urllib.request.urlopen(f"{self.url.rstrip('/')}{path}", timeout=self.timeout_s) as r:
                     return json.load(r)
             except urllib.error.HTTPError as e:
                 if e.code in (400, 404, 414):
@@ -130,8 +171,19 @@ class HttpRoads:
                 error = e
             except (OSError, ValueError) as e:
                 error = e
+        self._complain(error)
         raise ConnectionError(str(error))
 
+    def ping(self, lon: float = 0.0, lat: float = 0.0) -> bool:
+        """Whether the server answers at all, whatever it answers."""
+        try:
+            self._get(f"/nearest/v1/driving/{point_key(lon, lat)}")
+        except urllib.error.HTTPError:
+            return True
+        except OSError:
+            return False
+        return True
+
     def _snap_run(self, keys: list[str], depth: int = 0) -> list[float | None]:
         if len(keys) < 2:
             return [None] * len(keys)
@@ -139,6 +191,10 @@ class HttpRoads:
             got = self._get(f"/route/v1/driving/{';'.join(keys)}?overview=false")["waypoints"]
             if len(got) == len(keys):
                 return [w.get("distance") for w in got]
+        except urllib.error.HTTPError as e:
+            if e.code == 414:
+                known = _process(self.url, self.parallel)
+                known.batch = min(known.batch or self.batch, max(2, len(keys) // 2 + 1))
         except (OSError, KeyError, ValueError):
             pass
         if depth >= 12 or len(keys) == 2:
@@ -149,7 +205,8 @@ class HttpRoads:
 
     def snap(self, p: k.Track, snap_m: np.ndarray | None) -> np.ndarray:
         keys = [point_key(a, b) for a, b in zip(p.lon, p.lat)]
-        parts = [keys[max(0, a - 1) : a + self.batch - 1] for a in range(0, len(keys), self.batch - 1)]
+        size = _process(self.url, self.parallel).batch or self.batch
+        parts = [keys[max(0, a - 1) : a + size - 1] for a in range(0, len(keys), size - 1)]
         with ThreadPoolExecutor(self.parallel) as pool:
             got = list(pool.map(self._snap_run, parts))
         out = got[0] + [x for part in got[1:] for x in part[1:]] if got else []
@@ -174,7 +231,10 @@ class HttpRoads:
 
     def pairs(self, p: k.Track, wanted: list[tuple[int, int]]) -> list[float | None]:
         keys = [tuple(pair_key(p, i, j).split(";")) for i, j in wanted]
+        known = _process(self.url, self.parallel)
         with ThreadPoolExecutor(self.parallel) as pool:
+            if known.no_table:
+                return list(pool.map(self._one_pair, keys))
 
             def ask(part):
                 try:
@@ -187,6 +247,7 @@ class HttpRoads:
             parts = [keys[a : a + self.chunk] for a in range(0, len(keys), self.chunk)]
             got = list(pool.map(ask, parts))
             if None in got:
+                known.no_table = True
                 return list(pool.map(self._one_pair, keys))
         return [x for part in got for x in part]
 
@@ -205,3 +266,8 @@ class HttpRoads:
             return self._route(p, i, j, f"&bearings={turn},45;{turn},45")
 
         return shorter(self._route(p, i, j), hinted, p.to(i, j))
+
+    def all_routes(self, p: k.Track, wanted: list[tuple[int, int]]) -> list[Route | None]:
+        """The routes of all gaps, asked side by side."""
+        with ThreadPoolExecutor(self.parallel) as pool:
+            return list(pool.map(lambda ij: self.route(p, *ij), wanted))

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymill import model as m
 from waymill.functions import geo
 from waymill.functions import kernels as k
 from waymill.operators import sequence as s
-from waymill.plans import engine
-from waymill.plans.roads import AnalyticRoads
+from waymill.plans import engine, track
+from waymill.plans.roads import AnalyticRoads, Route
 from waymill.plans.shared import shared_path
 from waymill.sources import codec
 from waymill.sources.events import VIEW_SQL, track_view
@@ -565,6 +565,228 @@ def _(v):
     return tasks.cards(spark, results).select("task_key", "status", "points_before", "points_after", "degraded", _r("length_before_m"), _r("length_m"))
 
 
+# ------------------------------------------------------------ the engine's own kernels, by the SQL of the same rules
+
+
+def _points(v: DataFrame, fn, schema: str = "seq int") -> DataFrame:
+    """Rows of a kernel that works on a track and its table."""
+    return engine.grouped(v, fn, schema)
+
+
+def _seqs(flags) -> list[dict]:
+    return [{"seq": int(i)} for i in k.indices(flags)]
+
+
+@query("engine_islands", f"WITH {_ISLANDS} SELECT c.track_id, c.seq FROM c JOIN f ON f.track_id = c.track_id AND f.part = c.part WHERE {_ISLAND}")
+def _(v):
+    return _points(v, lambda p, _: _seqs(k.find_islands(p)))
+
+
+@query("engine_jumps", ORACLES["jumps"])
+def _(v):
+    return _points(v, lambda p, _: [{"seq": int(i)} for i in k.find_jumps(p)])
+
+
+def _penalised(rule):
+    """Points that a rule over the whole track as a chain penalises, and by how much."""
+
+    def run(p, _):
+        penalty = k.np.zeros(len(p))
+        rule(p, k.np.arange(len(p)), penalty)
+        return [{"seq": int(i), "penalty": float(penalty[i])} for i in k.indices(penalty > 0)]
+
+    return run
+
+
+@query(
+    "engine_stubs",
+    f"""WITH {_parts(f"step_m >= {m.STUB_GAP_M}")}, x AS (SELECT *, (t1 - t0) / 1e6 AS inside, (coalesce(t0 - bt, 0) + coalesce(nt0 - t1, 0)) / 1e6 AS travel FROM f)
+SELECT c.track_id, c.seq, {m.STUB_W}::DOUBLE AS penalty FROM c JOIN x ON x.track_id = c.track_id AND x.part = c.part WHERE total >= 3 AND travel > 0 AND inside / (inside + travel) <= {m.STUB_TIME} AND path_m < {m.STUB_PATH_M}""",
+)
+def _(v):
+    return _points(v, _penalised(lambda p, chain, penalty: k.check_stubs(p, chain, penalty, k.np.zeros(len(p), bool))), "seq int, penalty double")
+
+
+@query("engine_lateral", ORACLES["lateral_g"])
+def _(v):
+    def bent(p, _):
+        g = k.lateral_g(p) if len(p) > 2 else k.np.zeros(0)
+        return [{"seq": int(i) + 1, "g": round(float(g[i]), 6)} for i in k.indices(~k.np.isnan(g))]
+
+    return _points(v, bent, "seq int, g double")
+
+
+@query(
+    "engine_rush",
+    f"""WITH {_STEPS}, {_RUSH}, h AS (SELECT track_id, seq AS a, end_seq AS b FROM q WHERE end_us > t_us AND path_m > (end_us - t_us) / 1e6 * {m.CHAIN_KMH} / 3.6 + {m.CHAIN_SLACK_M})
+SELECT v.track_id, v.seq, count(*) * {m.RUSH_W}::DOUBLE AS penalty FROM v JOIN h ON h.track_id = v.track_id AND v.seq BETWEEN h.a AND h.b GROUP BY 1, 2""",
+)
+def _(v):
+    return _points(v, _penalised(k.check_rush), "seq int, penalty double")
+
+
+#: Two points an hour, every other hour off to the side: groups that silence surrounds and that the way passes by.
+_SPARSE_SQL = VIEW_SQL.replace("v AS (", "v0 AS (") + """, v1 AS (SELECT *, t_us % 86400000000 // 3600000000 AS hour, row_number() OVER (PARTITION BY track_id, t_us // 3600000000 ORDER BY t_us, seq) AS nth FROM v0),
+v AS (SELECT track_id, CAST(row_number() OVER (PARTITION BY track_id ORDER BY t_us, seq) - 1 AS INTEGER) AS seq, t_us, 37.6 + (hour % 2) * 0.05::DOUBLE AS lon, lat, snap_m FROM v1 WHERE nth <= 2)"""
+
+
+def sparse(v: DataFrame) -> DataFrame:
+    hour = F.floor(F.col("t_us") / 3_600_000_000)
+    nth = F.row_number().over(Window.partitionBy("track_id", hour).orderBy("t_us", "seq"))
+    v = v.withColumn("nth", nth).where("nth <= 2").withColumn("lon", F.lit(37.6) + (F.floor(F.col("t_us") % 86_400_000_000 / 3_600_000_000) % 2) * 0.05)
+    return v.withColumn("seq", (F.row_number().over(Window.partitionBy("track_id").orderBy("t_us", "seq")) - 1).cast("int")).drop("nth")
+
+
+_SPARSE_STEPS = _STEPS.replace(VIEW_SQL, _SPARSE_SQL)
+_LONELY = ORACLES["lonely"].replace(VIEW_SQL, _SPARSE_SQL)
+
+
+@query("lonely_sparse", _LONELY)
+def _(v):
+    return s.lonely(sparse(v)).select("track_id", "first", "last", "n")
+
+
+@query("engine_lonely", f"SELECT track_id, CAST(unnest(range(first, last + 1)) AS INTEGER) AS seq, {m.LONELY_W}::DOUBLE AS penalty FROM ({_LONELY})")
+def _(v):
+    return _points(sparse(v), _penalised(k.check_lonely), "seq int, penalty double")
+
+
+@query("engine_hot", f"SELECT track_id, seq FROM ({ORACLES['hot_spots']}) WHERE hot")
+def _(v):
+    return _points(v, lambda p, _: [{"seq": int(i)} for i in k.hot_spots(p, k.np.arange(len(p)), k.np.zeros(len(p)))])
+
+
+@query("engine_weights", ORACLES["smooth_weight"])
+def _(v):
+    return _points(v, lambda p, table: [{"seq": i, "weight": round(float(w), 6)} for i, w in enumerate(k.point_weights(p, table.column("snap_m").to_numpy())[1])], "seq int, weight double")
+
+
+@query("engine_verdicts", ORACLES["fill_verdict"])
+def _(v):
+    """The gaps that the engine fills, judged with the same made-up routes."""
+
+    def judged(p, _):
+        line, dt = p.steps(), p.gaps()
+        gaps = k.indices((dt >= m.GAP_S) & (line >= m.GAP_M)).tolist()
+        route = lambda i: None if i % 11 == 3 else Route(line[i] * (1.1 + i % 5 * 0.6), [])
+        return [{"verdict": track.verdict(route(i), line[i], dt[i])} for i in gaps]
+
+    return _points(v, judged, "verdict string").groupBy("track_id", "verdict").agg(F.count("*").alias("n"))
+
+
+#: The view without jitter, so that whoever stands is frozen.
+_STILL_SQL = VIEW_SQL.replace("v AS (", "v0 AS (") + ", v AS (SELECT * REPLACE (55.75::DOUBLE AS lat) FROM v0)"
+
+
+@query("stop_facts_still", ORACLES["stop_facts"].replace(VIEW_SQL, _STILL_SQL))
+def _(v):
+    v = v.withColumn("lat", F.lit(55.75))
+    stops = engine.grouped(v, lambda p, _: [{"first": a, "last": b} for a, b in k.find_stops(p)], "first int, last int")
+    return s.stop_facts(v, stops).select("track_id", "first", "last", "n", _r("stay_s"), _r("gap_s"), _r("span_m"), "frozen")
+
+
+@query("engine_frozen", f"SELECT track_id, first, last, span_m < {m.FROZEN_SPAN_M} AS frozen FROM ({ORACLES['stop_facts'].replace(VIEW_SQL, _STILL_SQL)})")
+def _(v):
+    return _points(v.withColumn("lat", F.lit(55.75)), lambda p, _: [{"first": a, "last": b, "frozen": bool(k.is_frozen(p, a, b))} for a, b in k.find_stops(p)], "first int, last int, frozen boolean")
+
+
+@query("stop_owner", _walk(_STOPS, f"SELECT track_id, CAST(unnest(range(first, last + 1)) AS INTEGER) AS seq, CAST(row_number() OVER (PARTITION BY track_id ORDER BY first) - 1 AS INTEGER) AS owner FROM ({_STOP_ROWS})"))
+def _(v):
+    return _points(v, lambda p, _: [{"seq": i, "owner": int(x)} for i, x in enumerate(k.stop_owner(len(p), k.find_stops(p))) if x >= 0], "seq int, owner int")
+
+
+_CELL = lambda lon, lat: f"CAST(round_even({lat} * {m.CELL_DEGREE_M} / {m.CELL_M}, 0) AS BIGINT), CAST(round_even({lon} * {m.CELL_DEGREE_M} * cos(radians({lat})) / {m.CELL_M}, 0) AS BIGINT)"
+
+
+@query(
+    "step_keys",
+    f"""WITH {_STEPS} SELECT track_id, seq, concat_ws(',', {_CELL("plon", "plat")}, {_CELL("lon", "lat")}) AS ban_key, step_m <= {m.DUAL_NEAR_M} AS near, abs(plon - lon) < {m.SAME_SPOT_DEG} AND abs(plat - lat) < {m.SAME_SPOT_DEG} AS same_spot, printf('%.5f,%.5f', lon, lat) AS key FROM st WHERE plon IS NOT NULL""",
+)
+def _(v):
+    """Both ends' cells, nearness, sameness and the router's key of every step."""
+    w = s.order()
+    p = v.withColumns({"plon": F.lag("lon").over(w), "plat": F.lag("lat").over(w)}).where("plon is not null")
+    ends = [F.col(c) for c in ("plon", "plat", "lon", "lat")]
+    cells = geo.ban_key(*ends)
+    key = F.concat_ws(",", *(cells[e][c].cast("string") for e in ("a", "b") for c in ("y", "x")))
+    return p.select("track_id", "seq", key.alias("ban_key"), geo.near(*ends).alias("near"), geo.same_spot(*ends).alias("same_spot"), geo.coordinate_key(F.col("lon"), F.col("lat")).alias("key"))
+
+
+@query("reachable_banned", f"WITH {_STEPS} SELECT track_id, seq, ({_REACH}) AND NOT coalesce(next_s < CASE WHEN seq % 3 = 0 THEN next_m / 15 END, false) AS reachable FROM st WHERE nlon IS NOT NULL")
+def _(v):
+    """Every third step is banned below the time that 54 km/h takes."""
+    p = s.steps(v).where("step_m is not null").withColumn("seq", F.col("seq") - 1)
+    return p.select("track_id", "seq", geo.reachable(F.col("step_m"), F.col("dt_s"), F.when(F.col("seq") % 3 == 0, F.col("step_m") / 15)).alias("reachable"))
+
+
+@query("too_long_tracks", f"WITH {VIEW_SQL}, n AS (SELECT track_id, count(*) AS c FROM v GROUP BY 1) SELECT track_id, 'failed' AS status, 'too many points' AS error, CAST(c AS INTEGER) AS points_before FROM n WHERE c > (SELECT median(c) FROM n)")
+def _(v):
+    """Tracks beyond the cap, here the median of their lengths, are failed rows."""
+    cap = int(v.groupBy("track_id").count().agg(F.median("count")).first()[0])
+    return engine.resolve(v, None, m.EngineConfig(max_points=cap)).where("status = 'failed'").select("track_id", "status", "error", "points_before")
+
+
+def _packed(view: str) -> str:
+    """SQL of the stages that run without roads: points of the track (p0), after
+    deduplication (p1), collapsing of stops (p2) and simplification (p3), each numbered anew."""
+    numbered = lambda name, source: f"{name} AS (SELECT track_id, CAST(row_number() OVER (PARTITION BY track_id ORDER BY seq) - 1 AS INTEGER) AS seq, t_us, lon, lat FROM {source})"
+    config = m.EngineConfig()
+    keep = f"NOT ({_D} < {config.dedup_m} AND v.t_us - f.kt < {int(config.dedup_s * 1_000_000)})"
+    pick = lambda c, own: f"CASE WHEN {keep} THEN v.{own} ELSE f.{c} END"
+    near = f"{_hav('a', 'b')} >= {config.stop_m}"
+    off = _OFF
+    return f"""WITH RECURSIVE {view}, p0 AS (SELECT track_id, CAST(row_number() OVER (PARTITION BY track_id ORDER BY t_us, seq) - 1 AS INTEGER) AS seq, t_us, lon, lat FROM v),
+f AS (SELECT track_id, seq, lon AS klon, lat AS klat, t_us AS kt, true AS kept FROM p0 WHERE seq = 0
+UNION ALL SELECT v.track_id, v.seq, {pick("klon", "lon")}, {pick("klat", "lat")}, {pick("kt", "t_us")}, {keep} FROM f JOIN p0 v ON v.track_id = f.track_id AND v.seq = f.seq + 1),
+{numbered("p1", "p0 SEMI JOIN (SELECT track_id, seq FROM f WHERE kept) USING (track_id, seq)")},
+far AS (SELECT a.track_id, a.seq, min(b.seq) AS b FROM p1 a JOIN p1 b ON a.track_id = b.track_id AND b.seq > a.seq AND {near} GROUP BY 1, 2),
+x AS (SELECT p1.track_id, p1.seq, CASE WHEN coalesce(b - 1, final) - p1.seq >= {config.stop_points} THEN coalesce(b - 1, final) ELSE p1.seq + 1 END AS nxt FROM p1 JOIN (SELECT track_id, max(seq) AS final FROM p1 GROUP BY 1) n USING (track_id) LEFT JOIN far USING (track_id, seq)),
+g AS (SELECT track_id, seq, nxt FROM x WHERE seq = 0 UNION ALL SELECT x.track_id, x.seq, x.nxt FROM g JOIN x ON x.track_id = g.track_id AND x.seq = g.nxt),
+{numbered("p2", "p1 SEMI JOIN g USING (track_id, seq)")},
+seg AS (SELECT track_id, min(seq) AS lo, max(seq) AS hi FROM p2 GROUP BY 1
+UNION ALL SELECT track_id, unnest([lo, mid]) AS lo, unnest([mid, hi]) AS hi FROM (SELECT s.track_id, lo, hi, -(max({{'o': {off}, 's': -p.seq}}).s) AS mid, max({off}) AS off
+FROM seg s JOIN p2 a ON a.track_id = s.track_id AND a.seq = lo JOIN p2 b ON b.track_id = s.track_id AND b.seq = hi JOIN p2 p ON p.track_id = s.track_id AND p.seq > lo AND p.seq < hi GROUP BY s.track_id, lo, hi) WHERE off > {config.simplify_m}),
+{numbered("p3", "p2 SEMI JOIN (SELECT DISTINCT track_id, unnest([lo, hi]) AS seq FROM seg) USING (track_id, seq)")},
+len AS (SELECT *, {_hav4("lag(lon) OVER w", "lag(lat) OVER w", "lon", "lat")} AS step FROM (SELECT 0 AS p, * FROM p0 UNION ALL SELECT 3, * FROM p3) WINDOW w AS (PARTITION BY p, track_id ORDER BY seq)),
+total AS (SELECT track_id, CAST(count(*) FILTER (p = 0) AS INTEGER) AS points_before, CAST(count(*) FILTER (p = 3) AS INTEGER) AS points_after, round(coalesce(sum(step) FILTER (p = 0), 0), 3) AS length_before_m, round(coalesce(sum(step) FILTER (p = 3), 0), 3) AS length_m FROM len GROUP BY 1)"""
+
+
+def _oracle(name: str, sql: str) -> None:
+    if name not in QUERIES:
+        raise KeyError(name)
+    ORACLES[name] = sql
+
+
+_oracle("resolve_without_roads", f"{_packed(VIEW_SQL)} SELECT track_id, 'done' AS status, true AS degraded, points_before, points_after, '{track.NO_ENGINE}; {track.NO_ROUTES}' AS warnings, length_m AS length_after_m FROM total")
+#: The wire keeps whole seconds.
+_WIRE_SQL = VIEW_SQL.replace("v AS (", "v0 AS (") + ", v AS (SELECT * REPLACE (t_us // 1000000 * 1000000 AS t_us) FROM v0)"
+_oracle("stream_tasks", f"{_packed(_WIRE_SQL)} SELECT track_id AS task_key, 'done' AS status, points_before, points_after, true AS degraded, length_before_m, length_m FROM total")
+
+
+@query(
+    "stages_without_roads",
+    f"""{_packed(VIEW_SQL)}, c AS (SELECT p.track_id, count(DISTINCT p0.seq) AS n0, any_value(n1) AS n1, any_value(n2) AS n2, any_value(n3) AS n3 FROM total p JOIN p0 USING (track_id) JOIN (SELECT track_id, count(*) AS n1 FROM p1 GROUP BY 1) USING (track_id) JOIN (SELECT track_id, count(*) AS n2 FROM p2 GROUP BY 1) USING (track_id) JOIN (SELECT track_id, count(*) AS n3 FROM p3 GROUP BY 1) USING (track_id) GROUP BY 1)
+SELECT track_id, CAST(i AS INTEGER) AS at, {list(m.STAGES)}[i + 1] AS stage, CAST([n0, n0, n0, n1, n2, n3, n3][i + 1] AS INTEGER) AS points_before, CAST([n0, n0, n1, n2, n3, n3, n3][i + 1] AS INTEGER) AS points_after FROM c, range(7) r(i)""",
+)
+def _(v):
+    return engine.stage_stats(engine.resolve(v, None)).select("track_id", "at", "stage", "points_before", "points_after")
+
+
+_BATCHES = f"""WITH RECURSIVE {VIEW_SQL.replace("v AS (", "v0 AS (")}, v AS (SELECT * REPLACE (t_us // 600000000 * 600000000 AS t_us) FROM v0),
+q AS (SELECT track_id, list(lon ORDER BY seq) AS lons, list(lat ORDER BY seq) AS lats FROM v GROUP BY 1),
+b AS (SELECT track_id, t_us, list(seq ORDER BY seq) AS own, min(seq) - 1 AS pre, max(seq) + 1 AS post FROM v GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND {m.REORDER_MOST}),
+w AS (SELECT b.track_id, t_us, dir, own AS rest, CASE WHEN dir = 1 THEN pre WHEN post < len(lons) THEN post ELSE -1 END AS here, []::INTEGER[] AS out FROM b JOIN q USING (track_id), (VALUES (1), (2)) d(dir)
+UNION ALL SELECT track_id, t_us, dir, list_filter(rest, lambda r: r <> nxt), nxt, list_append(out, nxt) FROM (SELECT w.*, CASE WHEN here < 0 THEN rest[1] ELSE list_sort(list_transform(rest, lambda r: {{'d': {_hav4("lons[here + 1]", "lats[here + 1]", "lons[r + 1]", "lats[r + 1]")}, 'r': r}}))[1].r END AS nxt FROM w JOIN q USING (track_id) WHERE len(rest) > 0)),
+o AS (SELECT track_id, t_us, 0 AS kind, own AS seqs FROM b UNION ALL SELECT track_id, t_us, dir, CASE WHEN dir = 1 THEN out ELSE list_reverse(out) END FROM w WHERE len(rest) = 0),
+path AS (SELECT o.*, list_concat(CASE WHEN pre >= 0 THEN [pre] ELSE []::INTEGER[] END, seqs, CASE WHEN post < len(lons) THEN [post] ELSE []::INTEGER[] END) AS way, lons, lats FROM o JOIN b USING (track_id, t_us) JOIN q USING (track_id)),
+cost AS (SELECT track_id, t_us, kind, seqs, list_sum(list_transform(range(1, len(way)), lambda i: {_hav4("lons[way[i] + 1]", "lats[way[i] + 1]", "lons[way[i + 1] + 1]", "lats[way[i + 1] + 1]")})) AS total FROM path),
+best AS (SELECT a.track_id, a.t_us, CASE WHEN c.total < least(a.total, CASE WHEN b.total < a.total - {m.REORDER_GAIN_M} THEN b.total ELSE a.total END) - {m.REORDER_GAIN_M} THEN c.seqs WHEN b.total < a.total - {m.REORDER_GAIN_M} THEN b.seqs ELSE a.seqs END AS seqs
+FROM cost a JOIN cost b ON b.track_id = a.track_id AND b.t_us = a.t_us AND b.kind = 1 JOIN cost c ON c.track_id = a.track_id AND c.t_us = a.t_us AND c.kind = 2 WHERE a.kind = 0),
+moved AS (SELECT best.track_id, b.own[i] AS seq, seqs[i] AS input_seq FROM best JOIN b USING (track_id, t_us), range(1, {m.REORDER_MOST + 1}) r(i) WHERE i <= len(seqs))
+SELECT v.track_id, v.seq, CAST(coalesce(moved.input_seq, v.seq) AS INTEGER) AS input_seq FROM v LEFT JOIN moved USING (track_id, seq)"""
+_oracle("reorder_batches", _BATCHES)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -3,6 +3,14 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each stage's rows as Parquet to the shared folder and reads them again for the
 next. All but the last keep the columns of ``documents``.
+
+Rows: a null or empty text is scored, compared and encoded like any empty text
+(such texts are near copies of one another) and stays null until the last
+stage; rows without doc_id pass every stage unless their text is rejected, and
+never stand for near copies; an id on several rows names each of them apart;
+rows repeated as a whole are near copies; of near copies the smallest doc_id
+stays, so ties can't arise; further columns are kept until the last stage; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,8 +28,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-dedup: one document of each group of near copies (Jaccard similarity
-    of 5-word shingles of at least 0.8) stays."""
+    """SimHash near-dedup (operator 1 over 5-word shingles): one document of each
+    group of near copies stays. Links are a Jaccard similarity of at least 0.8,
+    which fingerprints alone can't reach; MinHash proposes what they miss."""
     return nearcopies.keep_one(docs)
 
 
@@ -48,7 +57,8 @@ STAGES = [
     ("bpe", token_ids),
 ]
 
-#: SQL can express neither the trained classifier nor the tokens; tests/llm holds each stage against brute force.
+#: SQL can express neither the trained classifier nor the tokens; tests/llm holds the stages against plain versions
+#: (scores above the threshold, Jaccard groups, containment, patterns, the tokenizers library).
 ORACLE_SQL = None
 
 

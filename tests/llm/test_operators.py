@@ -109,6 +109,29 @@ def test_bpe_reuses_shared_passages():
     assert first > 20 and len(store) - first < 6
 
 
+def test_bpe_joins_grow_until_they_agree():
+    text = b"one twothree fourfive sixty seven eight nineteen twenty-one hundredfold of them"
+    cut = text.index(b"teen")
+    store = bpe.Store(bpe.default_vocabulary(), {}, [0])
+    points = bpe.agreement(np.frombuffer(text, np.uint8), np.array([0, len(text)])).tolist()
+    i = max(k for k, x in enumerate(points) if x <= cut)
+    chunks = lambda: ((0, bpe.Tokens(store.use, text[:cut])), (cut, bpe.Tokens(store.use, text[cut:])))
+    left, right = chunks()
+    assert bpe.repaired(store, text, points, left, right, i, i + 1, 0, len(points) - 1) == (i, i + 1, *_told(store, b" nineteen"))
+    # a chunk that is wrong before the cut's own window: the window grows beyond it
+    at = next(k for k, e in enumerate(left[1].ends) if e > points[i - 1])
+    left[1].ids[at] += 1
+    assert bpe.repaired(store, text, points, left, right, i, i + 1, 0, len(points) - 1) == (i - 1, i + 2, *_told(store, b" eight nineteen twenty-one"))
+    # one that is wrong throughout: up to the neighbouring joins
+    for k in range(len(left[1].ids)):
+        left[1].ids[k] = 0
+    assert bpe.repaired(store, text, points, left, right, i, i + 1, i - 4, i + 3) == (i - 4, i + 3, *_told(store, text[points[i - 4] : points[i + 3]]))
+
+
+def _told(store, piece):
+    return store.use.plain.encode_ordinary(piece.decode()) and bpe.array("I", store.use.plain.encode_ordinary(piece.decode())), piece
+
+
 # ---------------------------------------------------------------- 3 licences
 
 

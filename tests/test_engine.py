@@ -310,6 +310,45 @@ def test_stream_end_to_end(spark, tmp_path):
     assert tasks.cards(spark, results).count() == 7
 
 
+def test_expired_cards_are_purged(spark, tmp_path):
+    queue, results, check = (str(tmp_path / x) for x in ("queue", "results", "check"))
+    old, new = m.EngineConfig(ttl_s=-200_000), m.EngineConfig()
+    one_task = lambda key: spark.createDataFrame([(key, codec.encode(drive(20)), 0)], "task_key string, route_compressed string, attempt int")
+    tasks.submit(one_task("queued"), queue)
+    for number, (key, config) in enumerate([("gone", old), ("queued", old), ("kept", new)]):
+        tasks.processor(results, None, config)(one_task(key), number)
+    assert [r.task_key for r in tasks.cards(spark, results).collect()] == ["kept"]
+    assert {r.task_key for r in tasks.cards(spark, results, expired=True).collect()} == {"gone", "queued", "kept"}
+    # only the task that isn't queued loses its card; once it is off the queue, the other one does
+    assert tasks.purge(spark, queue, results) == 1 and tasks.reclaim(spark, queue, results, 0) == (0, 0)
+    assert tasks.trim(spark, queue, results) == 1 and tasks.purge(spark, queue, results) == 1
+    assert [r.task_key for r in tasks.cards(spark, results, expired=True).collect()] == ["kept"]
+    assert sorted(p.name for p in (tmp_path / "results").iterdir()) == ["batch=2"]
+    # an expired card's task may come again, a kept one's may not
+    again = one_task("gone").unionAll(one_task("kept"))
+    told = []
+    tasks.processor(results, None, new, lambda df: told.extend(r.task_key for r in df.collect()))(again, 3)
+    assert told == ["gone"]
+
+
+def test_tend_reclaims_beside_the_stream(spark, tmp_path):
+    queue, results, check = (str(tmp_path / x) for x in ("queue", "results", "check"))
+    tasks.submit(spark.createDataFrame([("lost", "?")], "task_key string, route_compressed string"), queue)
+
+    class Twice:
+        """A stream that ends after two waits."""
+
+        left = 2
+
+        def awaitTermination(self, timeout):
+            self.left -= 1
+            return self.left < 0
+
+    assert tasks.tend(spark, Twice(), queue, results, 0, 0, m.EngineConfig(max_attempts=2)) == 2
+    assert tasks.status(spark, queue, results, "lost")["error_kind"] == "poisoned"
+    assert spark.read.schema(tasks.QUEUE).parquet(queue).count() == 0
+
+
 def test_config():
     c = m.EngineConfig.load({"WAYMILL_DEDUP_M": "3.5", "WAYMILL_STOP_POINTS": "x", "WAYMILL_MAX_POINTS": "-1"})
     assert c.dedup_m == 3.5 and c.stop_points == 5 and c.max_points == 50_000

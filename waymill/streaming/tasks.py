@@ -3,7 +3,9 @@ and a folder of result cards.
 
 A task is done once its card is written; only then does the stream's checkpoint
 move on, so a restart repeats work but never loses a task, and a repeated batch
-overwrites its own cards. Finished tasks are skipped by an anti join.
+overwrites its own cards. Finished tasks are skipped by an anti join with the
+cards that are still kept: cards lie in folders by batch and by day of expiry,
+and past days are neither read nor, once ``purge`` has run, there.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ CARD = (
     "degraded boolean, warnings array<string>, error_kind string, error string, stages string, finished_at timestamp, expires_at timestamp"
 )
 
+#: Cards as they are stored: in folders by batch and day of expiry.
+STORED = CARD + ", batch int, expires date"
+CARD_COLUMNS = [c.split(" ")[0] for c in CARD.split(", ")]
+
 #: What a failed task means to an HTTP client.
 HTTP_STATUS = {"invalid": 400, "too_large": 413, "too_many": 413, "too_few": 422, "unprocessable": 422, "not_found": 404}
 
@@ -55,12 +61,19 @@ def submit(routes: DataFrame, queue: str) -> DataFrame:
 
 
 def cards(spark: SparkSession, results: str, expired: bool = False) -> DataFrame:
-    """The latest card of every task that is still kept."""
-    found = _read(spark, results, CARD)
+    """The latest card of every task that is still kept. Days that are past aren't read."""
+    found = _read(spark, results, STORED)
+    found = (found if expired else found.where("expires >= current_date()")).select(CARD_COLUMNS)
     latest = found.groupBy("task_key").agg(F.max_by(F.struct(*found.columns), "finished_at").alias("c")).select("c.*")
     return latest if expired else latest.where("expires_at > current_timestamp()")
 
 
+def _store(made: DataFrame, results: str, batch: int, mode: str) -> str:
+    path = f"{results}/batch={batch}"
+    made.withColumn("expires", F.to_date("expires_at")).write.mode(mode).partitionBy("expires").parquet(path)
+    return path
+
+
 def status(spark: SparkSession, queue: str, results: str, task_key: str) -> dict | None:
     """The card of one task; pending if it is only queued, None if unknown."""
     found = cards(spark, results).where(F.col("task_key") == task_key).limit(1).collect()
@@ -91,11 +104,10 @@ def solve(tasks: DataFrame, roads=None, config: EngineConfig = EngineConfig()) -
     solved = engine.resolve(codec.exploded(decoded), roads, config).withColumnRenamed("track_id", "task_key")
     routes = codec.encode_tracks(solved.where("status = 'done'").select(F.col("task_key").alias("track_id"), F.explode("points").alias("p")).select("track_id", "p.*"))
     solved = solved.join(routes.withColumnRenamed("track_id", "task_key"), "task_key", "left").withColumnRenamed("length_after_m", "length_m")
-    names = [c.strip().split(" ")[0] for c in CARD.split(", ")]
-    solved = solved.withColumn("error_kind", F.when(F.col("status") == "failed", "unprocessable")).select(*[c for c in names if c in solved.columns or c == "error_kind"])
+    solved = solved.withColumn("error_kind", F.when(F.col("status") == "failed", "unprocessable")).select(*[c for c in CARD_COLUMNS if c in solved.columns or c == "error_kind"])
     out = solved.unionByName(bad.unionByName(empty), allowMissingColumns=True)
     out = out.withColumns({"length_m": F.coalesce("length_m", F.lit(0.0)), "degraded": F.coalesce("degraded", F.lit(False)), "finished_at": F.current_timestamp()})
-    return out.withColumn("expires_at", F.col("finished_at") + F.make_dt_interval(secs=F.lit(config.ttl_s))).select(*names)
+    return out.withColumn("expires_at", F.col("finished_at") + F.make_dt_interval(secs=F.lit(config.ttl_s))).select(CARD_COLUMNS)
 
 
 class Callback:
@@ -136,12 +148,12 @@ def processor(results: str, roads=None, config: EngineConfig = EngineConfig(), n
     """The body of the stream: skips finished tasks, writes cards, then notifies."""
 
     def process(batch: DataFrame, number: int) -> None:
-        spark, path = batch.sparkSession, f"{results}/batch={number}"
-        finished = _read(spark, results, CARD + ", batch int").where(F.col("batch") != number).select("task_key")
+        spark = batch.sparkSession
+        finished = _read(spark, results, STORED).where((F.col("batch") != number) & F.expr("expires >= current_date()")).select("task_key")
         fresh = batch.where("task_key is not null").dropDuplicates(["task_key"]).join(finished, "task_key", "left_anti")
-        solve(fresh, roads, config).write.mode("overwrite").parquet(path)
+        path = _store(solve(fresh, roads, config), results, number, "overwrite")
         if notify is not None:
-            notify(spark.read.schema(CARD).parquet(path))
+            notify(spark.read.schema(CARD + ", expires date").parquet(path).select(CARD_COLUMNS))
 
     return process
 
@@ -156,7 +168,7 @@ def start(spark: SparkSession, queue: str, results: str, checkpoint: str, roads=
 def _open_entries(spark: SparkSession, queue: str, results: str) -> DataFrame:
     entries = _read(spark, queue, QUEUE)
     last = entries.groupBy("task_key").agg(F.max_by(F.struct("route_compressed", "attempt", "enqueued_at"), "attempt").alias("e")).select("task_key", "e.*")
-    return last.join(_read(spark, results, CARD).select("task_key"), "task_key", "left_anti")
+    return last.join(_read(spark, results, STORED).select("task_key"), "task_key", "left_anti")
 
 
 def reclaim(spark: SparkSession, queue: str, results: str, idle_s: int, config: EngineConfig = EngineConfig()) -> tuple[int, int]:
@@ -167,11 +179,9 @@ def reclaim(spark: SparkSession, queue: str, results: str, idle_s: int, config:
     again = lost.where(F.col("attempt") < config.max_attempts)
     n_poisoned, n_again = poisoned.count(), again.count()
     if n_poisoned:
-        names = [c.strip().split(" ")[0] for c in CARD.split(", ")]
         card = poisoned.select("task_key", F.lit("failed").alias("status"), F.lit("poisoned").alias("error_kind"), F.concat(F.lit("gave up after "), F.col("attempt"), F.lit(" attempts")).alias("error"), F.lit(0.0).alias("length_m"), F.lit(False).alias("degraded"), F.current_timestamp().alias("finished_at"))
         card = card.withColumn("expires_at", F.col("finished_at") + F.make_dt_interval(secs=F.lit(config.ttl_s)))
-        full = spark.createDataFrame([], CARD).unionByName(card, allowMissingColumns=True).select(*names)
-        full.write.mode("append").parquet(f"{results}/batch=-1")
+        _store(spark.createDataFrame([], CARD).unionByName(card, allowMissingColumns=True).select(CARD_COLUMNS), results, -1, "append")
     if n_again:
         enqueue(again, queue)
     return n_again, n_poisoned
@@ -182,7 +192,7 @@ def trim(spark: SparkSession, queue: str, results: str) -> int:
     if not _exists(spark, queue):
         return 0
     entries = spark.read.schema(QUEUE).parquet(queue).select("task_key", F.input_file_name().alias("file"))
-    done = _read(spark, results, CARD).select("task_key", F.lit(1).alias("done")).distinct()
+    done = _read(spark, results, STORED).select("task_key", F.lit(1).alias("done")).distinct()
     whole = entries.join(done, "task_key", "left").groupBy("file").agg(F.min(F.coalesce("done", F.lit(0))).alias("all_done")).where("all_done = 1")
     paths = [r.file for r in whole.select("file").toLocalIterator()]
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -192,6 +202,35 @@ def trim(spark: SparkSession, queue: str, results: str) -> int:
     return len(paths)
 
 
+def purge(spark: SparkSession, queue: str, results: str) -> int:
+    """Deletes the cards whose day of expiry is past and returns how many. A
+    folder stays while one of its tasks is queued: without its card, the task
+    would seem unfinished (``trim`` takes finished ones off the queue)."""
+    old = _read(spark, results, STORED).where("expires < current_date()").select("task_key", "batch", "expires")
+    queued = _read(spark, queue, QUEUE).select("task_key", F.lit(True).alias("queued")).distinct()
+    free = old.join(queued, "task_key", "left").groupBy("batch", "expires").agg(F.count("*").alias("n"), F.max("queued").alias("queued")).where("queued is null")
+    jvm, conf, gone = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for r in free.select("batch", "expires", "n").toLocalIterator():
+        day = jvm.org.apache.hadoop.fs.Path(f"{results}/batch={r.batch}/expires={r.expires}")
+        fs = day.getFileSystem(conf)
+        gone += r.n if fs.delete(day, True) else 0
+        if not any(x.isDirectory() for x in fs.listStatus(day.getParent())):
+            fs.delete(day.getParent(), True)
+    return gone
+
+
+def tend(spark: SparkSession, query: StreamingQuery, queue: str, results: str, every_s: float = 60.0, idle_s: int = 600, config: EngineConfig = EngineConfig()) -> int:
+    """Beside a running stream: every ``every_s`` reclaims what nobody finished,
+    trims the queue and purges old cards, until the stream ends. Returns how often."""
+    rounds = 0
+    while not query.awaitTermination(every_s):
+        reclaim(spark, queue, results, idle_s, config)
+        trim(spark, queue, results)
+        purge(spark, queue, results)
+        rounds += 1
+    return rounds
+
+
 def ready(query: StreamingQuery, silent_s: float = 60.0, now: float | None = None) -> bool:
     """Whether the stream runs and has reported within ``silent_s``."""
     if not query.isActive:

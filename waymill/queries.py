@@ -445,11 +445,56 @@ def _(v):
     return engine.grouped(v, chain, "at int, seq int")
 
 
-@query("dual_sources")
+def _dual(view: str, select: str) -> str:
+    """SQL of two sources in one track; ``bad`` holds the points that it condemns."""
+    near = lambda p: f"{_hav(p, 'v')} <= {m.DUAL_NEAR_M}"
+    close = f"{_hav4('lons[rest[1] + 1]', 'lats[rest[1] + 1]', 'lons[r + 1]', 'lats[r + 1]')} <= {m.DUAL_NEAR_M}"
+    split = f"greatest(share_a, share_b) / greatest(least(share_a, share_b), 1e-6) >= {m.DUAL_RATIO}"
+    return f"""WITH RECURSIVE {_STEPS.replace(VIEW_SQL, view)},
+jp AS (SELECT track_id, seq, t_us, count(*) OVER (PARTITION BY track_id) AS jumps, lag(t_us) OVER (PARTITION BY track_id ORDER BY seq) AS before FROM st WHERE next_m >= {m.DUAL_JUMP_M} AND next_s >= 0 AND next_m / greatest(next_s, 1) * 3.6 > {m.DUAL_KMH}),
+ep AS (SELECT *, sum(CASE WHEN t_us - before > {m.DUAL_GAP_S * 1_000_000} THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY seq) AS ep FROM jp WHERE jumps >= {m.DUAL_SWITCHES}),
+eps AS (SELECT track_id, ep, min(seq) AS a, max(seq) + 1 AS z FROM ep GROUP BY 1, 2 HAVING count(*) >= {m.DUAL_SWITCHES}),
+q AS (SELECT track_id, max(seq) AS final, list(lon ORDER BY seq) AS lons, list(lat ORDER BY seq) AS lats, list(t_us ORDER BY seq) AS ts FROM v GROUP BY 1 HAVING count(*) >= {m.DUAL_POINTS}),
+pl AS (SELECT e.track_id, ep, a, z, final, v.seq, v.t_us, {near("pa")} AS at_a, {near("pb")} AS at_b FROM eps e JOIN q ON q.track_id = e.track_id JOIN v pa ON pa.track_id = e.track_id AND pa.seq = a JOIN v pb ON pb.track_id = e.track_id AND pb.seq = a + 1 JOIN v ON v.track_id = e.track_id),
+lim AS (SELECT track_id, ep, coalesce(max(seq) FILTER (seq < a AND NOT at_a AND NOT at_b), -1) + 1 AS lo, coalesce(min(seq) FILTER (seq > z AND NOT at_a AND NOT at_b), any_value(final) + 1) - 1 AS hi FROM pl GROUP BY 1, 2),
+win AS (SELECT pl.*, lag(at_a) OVER w AS was_a, lag(at_b) OVER w AS was_b, t_us - lag(t_us) OVER w AS dt FROM pl JOIN lim USING (track_id, ep) WHERE seq BETWEEN lo AND hi WINDOW w AS (PARTITION BY track_id, ep ORDER BY seq)),
+sm AS (SELECT track_id, ep, greatest((max(t_us) - min(t_us)) / 1e6, 1) AS total, coalesce(sum(dt) FILTER (was_a AND at_a), 0) / 1e6 AS held_a, coalesce(sum(dt) FILTER (was_b AND at_b), 0) / 1e6 AS held_b, list(seq ORDER BY seq) AS rest FROM win GROUP BY 1, 2),
+sh AS (SELECT *, held_a / total AS share_a, held_b / total AS share_b FROM sm),
+cr AS (SELECT track_id, ep, total, 0 AS k, []::INTEGER[] AS own, rest FROM sh WHERE NOT ({split})
+UNION ALL SELECT track_id, ep, total, k + 1, list_filter(rest, lambda r: {close}), list_filter(rest, lambda r: NOT ({close})) FROM cr JOIN q USING (track_id) WHERE len(rest) > 0),
+st2 AS (SELECT track_id, ep, k, coalesce(list_sum(list_transform(range(2, len(own) + 1), lambda i: CASE WHEN ts[own[i] + 1] - ts[own[i - 1] + 1] <= {m.DUAL_HELD_S * 1_000_000} THEN ts[own[i] + 1] - ts[own[i - 1] + 1] ELSE 0 END)), 0) / 1e6 / total AS share FROM cr JOIN q USING (track_id) WHERE k > 0),
+guilty AS (SELECT track_id, ep FROM st2 GROUP BY 1, 2 HAVING count(*) >= {m.DUAL_PLACES} AND max(share) < {m.DUAL_SHARE}),
+bad AS (SELECT win.track_id, win.seq FROM win JOIN sh USING (track_id, ep) WHERE {split} AND CASE WHEN share_b >= share_a THEN at_a ELSE at_b END UNION SELECT track_id, seq FROM win SEMI JOIN guilty USING (track_id, ep))
+{select}"""
+
+
+@query("dual_sources", _dual(VIEW_SQL, "SELECT v.track_id, count(bad.seq) AS points FROM v LEFT JOIN bad ON bad.track_id = v.track_id AND bad.seq = v.seq GROUP BY 1"))
 def _(v):
     return engine.flagged(v, k.find_dual, "dual").groupBy("track_id").agg(F.sum(F.col("dual").cast("long")).alias("points"))
 
 
+#: A point a minute, at four to seven places in turn by the day of the month: places are held or not.
+_PLACES_SQL = VIEW_SQL.replace("v AS (", "v0 AS (") + ", v AS (SELECT * REPLACE (seq * 60000000::BIGINT AS t_us, 37.6 + seq % (4 + CAST(substr(track_id, 9, 2) AS INTEGER) % 4) * 0.5::DOUBLE AS lon) FROM v0)"
+
+
+@query("dual_places", _dual(_PLACES_SQL, "SELECT track_id, seq FROM bad"))
+def _(v):
+    turn = F.col("seq") % (F.lit(4) + F.substring("track_id", 9, 2).cast("int") % 4)
+    v = v.withColumns({"t_us": F.col("seq").cast("long") * 60_000_000, "lon": F.lit(37.6) + turn * 0.5})
+    return engine.flagged(v, k.find_dual, "dual").where("dual").select("track_id", "seq")
+
+
+#: A point a minute, at two places by turns; days differ in which is held for longer.
+_TURNS_SQL = VIEW_SQL.replace("v AS (", "v0 AS (") + ", v AS (SELECT * REPLACE (seq * 60000000::BIGINT AS t_us, 37.6 + CASE WHEN seq % 5 < 1 + CAST(substr(track_id, 9, 2) AS INTEGER) % 4 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS lon) FROM v0)"
+
+
+@query("dual_turns", _dual(_TURNS_SQL, "SELECT track_id, seq FROM bad"))
+def _(v):
+    away = F.col("seq") % 5 < F.lit(1) + F.substring("track_id", 9, 2).cast("int") % 4
+    v = v.withColumns({"t_us": F.col("seq").cast("long") * 60_000_000, "lon": F.lit(37.6) + F.when(away, 0.5).otherwise(0.0)})
+    return engine.flagged(v, k.find_dual, "dual").where("dual").select("track_id", "seq")
+
+
 @query("split_sources")
 def _(v):
     return engine.flagged(v, k.find_split, "split").groupBy("track_id").agg(F.sum(F.col("split").cast("long")).alias("points"))
@@ -656,6 +701,66 @@ def _(v):
     return _points(v, lambda p, _: [{"seq": int(i)} for i in k.hot_spots(p, k.np.arange(len(p)), k.np.zeros(len(p)))])
 
 
+@query(
+    "engine_pairs",
+    f"""WITH {_STEPS}, h AS (SELECT * FROM ({ORACLES["hot_spots"]}) WHERE hot), n AS (SELECT track_id, max(seq) AS final FROM v GROUP BY 1),
+asked AS (SELECT track_id, 0 AS kind, seq AS place, 0 AS nth, seq AS a, seq + 1 AS b FROM st WHERE nlon IS NOT NULL
+UNION ALL SELECT track_id, 1, seq, i, greatest(seq - d, 0), least(seq + d, final) FROM h JOIN n USING (track_id), (SELECT unnest({list(m.HOT_STEPS)}) AS d, unnest(range({len(m.HOT_STEPS)})) AS i)),
+far AS (SELECT asked.*, p.t_us AS ta, v.t_us AS tb, {_hav("p", "v")} AS line FROM asked JOIN v p ON p.track_id = asked.track_id AND p.seq = a JOIN v ON v.track_id = asked.track_id AND v.seq = b WHERE a < b),
+ok AS (SELECT *, row_number() OVER (PARTITION BY track_id, ta, tb ORDER BY kind, place, nth) AS nr FROM far WHERE line >= {m.ROAD_LEAST_M} AND NOT (line < {m.ROAD_SHORT_M} AND tb > ta AND line / ((tb - ta) / 1e6) * 3.6 <= {m.ROAD_SHORT_KMH}))
+SELECT track_id, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, round(line, 3) AS line_m FROM ok WHERE nr = 1""",
+)
+def _(v):
+    """The questions to the router about a chain of all points."""
+
+    def asked(p, _):
+        pairs = k.road_pairs(k.ChainBuilder(p), k.np.arange(len(p)), k.RoadMemory(len(p)))
+        return [{"a": i, "b": j, "line_m": round(float(p.to(i, j)), 3)} for i, j in pairs]
+
+    return _points(v, asked, "a int, b int, line_m double")
+
+
+def _places(view: str) -> str:
+    """SQL of the places of a track's points: cs are their centres so far, home is the point's."""
+    return f"""WITH RECURSIVE {view}, q AS (SELECT track_id, list(lon ORDER BY seq) AS lons, list(lat ORDER BY seq) AS lats FROM v GROUP BY 1),
+f AS (SELECT track_id, 0 AS seq, [0] AS cs, 0 AS home FROM q UNION ALL SELECT track_id, seq, CASE WHEN low <= {m.SPLIT_NEAR_M} THEN cs ELSE list_append(cs, seq) END, CAST(CASE WHEN low <= {m.SPLIT_NEAR_M} THEN list_position(off, low) - 1 ELSE len(cs) END AS INTEGER)
+FROM (SELECT *, list_min(off) AS low FROM (SELECT track_id, seq + 1 AS seq, cs, list_transform(cs, lambda c: {_hav4("lons[c + 1]", "lats[c + 1]", "lons[seq + 2]", "lats[seq + 2]")}) AS off FROM f JOIN q USING (track_id) WHERE seq + 1 < len(lons))))"""
+
+
+def _settled(p) -> list:
+    return k.places(p, k.np.arange(len(p)))
+
+
+@query("engine_places", f"{_places(VIEW_SQL)} SELECT track_id, seq, CAST(min(seq) OVER (PARTITION BY track_id, home) AS INTEGER) AS centre FROM f")
+def _(v):
+    return _points(v, lambda p, _: [{"seq": int(i), "centre": c.centre} for c in _settled(p) for i in c.members], "seq int, centre int")
+
+
+@query(
+    "engine_returns",
+    f"""{_places(VIEW_SQL)}, en AS (SELECT f.track_id, f.seq, home, v.lon, v.lat FROM (SELECT *, lag(home) OVER (PARTITION BY track_id ORDER BY seq) AS was FROM f) f JOIN (SELECT track_id, home, min(seq) AS centre FROM f GROUP BY 1, 2) USING (track_id, home) JOIN v ON v.track_id = f.track_id AND v.seq = centre WHERE was IS NULL OR was <> home),
+mv AS (SELECT track_id, home, lag(home) OVER w AS other, seq > min(seq) OVER (PARTITION BY track_id, home) AS known, {_hav4("lag(lon) OVER w", "lag(lat) OVER w", "lon", "lat")} AS way FROM en WINDOW w AS (PARTITION BY track_id ORDER BY seq)),
+bk AS (SELECT * FROM mv WHERE known AND way >= {m.SPLIT_APART_M})
+SELECT track_id, count(*) AS returns, len(list_distinct(list_concat(list(home), list(other)))) AS places FROM bk GROUP BY 1""",
+)
+def _(v):
+    def back(p, _):
+        count, guilty = k.returns(p, k.np.arange(len(p)), _settled(p))
+        return [{"returns": count, "places": len(guilty)}] if count else []
+
+    return _points(v, back, "returns long, places long")
+
+
+#: Quarter hours of each track in which a place occurs, as a share.
+@query(
+    "engine_slots",
+    f"""{_places(VIEW_SQL)}, ends AS (SELECT track_id, min(t_us) AS t0, (max(t_us) - min(t_us)) // {m.SPLIT_SLOT_S * 1_000_000} + 1 AS slots FROM v GROUP BY 1)
+SELECT f.track_id, CAST(min(f.seq) AS INTEGER) AS centre, round(count(DISTINCT (t_us - t0) // {m.SPLIT_SLOT_S * 1_000_000}) / any_value(slots), 9) AS share FROM f JOIN v ON v.track_id = f.track_id AND v.seq = f.seq JOIN ends ON ends.track_id = f.track_id GROUP BY f.track_id, home""",
+)
+def _(v):
+    return _points(v, lambda p, _: [{"centre": c.centre, "share": round(float(k.slot_share(p, c.members, 0, len(p) - 1)), 9)} for c in _settled(p)], "centre int, share double")
+
+
 @query("engine_weights", ORACLES["smooth_weight"])
 def _(v):
     return _points(v, lambda p, table: [{"seq": i, "weight": round(float(w), 6)} for i, w in enumerate(k.point_weights(p, table.column("snap_m").to_numpy())[1])], "seq int, weight double")

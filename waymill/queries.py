@@ -720,6 +720,48 @@ def _(v):
     return _points(v, asked, "a int, b int, line_m double")
 
 
+@query(
+    "engine_road",
+    f"""WITH p AS ({ORACLES["engine_pairs"]}), {VIEW_SQL}, hit AS (SELECT p.track_id, p.a, p.b FROM p JOIN v x ON x.track_id = p.track_id AND x.seq = a JOIN v y ON y.track_id = p.track_id AND y.seq = b WHERE a % 5 <> 2 AND (y.t_us <= x.t_us OR {_hav("x", "y")} * 1.3 / ((y.t_us - x.t_us) / 1e6) * 3.6 > {m.ROAD_KMH}))
+SELECT track_id, CAST(seq AS INTEGER) AS seq, round(count(*) * {m.ROAD_W}, 6)::DOUBLE AS penalty FROM (SELECT track_id, a AS seq FROM hit UNION ALL SELECT track_id, b FROM hit) GROUP BY 1, 2""",
+)
+def _(v):
+    """What a road 1.3 times the line costs a chain of all points; some questions have no answer."""
+
+    def banned(p, _):
+        memory = k.RoadMemory(len(p))
+        k.check_road(k.ChainBuilder(p), k.np.arange(len(p)), memory, lambda pairs: [None if i % 5 == 2 else float(p.to(i, j)) * 1.3 for i, j in pairs])
+        return [{"seq": int(i), "penalty": round(float(memory.penalty[i]), 6)} for i in k.indices(memory.penalty > 0)]
+
+    return _points(v, banned, "seq int, penalty double")
+
+
+@query(
+    "engine_loops",
+    f"""WITH RECURSIVE lw AS ({ORACLES["loop_windows"]}), {_STEPS},
+win AS (SELECT lw.track_id, first, last, coalesce(sum(step_m) FILTER (st.seq > first), 0) AS path FROM lw JOIN st ON st.track_id = lw.track_id AND st.seq BETWEEN first AND last GROUP BY 1, 2, 3 HAVING count(*) >= {m.LOOP_POINTS}),
+rt AS (SELECT win.*, path / greatest({_hav("x", "y")} * 1.2, {m.LOOP_FLOOR_M}) AS ratio, row_number() OVER (PARTITION BY win.track_id ORDER BY first) AS nth FROM win JOIN v x ON x.track_id = win.track_id AND x.seq = first JOIN v y ON y.track_id = win.track_id AND y.seq = last WHERE path >= {m.LOOP_PATH_M} AND first % 7 <> 3),
+hy AS (SELECT track_id, nth, first, last, ratio > {m.LOOP_ENTER} AS hot FROM rt WHERE nth = 1 UNION ALL SELECT rt.track_id, rt.nth, rt.first, rt.last, rt.ratio > CASE WHEN hy.hot THEN {m.LOOP_STAY} ELSE {m.LOOP_ENTER} END FROM hy JOIN rt ON rt.track_id = hy.track_id AND rt.nth = hy.nth + 1)
+SELECT track_id, CAST(unnest(range(first, last + 1)) AS INTEGER) AS seq, {m.LOOP_W}::DOUBLE AS penalty FROM hy WHERE hot""",
+)
+def _(v):
+    """Half hours that wind, for roads of 1.2 times the line; some have no answer."""
+
+    def winding(p, _):
+        memory = k.RoadMemory(len(p))
+        k.check_loops(k.ChainBuilder(p), k.np.arange(len(p)), memory, lambda pairs: [None if i % 7 == 3 else float(p.to(i, j)) * 1.2 for i, j in pairs])
+        return [{"seq": int(i), "penalty": round(float(memory.penalty[i]), 6)} for i in k.indices(memory.penalty > 0)]
+
+    return _points(v, winding, "seq int, penalty double")
+
+
+@query("airfield_points", f"WITH {VIEW_SQL} SELECT track_id, seq FROM v WHERE (lon > 38.0 AND lon < 38.4 AND lat > 55 AND lat < 56) OR (lat > 55.7497 AND lon > 40 AND lon - 40 + (lat - 55.7497) * 5000 < 3)")
+def _(v):
+    """Points inside a rectangle or a triangle."""
+    rings = [[(38.0, 55.0), (38.4, 55.0), (38.4, 56.0), (38.0, 56.0)], [(40.0, 55.7497), (43.0, 55.7497), (40.0, 55.7503)]]
+    return s.mark_airfields(v, rings).where("airfield = 1").select("track_id", "seq")
+
+
 def _places(view: str) -> str:
     """SQL of the places of a track's points: cs are their centres so far, home is the point's."""
     return f"""WITH RECURSIVE {view}, q AS (SELECT track_id, list(lon ORDER BY seq) AS lons, list(lat ORDER BY seq) AS lats FROM v GROUP BY 1),

@@ -762,6 +762,52 @@ def _(v):
     return s.mark_airfields(v, rings).where("airfield = 1").select("track_id", "seq")
 
 
+_FLAGS = "(seq % 6 = 0) AS trusted, (seq % 4) * 5 AS observed, seq % 11 = 5 AS frozen, seq % 13 = 7 AS split, CASE WHEN seq % 37 = 4 THEN 0.5::DOUBLE ELSE 0 END AS decoy"
+
+
+def _built(view: str) -> str:
+    """SQL of all steps that make a point's weight, in their order."""
+    at = "PARTITION BY track_id ORDER BY seq"
+    near = f"PARTITION BY track_id ORDER BY t_us RANGE BETWEEN {m.SPREAD_S * 1_000_000} PRECEDING AND {m.SPREAD_S * 1_000_000} FOLLOWING"
+    same = f"abs(v.lon - sp.slon) < {m.SAME_SPOT_DEG} AND abs(v.lat - sp.slat) < {m.SAME_SPOT_DEG}"
+    evil = " UNION ".join(f"SELECT track_id, seq FROM ({sql.replace(VIEW_SQL, view)})" for sql in (ORACLES["traps"], ORACLES["engine_islands"], _dual(VIEW_SQL, "SELECT track_id, seq FROM bad")))
+    smooth = f"SELECT a.track_id, a.seq, any_value(a.raw) AS raw, median(b.raw) AS smooth FROM wt a JOIN wt b ON a.track_id = b.track_id AND b.seq BETWEEN a.seq - {m.SMOOTH_MOST} AND a.seq + {m.SMOOTH_MOST - 1} AND (abs(a.seq - b.seq) <= {m.SMOOTH_LEAST} OR abs(a.t_us - b.t_us) <= {m.SMOOTH_S * 1_000_000}) GROUP BY 1, 2"
+    return f"""WITH RECURSIVE {_STEPS.replace(VIEW_SQL, view)}, {_SIGMA}, j AS ({smooth}), evil AS ({evil}),
+sp AS (SELECT track_id, seq, lon AS slon, lat AS slat, seq AS head FROM v WHERE seq = 0 UNION ALL SELECT v.track_id, v.seq, CASE WHEN {same} THEN slon ELSE v.lon END, CASE WHEN {same} THEN slat ELSE v.lat END, CASE WHEN {same} THEN head ELSE v.seq END FROM sp JOIN v ON v.track_id = sp.track_id AND v.seq = sp.seq + 1),
+fl AS (SELECT st.track_id, st.seq, t_us, coalesce(snap_m <= {m.AMNESTY_SNAP_M}, false) AS road, coalesce(dt_s <= {m.AMNESTY_GAP_S} AND step_m <= dt_s * {m.AMNESTY_KMH} / 3.6 + {m.CHAIN_SLACK_M}, false) AS tie, {_FLAGS.replace("seq", "st.seq")}, evil.seq IS NOT NULL AS bad FROM st LEFT JOIN evil ON evil.track_id = st.track_id AND evil.seq = st.seq),
+f1 AS (SELECT *, trusted AND decoy <= 0 AS honest, max(bad::INT) OVER ({near}) = 1 AS spread FROM fl), f2 AS (SELECT *, spread OR decoy > 0 AS sus FROM f1),
+z AS (SELECT *, NOT sus AS free, sus AND NOT bad AND road AS fits, coalesce(lead(tie) OVER ({at}), false) AS tie_next, max(seq) OVER (PARTITION BY track_id) AS final FROM f2),
+fw AS (SELECT track_id, seq, free AS trust, false AS won FROM z WHERE seq = 0 UNION ALL SELECT z.track_id, z.seq, z.free OR (fw.trust AND z.fits AND z.tie), NOT z.free AND fw.trust AND z.fits AND z.tie FROM fw JOIN z ON z.track_id = fw.track_id AND z.seq = fw.seq + 1),
+bw AS (SELECT track_id, seq, free AS trust, false AS won FROM z WHERE seq = final UNION ALL SELECT z.track_id, z.seq, z.free OR (bw.trust AND z.fits AND z.tie_next), NOT z.free AND bw.trust AND z.fits AND z.tie_next FROM bw JOIN z ON z.track_id = bw.track_id AND z.seq = bw.seq - 1),
+rn AS (SELECT *, sum(CASE WHEN fits AND before AND tie THEN 0 ELSE 1 END) OVER ({at}) AS run FROM (SELECT *, coalesce(lag(fits) OVER ({at}), false) AS before FROM z)),
+lg AS (SELECT track_id, run FROM rn WHERE fits GROUP BY 1, 2 HAVING count(*) >= {m.AMNESTY_RUN} AND max(decoy) <= 0),
+free2 AS (SELECT track_id, seq FROM fw WHERE won UNION SELECT track_id, seq FROM bw WHERE won UNION SELECT rn.track_id, rn.seq FROM rn JOIN lg ON lg.track_id = rn.track_id AND lg.run = rn.run WHERE fits UNION SELECT track_id, seq FROM f1 WHERE honest AND NOT bad),
+w1 AS (SELECT z.*, free2.seq IS NOT NULL AS pardoned, head, CASE WHEN honest THEN greatest(raw, {m.TRUST_W}) ELSE least(raw, smooth) END AS w FROM z JOIN j USING (track_id, seq) JOIN sp USING (track_id, seq) LEFT JOIN free2 USING (track_id, seq)),
+w2 AS (SELECT * REPLACE (CASE WHEN observed > 0 AND w > 0 AND NOT split THEN w * (1 + log10(greatest(observed, 1))) ELSE w END AS w) FROM w1),
+w3 AS (SELECT * REPLACE (CASE WHEN w > 0 THEN w / count(*) OVER (PARTITION BY track_id, t_us // 1000000) / count(*) OVER (PARTITION BY track_id, head) ELSE w END AS w) FROM w2),
+w4 AS (SELECT * REPLACE (CASE WHEN frozen THEN least(w, 0) - {m.FROZEN_W} ELSE w END AS w) FROM w3)
+SELECT track_id, seq, spread, pardoned, round(w - CASE WHEN spread AND NOT pardoned THEN {m.BAD_W} ELSE 0 END - CASE WHEN decoy > 0 AND NOT pardoned THEN {m.DECOY_W} * decoy ELSE 0 END - CASE WHEN split THEN {m.SPLIT_W} ELSE 0 END, 6)::DOUBLE AS weight FROM w4"""
+
+
+def _weighed(v: DataFrame) -> DataFrame:
+    def built(p, table):
+        np, seq = k.np, k.np.arange(len(p))
+        decoy = np.where(seq % 37 == 4, 0.5, 0.0)
+        w, spread, pardoned = k.build_weights(p, table.column("snap_m").to_numpy(), seq % 6 == 0, seq % 4 * 5.0, seq % 11 == 5, seq % 13 == 7, decoy, np.zeros(len(p), dtype=bool))
+        return [{"seq": i, "weight": round(float(x), 6), "spread_n": spread, "pardoned_n": pardoned} for i, x in enumerate(w)]
+
+    return _points(v, built, "seq int, weight double, spread_n long, pardoned_n long")
+
+
+_counted = lambda sql: f"SELECT track_id, seq, weight, count(*) FILTER (spread) OVER (PARTITION BY track_id) AS spread_n, count(*) FILTER (pardoned) OVER (PARTITION BY track_id) AS pardoned_n FROM ({sql})"
+
+
+@query("engine_built", _counted(_built(VIEW_SQL)))
+def _(v):
+    """Weights of all points, with made-up facts about stops, observations and decoys."""
+    return _weighed(v)
+
+
 def _places(view: str) -> str:
     """SQL of the places of a track's points: cs are their centres so far, home is the point's."""
     return f"""WITH RECURSIVE {view}, q AS (SELECT track_id, list(lon ORDER BY seq) AS lons, list(lat ORDER BY seq) AS lats FROM v GROUP BY 1),

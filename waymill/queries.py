@@ -919,6 +919,35 @@ def _(v):
     return engine.resolve(v, None, m.EngineConfig(max_points=cap)).where("status = 'failed'").select("track_id", "status", "error", "points_before")
 
 
+_BACK = 10
+_DRIVES = lambda lon, lat, t, cell: f"(ts[seq + 2] >= {t} AND {_hav4(lon, lat, 'lons[seq + 2]', 'lats[seq + 2]')} <= {m.CHAIN_KMH} / 3.6 * (ts[seq + 2] - {t}) / 1e6 + {m.CHAIN_SLACK_M} AND NOT list_contains(banned, {cell} || ';' || cells[seq + 2]))"
+
+
+@query(
+    "chain_banned",
+    f"""WITH RECURSIVE {VIEW_SQL}, ce AS (SELECT *, concat_ws(',', {_CELL("lon", "lat")}) AS cell FROM v), nx AS (SELECT *, lead(cell) OVER (PARTITION BY track_id ORDER BY seq) AS ncell FROM ce),
+q AS (SELECT track_id, list(lon ORDER BY seq) AS lons, list(lat ORDER BY seq) AS lats, list(t_us ORDER BY seq) AS ts, list(cell ORDER BY seq) AS cells, coalesce(list(DISTINCT cell || ';' || ncell) FILTER (seq % 4 = 0 AND ncell IS NOT NULL), []) AS banned FROM nx GROUP BY 1),
+d AS (SELECT track_id, 0 AS seq, [-3.0::DOUBLE] AS best, [-1] AS came FROM q
+UNION ALL SELECT track_id, seq, list_append(best, w + CASE WHEN pick > 0 THEN best[pick] ELSE 0 END), list_append(came, pick - 1) FROM
+(SELECT *, CAST(CASE WHEN far > 0 AND best[far] > CASE WHEN i > 0 THEN best[i] ELSE 0 END AND {_DRIVES("lons[far]", "lats[far]", "ts[far]", "cells[far]").replace("seq + 2", "seq + 1")} THEN far ELSE i END AS INTEGER) AS pick FROM
+(SELECT *, CASE WHEN top > 0 THEN CAST(len(cand) - list_position(list_reverse(cand), top) + 1 AS INTEGER) ELSE 0 END AS i, CASE WHEN seq > {_BACK} THEN seq - {_BACK} - list_position(list_reverse(best[1:seq - {_BACK}]), list_max(best[1:seq - {_BACK}])) + 1 ELSE 0 END AS far FROM
+(SELECT *, list_max(cand) AS top FROM (SELECT track_id, seq + 1 AS seq, best, came, lons, lats, ts, cells, banned, CAST((seq + 1) % 7 - 3 AS DOUBLE) AS w, list_transform(list_zip(best, lons[:seq + 1], lats[:seq + 1], ts[:seq + 1], cells[:seq + 1], range(1, seq + 2)),
+lambda x: CASE WHEN x[6] > seq + 1 - {_BACK} AND {_DRIVES("x[2]", "x[3]", "x[4]", "x[5]")} THEN x[1] ELSE -1e18 END) AS cand FROM d JOIN q USING (track_id) WHERE seq + 1 < len(ts)))))),
+fin AS (SELECT track_id, arg_max(best, seq) AS best, arg_max(came, seq) AS came FROM d GROUP BY 1),
+c AS (SELECT track_id, came, CAST(list_position(best, list_max(best)) - 1 AS INTEGER) AS seq, 0 AS back FROM fin UNION ALL SELECT track_id, came, CAST(came[seq + 1] AS INTEGER), back + 1 FROM c WHERE came[seq + 1] >= 0)
+SELECT track_id, CAST(max(back) OVER (PARTITION BY track_id) - back AS INTEGER) AS at, seq FROM c""",
+)
+def _(v):
+    """The chain with a short look back, so that the heaviest end before it counts, and bans on every fourth step's cells."""
+
+    def chain(p, table):
+        builder = k.ChainBuilder(p, _BACK)
+        bans = {builder.key(i, i + 1): 1e12 for i in range(0, len(p) - 1, 4)}
+        return [{"at": i, "seq": int(x)} for i, x in enumerate(builder.build(table.column("seq").to_numpy() % 7 - 3.0, bans))]
+
+    return engine.grouped(v, chain, "at int, seq int")
+
+
 def _packed(view: str) -> str:
     """SQL of the stages that run without roads: points of the track (p0), after
     deduplication (p1), collapsing of stops (p2) and simplification (p3), each numbered anew."""

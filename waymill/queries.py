@@ -948,6 +948,18 @@ def _(v):
     return engine.grouped(v, chain, "at int, seq int")
 
 
+def _asked() -> str:
+    """SQL of the first questions about each track's chain of smoothed weights."""
+    smooth = f"SELECT a.track_id, a.seq, least(any_value(a.raw), median(b.raw)) AS weight FROM wt a JOIN wt b ON a.track_id = b.track_id AND b.seq BETWEEN a.seq - {m.SMOOTH_MOST} AND a.seq + {m.SMOOTH_MOST - 1} AND (abs(a.seq - b.seq) <= {m.SMOOTH_LEAST} OR abs(a.t_us - b.t_us) <= {m.SMOOTH_S * 1_000_000}) GROUP BY 1, 2"
+    chain = ORACLES["build_chain"].replace(VIEW_SQL, f"{VIEW_SQL}, {_SIGMA}, vw AS (SELECT v.*, weight FROM v JOIN ({smooth}) USING (track_id, seq))", 1)
+    chain = chain.replace("AS ts FROM v", "AS ts, list(weight ORDER BY seq) AS ws FROM vw", 1).replace("[-3.0::DOUBLE] AS best", "[ws[1]] AS best").replace("CAST((seq + 1) % 7 - 3 AS DOUBLE) AS w", "ws[seq + 2] AS w")
+    return f"""WITH {VIEW_SQL}, ch AS MATERIALIZED (SELECT track_id, "at" AS pos, seq FROM ({chain})), h AS (SELECT ch.track_id, ch.pos FROM ch JOIN ({ORACLES["hot_spots"]}) o ON o.track_id = ch.track_id AND o.seq = ch.seq WHERE hot), n AS (SELECT track_id, max(pos) AS final FROM ch GROUP BY 1),
+asked AS (SELECT track_id, 0 AS kind, pos AS place, 0 AS nth, pos AS i, pos + 1 AS j FROM ch UNION ALL SELECT track_id, 1, pos, i, greatest(pos - d, 0), least(pos + d, final) FROM h JOIN n USING (track_id), (SELECT unnest({list(m.HOT_STEPS)}) AS d, unnest(range({len(m.HOT_STEPS)})) AS i)),
+far AS (SELECT asked.*, x.seq AS a, y.seq AS b, p.t_us AS ta, v.t_us AS tb, {_hav("p", "v")} AS line FROM asked JOIN ch x ON x.track_id = asked.track_id AND x.pos = i JOIN ch y ON y.track_id = asked.track_id AND y.pos = j JOIN v p ON p.track_id = asked.track_id AND p.seq = x.seq JOIN v ON v.track_id = asked.track_id AND v.seq = y.seq WHERE i < j),
+ok AS (SELECT *, row_number() OVER (PARTITION BY track_id, ta, tb ORDER BY kind, place, nth) AS nr FROM far WHERE line >= {m.ROAD_LEAST_M} AND NOT (line < {m.ROAD_SHORT_M} AND tb > ta AND line / ((tb - ta) / 1e6) * 3.6 <= {m.ROAD_SHORT_KMH}))
+SELECT track_id, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, round(line, 3) AS line_m FROM ok WHERE nr = 1"""
+
+
 def _packed(view: str) -> str:
     """SQL of the stages that run without roads: points of the track (p0), after
     deduplication (p1), collapsing of stops (p2) and simplification (p3), each numbered anew."""
@@ -1006,6 +1018,7 @@ best AS (SELECT a.track_id, a.t_us, CASE WHEN c.total < least(a.total, CASE WHEN
 FROM cost a JOIN cost b ON b.track_id = a.track_id AND b.t_us = a.t_us AND b.kind = 1 JOIN cost c ON c.track_id = a.track_id AND c.t_us = a.t_us AND c.kind = 2 WHERE a.kind = 0),
 moved AS (SELECT best.track_id, b.own[i] AS seq, seqs[i] AS input_seq FROM best JOIN b USING (track_id, t_us), range(1, {m.REORDER_MOST + 1}) r(i) WHERE i <= len(seqs))
 SELECT v.track_id, v.seq, CAST(coalesce(moved.input_seq, v.seq) AS INTEGER) AS input_seq FROM v LEFT JOIN moved USING (track_id, seq)"""
+_oracle("road_pairs", _asked())
 _oracle("reorder_batches", _BATCHES)
 
 

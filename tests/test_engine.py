@@ -10,8 +10,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from waymill import model as m
+from waymill import queries
 from waymill.functions import kernels as k
 from waymill.plans import engine
 from waymill.plans import track as one
@@ -377,3 +379,29 @@ def test_in_polygon(spark):
     rows = [(0.5, 0.5, 1.0), (1.5, 0.5, 0.0), (0.5, -0.1, 0.0), (0.9, 0.9, 0.0), (0.1, 0.2, 1.0)]
     df = spark.createDataFrame(rows, "lon double, lat double, want double")
     assert all(r.airfield == r.want for r in sequence.mark_airfields(df, [[(0.0, 0.0), (1.0, 0.0), (1.0, 0.7), (0.0, 0.8)]]).collect())
+
+
+# ---------------------------------------------------------------- plans
+
+
+@pytest.mark.parametrize("name", ["simplify", "split_sources", "find_stops", "build_chain"])
+def test_rules_run_on_many_partitions_after_one_exchange(spark, name):
+    """The view's own shuffle, then the one by track; nothing merges it again."""
+    out = queries.queries()[name](spark, "/root/testdata/sf0.1")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("FlatMapGroupsInArrow") :]
+    assert below.count("Exchange hashpartitioning") == 2 and "REPARTITION_BY_NUM" in below
+
+
+def test_rule_rows_stay_dealt_out(spark):
+    out = queries.queries()["find_stops"](spark, "/root/testdata/sf0.1")
+    assert len(out.select(F.spark_partition_id().alias("p")).distinct().collect()) >= 8
+
+
+def test_a_track_beyond_the_bound_is_named(spark, monkeypatch):
+    monkeypatch.setattr(engine, "MOST_POINTS", 3)
+    rows = [("long", i, i * 1_000_000, 37.0 + i, 55.0) for i in range(4)] + [("short", 0, 0, 37.0, 55.0)]
+    points = spark.createDataFrame(rows, "track_id string, seq int, t_us long, lon double, lat double")
+    with pytest.raises(Exception, match="track long has more than 3 points"):
+        engine.kept(points, lambda p: np.arange(len(p))).collect()
+    assert engine.kept(points.where("track_id = 'short'"), lambda p: np.arange(len(p))).count() == 1

@@ -209,10 +209,12 @@ def stage_stats(results: DataFrame) -> DataFrame:
 
 def _bounded(points: DataFrame) -> DataFrame:
     """Points dealt out by track; a track of more than MOST_POINTS ends the query
-    with an error before any worker loads it."""
+    with an error before any worker loads it. The check stands in a filter: a new
+    ``track_id`` would hide from Spark how the rows are dealt out."""
     n = F.count("*").over(Window.partitionBy("track_id"))
-    checked = F.when(n <= MOST_POINTS, F.col("track_id")).otherwise(F.raise_error(F.format_string("track %s has more than %d points", "track_id", F.lit(MOST_POINTS))))
-    return _by_track(points).withColumn("track_id", checked)
+    too_long = F.raise_error(F.format_string("track %s has more than %d points", "track_id", F.lit(MOST_POINTS)))
+    counted = _by_track(points).withColumn("_n", n)
+    return counted.where(F.when(F.col("_n") <= MOST_POINTS, F.lit(True)).otherwise(too_long.cast("boolean"))).drop("_n")
 
 
 #: Points of a track that a single rule is run on at most; the engine itself has ``EngineConfig.max_points``.

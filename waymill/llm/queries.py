@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, infill, langid, licences, neighbours, pii, quality, secrets, simhash, warc
+from . import bpe, decontam, infill, langid, licences, neighbours, pii, planes, quality, secrets, simhash, variants, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_warc": warc.op9_warc,
         "op10_neighbours": neighbours.op10_neighbours,
         "op11_infill": infill.op11_infill,
+        "op12_variants": variants.op12_variants,
+        "op13_planes": planes.op13_planes,
         "planted_neighbours": neighbours.planted_neighbours,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontam.ORACLE_SQL, "op11_infill": infill.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op10_neighbours": neighbours.ORACLE_SQL, "planted_neighbours": neighbours.PLANTED_SQL}
+    return {"op5_decontamination": decontam.ORACLE_SQL, "op11_infill": infill.ORACLE_SQL, "op12_variants": variants.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op10_neighbours": neighbours.ORACLE_SQL, "planted_neighbours": neighbours.PLANTED_SQL}

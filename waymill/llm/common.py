@@ -60,9 +60,9 @@ class Scratch:
         atexit.register(self._quietly, made)
         return made
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         return out

@@ -11,7 +11,7 @@ seed and doc_id alone. Marks can't be met by chance: texts that hold one stay
 plain, and no end of a mark is a beginning of another, so ``restored`` finds the
 text again from output and form.
 
-Rows are numbered in a written table, so repeated and missing ids stay apart:
+Rows that are cut are numbered in a written table, so repeated and missing ids stay apart:
 null text counts as empty; rows without doc_id draw from the digest of the seed
 alone; repeated rows give repeated results; other columns are ignored; an empty
 table gives no rows. A text of any length is one group of the window, which
@@ -41,31 +41,32 @@ def _units(text: Column | str) -> Column:
     return F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
 
 
-def requests(docs: DataFrame, id_col: str, text_col: str, seed: int, rate: int, spm: int) -> DataFrame:
-    """(row, doc_id, text, n, form, low, high): what each document is cut into;
-    its prefix ends after ``low`` units, its middle after ``high``."""
-    named = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-    )
-    drawn = named.withColumns({"h": F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), "n": F.size(_units("text")).cast("long")})
-    one, two = _draw(F.col("h"), 0) % (F.col("n") + 1), _draw(F.col("h"), 1) % (F.col("n") + 1)
+def planned(docs: DataFrame, id_col: str, text_col: str, seed: int, rate: int, spm: int) -> DataFrame:
+    """(doc_id, text, form, h) of every row."""
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    drawn = named.withColumn("h", F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256))
     marked = F.contains("text", F.lit(PREFIX)) | F.contains("text", F.lit(SUFFIX)) | F.contains("text", F.lit(MIDDLE))
     plain = (F.col("text") == "") | marked | (_draw(F.col("h"), 2) % 100 >= rate)
-    form = F.when(plain, "plain").when(_draw(F.col("h"), 3) % 100 < spm, "spm").otherwise("psm")
-    return drawn.select("row", "doc_id", "text", "n", form.alias("form"), F.least(one, two).alias("low"), F.greatest(one, two).alias("high"))
+    return drawn.withColumn("form", F.when(plain, "plain").when(_draw(F.col("h"), 3) % 100 < spm, "spm").otherwise("psm"))
+
+
+def _count() -> Column:
+    return F.size(_units("text")).cast("long")
 
 
-def offsets(cut: DataFrame, partitions: int) -> DataFrame:
-    """(row, low_end, high_end): where the units named by ``cut`` (row, text, low,
-    high) end, in code points; null where no unit is before the cut."""
-    dealt = cut.select("row", "text").repartition(partitions, "row")
-    units = dealt.select("row", F.posexplode(_units("text")).alias("at", "unit")).select("row", (F.col("at") + 1).alias("ordinal"), F.length("unit").cast("long").alias("size"))
+def cut(rows: DataFrame, partitions: int) -> DataFrame:
+    """(doc_id, n, form, text, low_end, high_end) of ``rows`` (row, doc_id, text, n,
+    form, low, high): where the units named by the cut requests end, in code
+    points; 0 where no unit is before the cut."""
+    dealt = rows.select("row", "text").repartition(partitions, "row")
+    # the first unit brings the text along, so it is shuffled once and never joined
+    units = dealt.select("row", "text", F.posexplode(_units("text")).alias("at", "unit")).select("row", (F.col("at") + 1).alias("ordinal"), F.length("unit").cast("long").alias("size"), F.when(F.col("at") == 0, F.col("text")).alias("text"))
     ends = units.withColumn("end", F.sum("size").over(Window.partitionBy("row").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    asked = cut.select(F.col("row").alias("_row"), "low", "high")
+    asked = rows.select(F.col("row").alias("_row"), "doc_id", "n", "form", "low", "high")
     # one request row a document and no equality of ordinals: the join keeps the window's partitioning
-    met = ends.join(asked, (F.col("row") == F.col("_row")) & ((F.col("ordinal") == F.col("low")) | (F.col("ordinal") == F.col("high"))))
-    at = lambda c: F.max(F.when(F.col("ordinal") == F.col(c), F.col("end"))).alias(f"{c}_end")
-    return met.groupBy("row").agg(at("low"), at("high"))
+    met = ends.join(asked, (F.col("row") == F.col("_row")) & ((F.col("ordinal") == F.col("low")) | (F.col("ordinal") == F.col("high")) | (F.col("ordinal") == 1)))
+    at = lambda c: F.coalesce(F.max(F.when(F.col("ordinal") == F.col(c), F.col("end"))), F.lit(0)).cast("int").alias(f"{c}_end")
+    return met.groupBy("row", "doc_id", "n", "form").agg(F.max("text").alias("text"), at("low"), at("high")).drop("row")
 
 
 def restored(output: Column | str, form: Column | str) -> Column:
@@ -82,14 +83,16 @@ def infill(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed
     """(doc_id, n, form, prefix_chars, middle_chars, output) for every row.
     ``rate`` per cent of the documents are cut, ``spm`` per cent of those with
     the suffix first."""
-    spark = docs.sparkSession
+    spark, found = docs.sparkSession, planned(docs, id_col, text_col, seed, rate, spm)
+    n = F.col("n") + 1
+    one, two = _draw(F.col("h"), 0) % n, _draw(F.col("h"), 1) % n
+    asking = found.where("form <> 'plain'").withColumns({"row": F.monotonically_increasing_id(), "n": _count()})
+    asking = asking.select("row", "doc_id", "text", "n", "form", F.least(one, two).alias("low"), F.greatest(one, two).alias("high"))
     # written once: the row numbers hold for every later scan, whichever tasks are run again
-    rows = Scratch(spark).keep(requests(docs, id_col, text_col, seed, rate, spm), "infill")
-    cut = rows.where("form <> 'plain'")
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (cut.agg(F.sum("n")).first()[0] or 0) // UNITS + 1)
-    low, high = F.coalesce("low_end", F.lit(0)), F.coalesce("high_end", F.lit(0))
+    rows = Scratch(spark).keep(asking, "infill", "zstd")
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (rows.agg(F.sum("n")).first()[0] or 0) // UNITS + 1)
     part = lambda start, size: F.substring("text", start + 1, size)
-    done = cut.join(offsets(cut, partitions), "row", "left").withColumns({"low_end": low.cast("int"), "high_end": high.cast("int")})
+    done = cut(rows, partitions)
     done = done.withColumns({"p": part(F.lit(0), F.col("low_end")), "m": part(F.col("low_end"), F.col("high_end") - F.col("low_end")), "s": part(F.col("high_end"), F.length("text"))})
     psm = F.concat(F.lit(PREFIX), "p", F.lit(SUFFIX), "s", F.lit(MIDDLE), "m")
     spm_form = F.concat(F.lit(SUFFIX), "s", F.lit(PREFIX), "p", F.lit(MIDDLE), "m")
@@ -98,8 +101,7 @@ def infill(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed
         F.when(F.col("form") == "psm", psm).otherwise(spm_form).alias("output"),
     )
     none = F.lit(None).cast("long")
-    plain = rows.where("form = 'plain'").select("doc_id", "n", "form", none.alias("prefix_chars"), none.alias("middle_chars"), F.col("text").alias("output"))
-    return done.unionByName(plain)
+    return done.unionByName(found.where("form = 'plain'").select("doc_id", _count().alias("n"), "form", none.alias("prefix_chars"), none.alias("middle_chars"), F.col("text").alias("output")))
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -41,8 +41,8 @@ _SPACED = frozenset(_DIGITS + " -")
 _DIALLED = frozenset(_DIGITS + " ().-")
 _URL = frozenset(_LETTERS + _DIGITS + "._~%!$&*+=:@-")
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_NUMBER = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"[\s:#=-]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
@@ -69,6 +69,33 @@ def _run(text: str, at: int, allowed: frozenset, least: int) -> tuple[int, int]:
     return s, e
 
 
+def _emails(text: str, start: int, stop: int) -> Iterator[Span]:
+    """The addresses in a run of their characters. At each at-sign the name begins
+    behind the at-sign or address before, and no later beginning can succeed
+    where this one fails."""
+    begin, at = start, text.find("@", start, stop)
+    while at >= 0:
+        after = at + 1
+        if begin < at and (m := _DOMAIN.match(text, after, stop)):
+            after = m.end()
+            yield begin, after, "email"
+        begin, at = after, text.find("@", after, stop)
+
+
+def _ips(text: str, start: int, stop: int) -> Iterator[Span]:
+    """Four numbers in a run of digits and dots with one dot between each two; a
+    number that begins none is skipped as a whole."""
+    numbers: list[tuple[int, int]] = []
+    for m in _NUMBER.finditer(text, start, stop):
+        if numbers and m.start() != numbers[-1][1] + 1:
+            numbers.clear()
+        numbers.append(m.span())
+        if len(numbers) == 4:
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in (text[a:b].lstrip("0") for a, b in numbers)):
+                yield numbers[0][0], numbers[3][1], "ip"
+            numbers.clear()
+
+
 def luhn(number: str) -> bool:
     total = 0
     for i, d in enumerate(reversed([int(c) for c in number if c in _DIGITS])):
@@ -94,7 +121,7 @@ def find(text: str | None) -> list[Span]:
                 s, e = _run(text, last, _DOTTED, to["dotted"])
                 to["dotted"] = e
                 if text.count(".", s, e) >= 3:
-                    base += [(m.start(), m.end(), "ip") for m in _IP.finditer(text, s, e) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
+                    base += _ips(text, s, e)
             if last >= to["spaced"]:
                 s, e = _run(text, last, _SPACED, to["spaced"])
                 to["spaced"] = e
@@ -104,7 +131,7 @@ def find(text: str | None) -> list[Span]:
             if last >= to["mail"]:
                 s, e = _run(text, last, _MAIL, to["mail"])
                 to["mail"] = e
-                base += [(m.start(), m.end(), "email") for m in _EMAIL.finditer(text, s, e)]
+                base += _emails(text, s, e)
         elif kind == "plus":
             if last >= to["dialled"]:
                 e = last + 1

@@ -434,6 +434,20 @@ def test_base_pii_equals_the_patterns(text):
     assert [s for s in pii.find(text) if s[2] in pii.BASE] == plain_pii(text)
 
 
+@given(st.lists(st.sampled_from(["1", "25", "256", "0001", ".", "..", "@", "a", "-", "_", "a.b", "@c.d"]), max_size=40).map("".join))
+def test_mail_and_ip_runs_equal_the_patterns(text):
+    assert [s for s in pii.find(text) if s[2] in pii.BASE] == plain_pii(text)
+
+
+@pytest.mark.parametrize("text", ["1" * 1_000_000 + "... ", "a" * 1_000_000 + "@ ", "+" * 1_000_000, "1." * 500_000 + "x", "a@" * 500_000, "a@b." * 250_000, "1 " * 500_000, "+1 (" * 250_000, "://a:" * 200_000, "IBAN " * 200_000])
+def test_pii_time_grows_with_the_text(text):
+    import time
+
+    began = time.process_time()
+    pii.find(text)
+    assert time.process_time() - began < 3  # the patterns alone would take hours
+
+
 def test_pii_query_added_kinds_and_redaction(spark, edge, docs):
     text = "IBAN: DE89 3704 0044 0532 0130 00, SSN 123-45-6789, https://joe:pw1@host.org/x and a@b.co"
     assert [(text[s:e], k) for s, e, k in pii.find(text) if k in ("iban", "ssn")] == [("DE89 3704 0044 0532 0130 00", "iban"), ("123-45-6789", "ssn")]
@@ -539,6 +553,39 @@ def test_neighbours_equal_brute_force(spark, monkeypatch):
     assert neighbours.near_duplicates(table.limit(0)).count() == 0
 
 
+def linked_nodes(spark, n, pairs, found, seed=4):
+    """Nodes of which the first 2 * pairs are linked in pairs, and the counts as if
+    only the first ``found`` pairs had been found."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 24))
+    x[1 : 2 * pairs : 2] = x[: 2 * pairs : 2] + rng.normal(size=(pairs, 24)) * 0.01
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    nodes = spark.createDataFrame([(i * 7919, "a", 24, 1, v.tobytes()) for i, v in enumerate(x)], "node long, label string, dim int, copies long, unit binary")
+    return nodes, spark.createDataFrame([(i * 7919, 1) for i in range(2 * found)], "node long, n long")
+
+
+@pytest.mark.parametrize("n,pairs,found,least,most", [(20_000, 200, 100, 0.3, 0.75), (20_000, 200, 200, 1.0, 1.0), (3000, 500, 450, 0.85, 0.95), (2000, 100, 0, 0.0, 0.0)])
+def test_audit_tells_missed_nodes(spark, n, pairs, found, least, most):
+    seen = neighbours._audited(*linked_nodes(spark, n, pairs, found), 0.93, 1024)
+    assert least <= seen.recall <= most and seen.low <= seen.recall and (found == pairs or seen.low < neighbours.LOWEST and seen.missed)
+
+
+def test_audit_measures_where_nothing_was_found(spark):
+    nodes, counts = linked_nodes(spark, 500, 0, 0)
+    seen = neighbours._audited(nodes, counts, 0.93, 1024)
+    assert seen.recall is None and seen.nodes == 500 and seen.missed == 0
+    nodes, counts = linked_nodes(spark, 500, 3, 0)
+    assert neighbours._audited(nodes, counts, 0.93, 1024).recall == 0.0
+
+
+def test_missed_links_end_the_run(spark, monkeypatch):
+    nodes, _ = linked_nodes(spark, 400, 40, 0)
+    rows = [(r.node, "a", np.frombuffer(r.unit).tolist()) for r in nodes.collect()]
+    monkeypatch.setattr(neighbours, "_verified", lambda threshold: lambda batches: iter(()))
+    with pytest.raises(RuntimeError, match="recall 0.000"):
+        neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>"))
+
+
 def test_tight_groups_that_link_less_closely(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CHUNK", 16)
     monkeypatch.setattr(neighbours, "BALLS", 2)

@@ -18,9 +18,12 @@ component and no list of its links is made; this costs as many products as a
 dense group has pairs, and each vector is sent once for every CHUNK dense ones.
 
 Recall is audited against brute force on AUDIT nodes chosen by hash, half of
-them among those that have links, and averaged over the nodes that truly have
-some. Below TARGET all lists are doubled and refined anew, twice; the run fails
-rather than return less.
+them with found links, half without, also where none was found. Each half
+counts by how many nodes it stands for, and the recall of nodes with true links
+is given with the lower end of its interval. Below TARGET, or with misses and a
+lower end below LOWEST, all lists are doubled and refined anew, twice; the run
+fails rather than return less. Where nothing is missed, but links are so rare
+that the sample can't tell more, the log says so.
 
 Rows: vectors that are null, zero or hold null or non-finite components, and
 rows with null label, link with nothing and are their own component; vectors of
@@ -34,8 +37,10 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,7 +54,10 @@ NEAREST, BLOCK, TREES, ROUNDS, SETTLED = 10, 256, 4, 4, 0.002
 WIDER, WIDER_ROUNDS = 4, 2
 #: Members of a component's chunk.
 CHUNK = 1024
-AUDIT, TARGET = 1024, 0.95
+#: Nodes of the audit, how often half of them may be doubled, the recall asked for and its interval's least lower end.
+AUDIT, AUDIT_STEPS, TARGET, LOWEST = 1024, 4, 0.95, 0.9
+#: Standard errors of a 95 % interval.
+Z = 1.96
 #: Balls compared with one another at a time.
 BALLS = 1024
 #: Half precision may understate a link by this much; double precision decides.
@@ -389,21 +397,66 @@ def bridges(members: DataFrame, scratch: Scratch, threshold: float = THRESHOLD)
     return dealt.mapInArrow(_met(threshold), "u long, v long")
 
 
-def _audited(nodes: DataFrame, counts: DataFrame, threshold: float, most: int) -> tuple[float | None, int]:
-    """Recall of links against brute force, averaged over the nodes that truly
-    have links among ``most`` nodes chosen by hash (half of them of those with
-    found links), and how many links those have; no recall if none has. These
-    nodes go to all tasks (most * vector bytes)."""
+@dataclass
+class Audit:
+    """Recall over nodes with true links: estimate and lower end of its 95 %
+    interval (None without a true link in the sample), links and nodes it rests on,
+    and how many of the sampled nodes without found links have true ones."""
+
+    recall: float | None
+    low: float | None
+    links: int
+    nodes: int
+    missed: int
+
+
+def _estimated(found_total: int, found: tuple[int, float, float], lost_total: int, lost: tuple[int, int]) -> tuple[float | None, float | None]:
+    """Recall and its lower end from two strata, each weighted by its size: nodes
+    with found links (sampled nodes, sum and sum of squares of their recalls) and
+    nodes without (sampled nodes, those with true links)."""
+    n, total, squares = found
+    mean = total / n if n else 1.0
+    error = 0.0 if n < 2 or n >= found_total else float(np.sqrt(max(squares / n - mean * mean, 0.0) / (n - 1)))
+    size, hits = lost
+    share = hits / size if size else 0.0
+    most = share if size >= lost_total else (share + Z * Z / (2 * size) + Z * np.sqrt(share * (1 - share) / size + Z * Z / (4 * size * size))) / (1 + Z * Z / size)
+    if not found_total and not hits:
+        return None, None
+    part = lambda m, lacking: found_total * m / (found_total + lacking * lost_total)
+    return part(mean, share), max(0.0, part(max(mean - Z * error, 0.0), most))
+
+
+def _audited(nodes: DataFrame, counts: DataFrame, threshold: float, most: int) -> Audit:
+    """Recall against brute force: ``most`` nodes chosen by hash, half of them of
+    those with found links, half of the others, are compared with all nodes. While
+    nothing is missed but the interval's lower end is too low to tell, the second
+    sample is enlarged, up to AUDIT_STEPS times. These nodes go to all tasks (so
+    many vectors, whatever the table's size)."""
     mine = nodes.join(counts, "node", "left").select("node", "label", "dim", "unit", F.coalesce("n", F.lit(0)).alias("n"))
+    totals = mine.agg(F.count(F.when(F.col("n") > 0, 1)), F.count(F.when(F.col("n") == 0, 1))).first()
+
+    def chosen(size: int) -> DataFrame:
+        share = [1 << 31 if total <= want else int((1 << 31) * want / total) for total, want in zip(totals, (most // 2, size))]
+        return mine.where(F.pmod(F.hash("node"), F.lit(1 << 31)) < F.when(F.col("n") > 0, F.lit(share[0])).otherwise(F.lit(share[1])))
+
+    size = most // 2
+    for step in range(AUDIT_STEPS):
+        held = chosen(size).toPandas()
+        if not len(held):
+            return Audit(None, None, 0, 0, 0)
+        true = _true_links(nodes, held, threshold)
+        rates = [min(n, true[q]) / true[q] for q, n in zip(held["node"].tolist(), held["n"].tolist()) if n and true.get(q)]
+        without = held["node"][held["n"] == 0].tolist()
+        missed = sum(q in true for q in without)
+        recall, low = _estimated(totals[0], (len(rates), float(np.sum(rates)), float(np.sum(np.square(rates)))), totals[1], (len(without), missed))
+        if missed or len(without) >= totals[1] or low is not None and low >= LOWEST:
+            break
+        size *= 2
+    return Audit(recall, low, sum(true.values()), len(held), missed)
 
-    def chosen(rows: DataFrame) -> DataFrame:
-        total = rows.count()
-        share = (1 << 31) if total <= most // 2 else int((1 << 31) * (most // 2) / total)
-        return rows.where(F.pmod(F.hash("node"), F.lit(1 << 31)) < share)
 
-    held = chosen(mine.where("n > 0")).union(chosen(mine)).dropDuplicates(["node"]).toPandas()
-    if not len(held):
-        return None, 0
+def _true_links(nodes: DataFrame, held: pd.DataFrame, threshold: float) -> dict[int, int]:
+    """How many links each of the held nodes has among all nodes, by brute force; those without have no entry."""
     groups = {key: (d["node"].to_numpy(), np.vstack([np.frombuffer(x) for x in d["unit"]])) for key, d in held.groupby(["label", "dim"])}
     shared = nodes.sparkSession.sparkContext.broadcast(groups)
 
@@ -423,9 +476,9 @@ def _audited(nodes: DataFrame, counts: DataFrame, threshold: float, most: int) -
             yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.int64())], names=["node", "true_n"])
 
     truth = nodes.select("label", "dim", "node", "copies", "unit").mapInArrow(run, "node long, true_n long").groupBy("node").agg(F.sum("true_n").alias("true_n"))
-    row = truth.join(counts, "node", "left").agg(F.sum("true_n"), F.avg(F.least(F.coalesce("n", F.lit(0)), "true_n") / F.col("true_n"))).first()
+    out = {r.node: r.true_n for r in truth.collect()}  # one row a held node
     shared.destroy()
-    return (row[1], int(row[0])) if row[0] else (None, 0)
+    return out
 
 
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEAREST, audit: int = AUDIT, report: dict | None = None, **columns) -> DataFrame:
@@ -469,14 +522,15 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEAR
             dense = dense.join(nodes.select("node", "copies"), "node").select("node", (F.col("n") - F.col("copies")).alias("n"))
             counts = counts.join(dense.select("node"), "node", "left_anti").unionAll(dense)
         counts = scratch.keep(counts, "counts")
-        recall, seen = _audited(nodes, counts, threshold, audit)
-        log.info("recall %s over %d links, lists of %d", recall, seen, k)
+        seen = _audited(nodes, counts, threshold, audit)
+        log.info("recall %s (at least %s) over %d links of %d nodes, %d missed, lists of %d", seen.recall, seen.low, seen.links, seen.nodes, seen.missed, k)
         if report is not None:
-            report |= {"recall": recall, "links": seen, "k": k}
-        if recall is None or recall >= TARGET:
+            report |= {**vars(seen), "k": k}
+        # a lower end that is low though nothing was missed says that links are too rare to tell more
+        if seen.recall is None or seen.recall >= TARGET and (seen.low >= LOWEST or not seen.missed):
             break
         if attempt == 2:
-            raise RuntimeError(f"recall {recall:.3f} is below {TARGET} with lists of {k}")
+            raise RuntimeError(f"recall {seen.recall:.3f} (at least {seen.low:.3f}) is below {TARGET} with lists of {k}")
         k *= 2
     comps = scratch.keep(comps.union(comps.select(F.col("component").alias("id"), "component").distinct()), "components")
     named = nodes.select("node", "rep", "copies").join(comps, nodes.node == comps.id, "left").join(counts, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))

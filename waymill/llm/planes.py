@@ -217,36 +217,37 @@ def _encoded(column: pa.Array, path: str) -> list[np.ndarray]:
 
 
 def token_ids(docs: DataFrame, vocabulary: str, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids) of every row: ids as little-endian unsigned 32-bit
-    integers, ``end_id`` appended."""
+    """(doc_id, n_tokens, planes) of every row: the byte planes of its ids with
+    ``end_id`` appended, as many as its largest id needs, lowest first."""
     last = np.zeros(0, "<u4") if end_id is None else np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text", 1 << 20):
             ids = [np.concatenate([x, last]) for x in _encoded(b.column("text"), vocabulary)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            planes = [b"".join(planes_of(x, BYTES)) for x in ids]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(planes, pa.binary())], names=["doc_id", "n_tokens", "planes"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return balanced(slim).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return balanced(slim).mapInArrow(run, "doc_id long, n_tokens long, planes binary")
 
 
 def write_ids(tokens: DataFrame, path: str, kind: int = BYTES) -> None:
-    """Writes (doc_id, n_tokens, ids) as files under ``path``, in ascending order of doc_id."""
+    """Writes (doc_id, n_tokens, planes) as files under ``path``, in ascending order of doc_id."""
     spark, scratch = tokens.sparkSession, Scratch(tokens.sparkSession)
     # written once: a row's number then holds, and deals out the copies of one doc_id
-    kept = scratch.keep(tokens.withColumn("row", F.monotonically_increasing_id()), "ids")
+    kept = scratch.keep(tokens.withColumn("row", F.monotonically_increasing_id()), "ids", "zstd")
     total = kept.agg(F.sum("n_tokens")).first()[0] or 0
     parts = max(spark.sparkContext.defaultParallelism, total // PART_IDS + 1)
     order = [F.col("doc_id").asc_nulls_first(), F.col("row").asc()]
-    dealt = kept.select("doc_id", "row", "ids").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    dealt = kept.select("doc_id", "row", "n_tokens", "planes").repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         made = Writer(TaskContext.get().partitionId(), 0, kind)
         for b in batches:
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), b.column("ids")):
-                made.add(doc_id, np.frombuffer(ids.as_buffer() or b"", "<u4"))
+            for doc_id, n, planes in zip(b.column("doc_id").to_pylist(), b.column("n_tokens").to_pylist(), b.column("planes").to_pylist()):
+                made.add(doc_id, ids_of([planes[at : at + n] for at in range(0, len(planes), n)] if n else [], BYTES, n))
                 if made.ids >= FILE_IDS:
                     yield pa.RecordBatch.from_arrays([pa.array([made.finish()], pa.binary())], names=["file"])
                     made = Writer(made.part, made.number + 1, kind)

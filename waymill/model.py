@@ -53,8 +53,9 @@ STAGES = ("sort_by_time", "core", "deduplicate", "collapse_stops", "simplify", "
 
 @dataclass(frozen=True)
 class EngineConfig:
-    """Packing parameters and input caps. ``load`` reads WAYMILL_* variables;
-    an invalid value leaves the default and logs a warning."""
+    """Packing parameters, input caps, the router and the callback. ``load`` reads
+    WAYMILL_* variables; an invalid value leaves the default and logs a warning.
+    An empty router_url means no roads, an empty callback_url no callback."""
 
     dedup_m: float = 2.0
     dedup_s: float = 60.0
@@ -65,6 +66,13 @@ class EngineConfig:
     max_points: int = 50_000
     max_attempts: int = 5
     ttl_s: int = 3600
+    router_url: str = ""
+    router_timeout_s: float = 30.0
+    router_requests: int = 16
+    router_retries: int = 2
+    callback_url: str = ""
+    callback_tries: int = 3
+    callback_timeout_s: float = 5.0
 
     @classmethod
     def load(cls, env: dict[str, str] | None = None) -> EngineConfig:
@@ -75,7 +83,7 @@ class EngineConfig:
                 continue
             try:
                 value = type(f.default)(text)
-                if not value >= 0:
+                if not isinstance(value, str) and not value >= 0:
                     raise ValueError
             except ValueError:
                 log.warning("WAYMILL_%s=%r is not valid; using %r", f.name.upper(), text, f.default)

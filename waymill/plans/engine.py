@@ -140,12 +140,12 @@ def resolve_with_tables(points: DataFrame, keep: Callable[[DataFrame], DataFrame
     for part in parts:
         values = part if values is None else values.unionByName(part)
     answers = spark.createDataFrame([], schema)
-    finished = None
+    finished, snapper = None, snaps is not None
 
     def run(key: tuple, table: pa.Table, known: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _arrow_schema().empty_table()
-        local = TableRoads()
+        local = TableRoads(snapper=snapper)
         for r in known.to_pylist():
             if r["kind"] == "route":
                 local.routes[r["key"]] = _route_of(r["routes"], r["key"])
@@ -200,11 +200,11 @@ def points_of(results: DataFrame) -> DataFrame:
 
 
 def stage_stats(results: DataFrame) -> DataFrame:
-    """(track_id, stage, points_before, points_after, elapsed_ms, extra) of every
-    stage run, those of failed tracks too."""
-    kind = "array<struct<name:string,pointsBefore:int,pointsAfter:int,elapsedMs:double,extra:map<string,string>>>"
+    """(track_id, at, stage, points_before, points_after, elapsed_ms, extra, error) of
+    every stage run, those of failed tracks too; error is why a stage failed."""
+    kind = "array<struct<name:string,pointsBefore:int,pointsAfter:int,elapsedMs:double,extra:map<string,string>,error:string>>"
     s = results.select("track_id", F.posexplode(F.from_json("stages", kind)).alias("at", "s"))
-    return s.select("track_id", "at", F.col("s.name").alias("stage"), F.col("s.pointsBefore").alias("points_before"), F.col("s.pointsAfter").alias("points_after"), F.col("s.elapsedMs").alias("elapsed_ms"), F.to_json("s.extra").alias("extra"))
+    return s.select("track_id", "at", F.col("s.name").alias("stage"), F.col("s.pointsBefore").alias("points_before"), F.col("s.pointsAfter").alias("points_after"), F.col("s.elapsedMs").alias("elapsed_ms"), F.to_json("s.extra").alias("extra"), F.col("s.error").alias("error"))
 
 
 def _bounded(points: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Where the engine's questions about roads are answered.
 
 A provider works on one track. ``snap`` gives each point's distance to the
-road (NaN: no answer), ``pairs`` the road distance of point pairs (None: no
+road (NaN: no answer; None for all: there is no source of snaps), ``pairs`` the road distance of point pairs (None: no
 answer) and ``route`` the drawn way between two points.
 """
 
@@ -24,6 +24,9 @@ from waymill.functions import kernels as k
 
 log = logging.getLogger("waymill")
 
+#: Fixed value: points of a snap request that answers of "too long" don't go below.
+BATCH_FLOOR = 50
+
 
 @dataclass
 class Route:
@@ -57,8 +60,8 @@ class AnalyticRoads:
     factor: float = 1.2
     north: float = 0.01
 
-    def snap(self, p: k.Track, snap_m: np.ndarray | None) -> np.ndarray:
-        return np.full(len(p), np.nan) if snap_m is None else np.asarray(snap_m, dtype=np.float64)
+    def snap(self, p: k.Track, snap_m: np.ndarray | None) -> np.ndarray | None:
+        return None if snap_m is None else np.asarray(snap_m, dtype=np.float64)
 
     def pairs(self, p: k.Track, wanted: list[tuple[int, int]]) -> list[float | None]:
         i, j = np.array(wanted).T
@@ -86,10 +89,13 @@ class TableRoads:
     snaps: dict[str, float | None] = field(default_factory=dict)
     distances: dict[str, float | None] = field(default_factory=dict)
     routes: dict[str, Route | None] = field(default_factory=dict)
+    snapper: bool = True
 
-    def snap(self, p: k.Track, snap_m: np.ndarray | None) -> np.ndarray:
+    def snap(self, p: k.Track, snap_m: np.ndarray | None) -> np.ndarray | None:
         if snap_m is not None:
             return np.asarray(snap_m, dtype=np.float64)
+        if not self.snapper:
+            return None
         keys = [point_key(a, b) for a, b in zip(p.lon, p.lat)]
         if missing := sorted({x for x in keys if x not in self.snaps}):
             raise NeedAnswers("snap", missing)
@@ -132,8 +138,9 @@ class HttpRoads:
     """A routing server with the usual /route and /table services. Answers that
     fail are missing answers, and are logged and told as ``complaints``. Faults
     are tried again after growing pauses with jitter; at most ``parallel``
-    requests of a process are under way. A too long request is halved, and later
-    ones are as short; a server without /table is asked pair by pair from then on."""
+    requests of a process are under way. A too long request is halved; later ones
+    are halved too, down to BATCH_FLOOR points. A server without /table is asked
+    pair by pair from then on."""
 
     url: str
     timeout_s: float = 30.0
@@ -174,15 +181,9 @@ class HttpRoads:
         self._complain(error)
         raise ConnectionError(str(error))
 
-    def ping(self, lon: float = 0.0, lat: float = 0.0) -> bool:
-        """Whether the server answers at all, whatever it answers."""
-        try:
-            self._get(f"/nearest/v1/driving/{point_key(lon, lat)}")
-        except urllib.error.HTTPError:
-            return True
-        except OSError:
-            return False
-        return True
+    def ping(self, a: tuple[float, float] = (37.6173, 55.7558), b: tuple[float, float] = (37.6273, 55.7658)) -> bool:
+        """Whether the server answers and builds routes, tried between two places that a road joins."""
+        return self._route(f"{point_key(*a)};{point_key(*b)}") is not None
 
     def _snap_run(self, keys: list[str], depth: int = 0) -> list[float | None]:
         if len(keys) < 2:
@@ -194,7 +195,9 @@ class HttpRoads:
         except urllib.error.HTTPError as e:
             if e.code == 414:
                 known = _process(self.url, self.parallel)
-                known.batch = min(known.batch or self.batch, max(2, len(keys) // 2 + 1))
+                now = known.batch or self.batch
+                if len(keys) >= now > BATCH_FLOOR:  # else another request has told so already
+                    known.batch = now // 2
         except (OSError, KeyError, ValueError):
             pass
         if depth >= 12 or len(keys) == 2:
@@ -203,14 +206,18 @@ class HttpRoads:
         left, right = self._snap_run(keys[: half + 1], depth + 1), self._snap_run(keys[half:], depth + 1)
         return [*left[:half], left[half] if left[half] is not None else right[0], *right[1:]]
 
-    def snap(self, p: k.Track, snap_m: np.ndarray | None) -> np.ndarray:
-        keys = [point_key(a, b) for a, b in zip(p.lon, p.lat)]
+    def snap_keys(self, keys: list[str]) -> list[float | None]:
+        """Distances to the road of points in order; requests share a point at their seam."""
         size = _process(self.url, self.parallel).batch or self.batch
         parts = [keys[max(0, a - 1) : a + size - 1] for a in range(0, len(keys), size - 1)]
         with ThreadPoolExecutor(self.parallel) as pool:
             got = list(pool.map(self._snap_run, parts))
         out = got[0] + [x for part in got[1:] for x in part[1:]] if got else []
-        return np.array([np.nan if x is None else x for x in out[: len(keys)]], dtype=np.float64)
+        return out[: len(keys)]
+
+    def snap(self, p: k.Track, snap_m: np.ndarray | None) -> np.ndarray:
+        found = self.snap_keys([point_key(a, b) for a, b in zip(p.lon, p.lat)])
+        return np.array([np.nan if x is None else x for x in found], dtype=np.float64)
 
     def _one_pair(self, keys: tuple[str, str]) -> float | None:
         found = []
@@ -230,7 +237,10 @@ class HttpRoads:
         return [min((x for x in (cells[i][n + i], cells[n + i][i]) if x), default=None) for i in range(n)]
 
     def pairs(self, p: k.Track, wanted: list[tuple[int, int]]) -> list[float | None]:
-        keys = [tuple(pair_key(p, i, j).split(";")) for i, j in wanted]
+        return self.pair_keys([tuple(pair_key(p, i, j).split(";")) for i, j in wanted])
+
+    def pair_keys(self, keys: list[tuple[str, str]]) -> list[float | None]:
+        """Road distances of pairs of points, the shorter direction of each."""
         known = _process(self.url, self.parallel)
         with ThreadPoolExecutor(self.parallel) as pool:
             if known.no_table:
@@ -251,9 +261,9 @@ class HttpRoads:
                 return list(pool.map(self._one_pair, keys))
         return [x for part in got for x in part]
 
-    def _route(self, p: k.Track, i: int, j: int, hint: str = "") -> Route | None:
+    def _route(self, key: str, hint: str = "") -> Route | None:
         try:
-            got = self._get(f"/route/v1/driving/{pair_key(p, i, j)}?overview=full&geometries=geojson{hint}")
+            got = self._get(f"/route/v1/driving/{key}?overview=full&geometries=geojson{hint}")
             r, ends = got["routes"][0], [w.get("location") for w in got.get("waypoints", [])]
             ends = [tuple(e) if e else None for e in [*ends, None, None][:2]]
             return Route(float(r["distance"]), [tuple(c) for c in r["geometry"]["coordinates"]], *ends)
@@ -261,11 +271,12 @@ class HttpRoads:
             return None
 
     def route(self, p: k.Track, i: int, j: int) -> Route | None:
-        def hinted() -> Route | None:
-            turn = int(np.degrees(k.azimuth(p.lon[i], p.lat[i], p.lon[j], p.lat[j])) + 360) % 360
-            return self._route(p, i, j, f"&bearings={turn},45;{turn},45")
+        turn = int(np.degrees(k.azimuth(p.lon[i], p.lat[i], p.lon[j], p.lat[j])) + 360) % 360
+        return self.route_key(pair_key(p, i, j), p.to(i, j), turn)
 
-        return shorter(self._route(p, i, j), hinted, p.to(i, j))
+    def route_key(self, key: str, line: float, turn: int) -> Route | None:
+        """The drawn way of a pair; a detour is asked for again with the bearing from end to end."""
+        return shorter(self._route(key), lambda: self._route(key, f"&bearings={turn},45;{turn},45"), line)
 
     def all_routes(self, p: k.Track, wanted: list[tuple[int, int]]) -> list[Route | None]:
         """The routes of all gaps, asked side by side."""

@@ -1023,8 +1023,11 @@ _oracle("reorder_batches", _BATCHES)
 
 
 def queries() -> dict[str, Query]:
+    from waymill import stage_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)

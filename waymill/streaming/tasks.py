@@ -11,6 +11,7 @@ and past days are neither read nor, once ``purge`` has run, there.
 from __future__ import annotations
 
 import json
+import logging
 import time
 import urllib.error
 import urllib.request
@@ -22,8 +23,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from waymill.model import EngineConfig
 from waymill.plans import engine
+from waymill.plans.providers import HttpProvider
+from waymill.plans.roads import HttpRoads
+from waymill.plans.shared import shared_path
 from waymill.sources import codec
 
+log = logging.getLogger("waymill")
+
 QUEUE = "task_key string, route_compressed string, attempt int, enqueued_at timestamp"
 CARD = (
     "task_key string, status string, route_compressed string, length_m double, length_before_m double, points_before int, points_after int, "
@@ -53,18 +59,24 @@ def enqueue(entries: DataFrame, queue: str) -> None:
 
 def submit(routes: DataFrame, queue: str) -> DataFrame:
     """Appends routes to the queue without decoding them; gives every one
-    without task_key a new key. Returns the keys as written."""
+    without task_key a new key. Returns the keys of these routes, as written,
+    whoever else writes meanwhile; the queue isn't read."""
+    spark = routes.sparkSession
     key = F.coalesce(F.col("task_key"), F.expr("uuid()")) if "task_key" in routes.columns else F.expr("uuid()")
-    before = _read(routes.sparkSession, queue, QUEUE).select("task_key").distinct()
-    enqueue(routes.select(key.alias("task_key"), "route_compressed", F.lit(0).alias("attempt")), queue)
-    return _read(routes.sparkSession, queue, QUEUE).select("task_key").distinct().join(before, "task_key", "left_anti")
+    made = shared_path(spark, "submitted")  # written first: a key is drawn once, however often a task runs
+    routes.select(key.alias("task_key"), "route_compressed", F.lit(0).alias("attempt")).write.parquet(made)
+    entries = spark.read.schema("task_key string, route_compressed string, attempt int").parquet(made)
+    enqueue(entries, queue)
+    return entries.select("task_key").distinct()
 
 
 def cards(spark: SparkSession, results: str, expired: bool = False) -> DataFrame:
     """The latest card of every task that is still kept. Days that are past aren't read."""
     found = _read(spark, results, STORED)
-    found = (found if expired else found.where("expires >= current_date()")).select(CARD_COLUMNS)
-    latest = found.groupBy("task_key").agg(F.max_by(F.struct(*found.columns), "finished_at").alias("c")).select("c.*")
+    found = found if expired else found.where("expires >= current_date()")
+    # the latest by key alone, then its row: whole cards aren't compared or shuffled with their routes
+    last = found.groupBy("task_key").agg(F.max(F.struct("finished_at", "batch")).alias("last")).select("task_key", "last.*")
+    latest = found.join(last, ["task_key", "finished_at", "batch"], "left_semi").dropDuplicates(["task_key"]).select(CARD_COLUMNS)
     return latest if expired else latest.where("expires_at > current_timestamp()")
 
 
@@ -158,8 +170,27 @@ def processor(results: str, roads=None, config: EngineConfig = EngineConfig(), n
     return process
 
 
+def roads_of(config: EngineConfig) -> HttpRoads | None:
+    """The router of the settings, for tracks that ask for themselves; None without a URL."""
+    return HttpRoads(config.router_url, config.router_timeout_s, config.router_requests, config.router_retries) if config.router_url else None
+
+
+def provider_of(config: EngineConfig) -> HttpProvider | None:
+    """The same router for stages across tracks."""
+    return HttpProvider(config.router_url, config.router_requests, {"timeout_s": config.router_timeout_s, "retries": config.router_retries}) if config.router_url else None
+
+
+def callback_of(config: EngineConfig) -> Callback:
+    return Callback(config.callback_url, config.callback_tries, timeout_s=config.callback_timeout_s)
+
+
 def start(spark: SparkSession, queue: str, results: str, checkpoint: str, roads=None, config: EngineConfig = EngineConfig(), notify=None, files_per_batch: int = 100, once: bool = False) -> StreamingQuery:
-    """Runs the stream over the queue folder; ``once`` stops when it is empty."""
+    """Runs the stream over the queue folder; ``once`` stops when it is empty. A
+    router that can't be reached is logged at once, not with the first task."""
+    roads = roads if roads is not None else roads_of(config)
+    notify = notify if notify is not None else callback_of(config) if config.callback_url else None
+    if hasattr(roads, "ping") and not roads.ping():
+        log.warning("the router can't be reached or builds no routes: %s", getattr(roads, "url", roads))
     entries = spark.readStream.schema(QUEUE).option("maxFilesPerTrigger", files_per_batch).parquet(queue)
     writer = entries.writeStream.foreachBatch(processor(results, roads, config, notify)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()

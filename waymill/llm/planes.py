@@ -218,13 +218,14 @@ def _encoded(column: pa.Array, path: str) -> list[np.ndarray]:
 
 def token_ids(docs: DataFrame, vocabulary: str, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, planes) of every row: the byte planes of its ids with
-    ``end_id`` appended, as many as its largest id needs, lowest first."""
+    ``end_id`` appended, as many as its largest id needs, lowest first, compressed."""
     last = np.zeros(0, "<u4") if end_id is None else np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text", 1 << 20):
             ids = [np.concatenate([x, last]) for x in _encoded(b.column("text"), vocabulary)]
-            planes = [b"".join(planes_of(x, BYTES)) for x in ids]
+            press = zstandard.ZstdCompressor(level=1)
+            planes = [press.compress(b"".join(planes_of(x, BYTES))) for x in ids]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(planes, pa.binary())], names=["doc_id", "n_tokens", "planes"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -247,7 +248,8 @@ def write_ids(tokens: DataFrame, path: str, kind: int = BYTES) -> None:
         made = Writer(TaskContext.get().partitionId(), 0, kind)
         for b in batches:
             for doc_id, n, planes in zip(b.column("doc_id").to_pylist(), b.column("n_tokens").to_pylist(), b.column("planes").to_pylist()):
-                made.add(doc_id, ids_of([planes[at : at + n] for at in range(0, len(planes), n)] if n else [], BYTES, n))
+                raw = zstandard.ZstdDecompressor().decompress(planes, max_output_size=4 * n + 1)
+                made.add(doc_id, ids_of([raw[at : at + n] for at in range(0, len(raw), n)] if n else [], BYTES, n))
                 if made.ids >= FILE_IDS:
                     yield pa.RecordBatch.from_arrays([pa.array([made.finish()], pa.binary())], names=["file"])
                     made = Writer(made.part, made.number + 1, kind)

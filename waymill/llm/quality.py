@@ -11,9 +11,9 @@ on the other half, the share of unlabelled rows that score above a threshold is
 divided by that of positives, at the threshold where the bound on this ratio is
 least.
 
-Training reads about MOST_LABELLED labelled and MOST_UNLABELLED unlabelled rows
-at most, taken by a hash of id and text from the training rows, repeated rows
-once; scoring reads all.
+Training reads about MOST_LABELLED labelled documents (one text of each) and
+MOST_UNLABELLED unlabelled rows at most, taken by a hash of id and text from the
+training rows, repeated rows once; scoring reads all.
 
 Rows: null text counts as empty and is scored like an empty one; missing or
 repeated doc_id pass through (a row without doc_id is never held out and never
@@ -216,7 +216,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     trusted = known.where(taken(n, most_labelled, "doc_id")).select("doc_id", F.lit(True).alias("positive"))
     # about MOST_LABELLED ids at most, so they can go to every task
     rows = slim.join(F.broadcast(trusted), "doc_id", "left").select("doc_id", "text", F.col("positive").isNotNull().alias("positive"), taken(total, most_unlabelled, "doc_id", "text").alias("unlabelled"))
-    rows = rows.where("positive or unlabelled").dropDuplicates(["doc_id", "text"]).limit(2 * (most_labelled + most_unlabelled))
+    # one text for each positive id, so its number bounds them however often it stands; repeated rows once
+    chosen = rows.where("positive").groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", F.lit(True).alias("positive"), F.lit(False).alias("unlabelled"))
+    drawn = rows.where("unlabelled").select("doc_id", "text").distinct().select("doc_id", "text", F.lit(False), F.lit(True))
+    rows = chosen.unionAll(drawn)
     got = _feature_rows(rows).toPandas().sort_values(["doc_id", "x"], kind="stable", key=lambda c: c.map(tuple) if c.name == "x" else c)
     if not got["positive"].any():
         return None

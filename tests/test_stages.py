@@ -75,13 +75,13 @@ def test_rounds_choose_the_chain_that_the_loop_over_one_track_chooses(spark, fac
         asked.append([r.key for r in wanted.select("key").collect()])
         return provider.distances(wanted)
 
-    got = rounds.pick(frame(spark, tracks, w=w, trusted=trusted), distances, rounds.keeper(spark))
+    got = rounds.pick(frame(spark, tracks, w=w, trusted=trusted), distances, rounds.keeper(spark), passes=4)
     chain = got.chain.groupBy("track_id").agg(F.sort_array(F.collect_list("seq")).alias("s")).collect()
     chain, report = {r.track_id: r.s for r in chain}, {r.track_id: r for r in got.report.collect()}
     passes = []
     for name, p in tracks.items():
         want, roads = one.CoreReport(), KeyedRoads(provider)
-        assert one.pick(p, w[name], trusted[name], lambda pairs: roads.pairs(p, pairs), want).tolist() == chain[name], name
+        assert one.pick(p, w[name], trusted[name], lambda pairs: roads.pairs(p, pairs), want, 4).tolist() == chain[name], name
         r = report[name]
         assert (r.road_passes, r.loops, r.road_asked, r.road_banned, r.cut_short) == (want.road_passes, want.loops, want.road_asked, want.road_banned, want.cut_short)
         passes.append(want.road_passes)
@@ -176,9 +176,9 @@ def test_ends_move_onto_the_road_but_for_stops(spark):
 REPORT = ["status", "error", "points_before", "points_after", "reordered", "stops_total", "stops_trusted", "stops_frozen", "collapsed", "split", "spread", "amnesty", "loops", "road_banned", "road_asked", "road_passes", "dropped", "guarded", "gaps", "filled", "added_points"]
 
 
-def compare(spark, points, provider, roads, config=m.EngineConfig()):
-    got = staged.resolve_in_stages(points, provider, config=config)
-    want = engine.resolve(points, roads, config)
+def compare(spark, points, provider, roads, config=m.EngineConfig(), passes=3):
+    got = staged.resolve_in_stages(points, provider, config=config, passes=passes)
+    want = engine.resolve(points, roads, config, passes)
     a, b = ({r.track_id: r for r in df.collect()} for df in (got.report, want))
     assert set(a) == set(b)
     for name, r in b.items():
@@ -289,7 +289,7 @@ def router():
 def test_a_router_is_asked_once_for_a_place_and_within_its_limit(spark, router):
     tracks = {f"v{n}": p for n, p in enumerate([*wandering(8, 3, 70).values()] * 2)}  # three vehicles on each way
     points = frame(spark, tracks)
-    got = staged.resolve_in_stages(points, HttpProvider(router, requests=3))
+    got = staged.resolve_in_stages(points, HttpProvider(router, requests=3), passes=2)
     assert _Router.peak <= 3
     asked = [x for path in _Router.seen if "overview=false" in path and "/route/" in path for x in path.split("/driving/")[1].split("?")[0].split(";")]
     requests = sum("overview=false" in path and "/route/" in path for path in _Router.seen)
@@ -302,7 +302,7 @@ def test_a_router_is_asked_once_for_a_place_and_within_its_limit(spark, router):
     routes = [path for path in _Router.seen if "overview=full" in path and "bearings" not in path]
     assert len(routes) == len(set(routes)) > 0
     # and the answers are those that tracks get which ask for themselves
-    want = {r.track_id: r for r in engine.resolve(points, HttpRoads(router)).collect()}
+    want = {r.track_id: r for r in engine.resolve(points, HttpRoads(router), passes=2).collect()}
     report = got.report.collect()
     assert [r.status for r in report].count("done") >= 3 and all(r.status == want[r.track_id].status for r in report)
     for r in report:
@@ -314,7 +314,7 @@ def test_router_faults_mark_the_tracks_that_asked(spark, router):
     _Router.broken = True
     tracks = wandering(8, 2, 60)
     tracks["still"] = k.Track(np.arange(5) * 30 * k.US, 37 + np.arange(5) * 0.0005, np.full(5, 55.0))
-    report = {r.track_id: r for r in staged.resolve_in_stages(frame(spark, tracks), HttpProvider(router, 2, {"retries": 0})).report.collect()}
+    report = {r.track_id: r for r in staged.resolve_in_stages(frame(spark, tracks), HttpProvider(router, 2, {"retries": 0}), passes=1).report.collect()}
     assert not report["still"].degraded and any(r.degraded and "the router failed" in r.warnings[0] for r in report.values())
 
 

@@ -59,6 +59,8 @@ class Picked:
 
 
 def dealt(df: DataFrame) -> DataFrame:
+    """For Python functions over tracks, whose cost the rows' bytes don't tell; window
+    rules are dealt out by Spark itself."""
     spark = df.sparkSession
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), "track_id")
 
@@ -198,7 +200,7 @@ def pick(points: DataFrame, distances: Callable[[DataFrame], DataFrame] | None,
     from waymill.plans.providers import pair_key
 
     spark = points.sparkSession
-    live = keep(s.hot(dealt(points.select("track_id", "seq", "t_us", "lon", "lat", "w", "trusted"))).withColumn("penalty", F.lit(0.0)).select("track_id", "seq", "t_us", "lon", "lat", "w", "trusted", F.coalesce("hot", F.lit(False)).alias("hot"), "penalty"))
+    live = keep(s.hot(points.select("track_id", "seq", "t_us", "lon", "lat", "w", "trusted")).withColumn("penalty", F.lit(0.0)).select("track_id", "seq", "t_us", "lon", "lat", "w", "trusted", F.coalesce("hot", F.lit(False)).alias("hot"), "penalty"))
     bans, asked, answers = (spark.createDataFrame([], x) for x in (BAN, ASKED, ANSWER))
     done: list[DataFrame] = []
     ended: list[DataFrame] = []
@@ -206,14 +208,14 @@ def pick(points: DataFrame, distances: Callable[[DataFrame], DataFrame] | None,
     told: list[dict] = []
     for number in range(passes):
         chain = keep(chains(live, bans))
-        faults = chain_faults(dealt(chain))
+        faults = chain_faults(chain)
         new_bans, open_asked = bans.limit(0), asked
         if distances is not None:
             short = chain.withColumn("_all", F.count("*").over(Window.partitionBy("track_id")))
-            road = road_questions(dealt(short.where("_all >= 2"))).join(bans.select("track_id", *_CELLS), ["track_id", *_CELLS], "left_anti")
+            road = road_questions(short.where("_all >= 2")).join(bans.select("track_id", *_CELLS), ["track_id", *_CELLS], "left_anti")
             first = Window.partitionBy("track_id", "t_a", "t_b").orderBy(F.col("kind") > 0, "at", "kind")
             road = road.join(asked.where("kind = 'road'").select("track_id", "t_a", "t_b"), ["track_id", "t_a", "t_b"], "left_anti").withColumn("_k", F.row_number().over(first)).where("_k = 1")
-            halves = half_hours(dealt(chain))
+            halves = half_hours(chain)
             loops = loop_questions(halves).join(asked.where("kind = 'loop'").select("track_id", "t_a", "t_b"), ["track_id", "t_a", "t_b"], "left_anti")
             same = ["track_id", "i", "j", "t_a", "t_b", "a_lon", "a_lat", "b_lon", "b_lat"]
             none = lambda c, t: F.lit(None).cast(t).alias(c)

@@ -211,12 +211,6 @@ def _(v):
     return splits.verdicts(p, found, keep).select("track_id", "seq").distinct()
 
 
-@query("split_by_windows")
-def _(v):
-    """The split of the whole view as it is."""
-    return splits.find_split(v, rounds.keeper(v.sparkSession)).groupBy("track_id").agg(F.count("*").alias("points"))
-
-
 @query(
     "widest_places",
     f"""{_places(VIEW_SQL)}, c AS (SELECT v.track_id, v.lon, v.lat FROM v JOIN (SELECT track_id, home, min(seq) AS seq FROM f GROUP BY 1, 2 HAVING count(*) >= {m.SPLIT_MEMBERS}) g USING (track_id, seq))
@@ -232,16 +226,16 @@ def _(v):
 # ------------------------------------------------------------ drawn gaps
 
 
-#: Routes of six corners in zigzag, whose ends lie 110 m off; every fifth gap's is too long, every seventh has none.
-_CORNERS = 5
+#: Routes of seven corners in zigzag, whose ends lie 110 m off; every fifth gap's is too long, every seventh has none.
+_CORNERS = 6
 _WOVEN_SQL = f"""WITH {q._STEPS}, g AS (SELECT *, seq % 5 = 0 AS long FROM st WHERE {q._GAP} AND seq % 7 <> 3),
 a AS (SELECT * FROM g WHERE NOT long),
-e AS (SELECT v.track_id, v.seq, v.t_us, v.lon, CASE WHEN v.seq % 4 = 0 THEN v.lat ELSE coalesce(o.lat + 0.001, CASE WHEN p.seq IS NOT NULL THEN v.lat + 0.002 END, v.lat) END AS lat FROM v LEFT JOIN a o ON o.track_id = v.track_id AND o.seq = v.seq LEFT JOIN a p ON p.track_id = v.track_id AND p.seq = v.seq - 1),
+mv AS (SELECT v.track_id, v.seq, v.t_us, v.lon, CASE WHEN v.seq % 4 = 0 THEN v.lat ELSE coalesce(o.lat + 0.001, CASE WHEN p.seq IS NOT NULL THEN v.lat + 0.002 END, v.lat) END AS lat FROM v LEFT JOIN a o ON o.track_id = v.track_id AND o.seq = v.seq LEFT JOIN a p ON p.track_id = v.track_id AND p.seq = v.seq - 1),
 c AS (SELECT track_id, seq, t_us, nt, unnest(range({_CORNERS + 1})) AS i, lon, lat, nlon, nlat FROM a),
 k AS (SELECT track_id, seq, t_us, nt, i, lon + (nlon - lon) * i / {_CORNERS} AS lon, lat + (nlat - lat) * i / {_CORNERS} + CASE WHEN i IN (0, {_CORNERS}) THEN 0 ELSE 0.002::DOUBLE * (1 + i % 2) END AS lat FROM c),
-l AS (SELECT *, coalesce({_hav4("lag(lon) OVER w", "lag(lat) OVER w", "lon", "lat")}, 0) AS leg FROM k WINDOW w AS (PARTITION BY track_id, seq ORDER BY i)),
-r AS (SELECT *, sum(leg) OVER (PARTITION BY track_id, seq ORDER BY i) AS run, sum(leg) OVER (PARTITION BY track_id, seq) AS whole FROM l)
-SELECT track_id, seq, CAST(0 AS INTEGER) AS corner, t_us // 1000 AS t_ms, round(lon, 7) AS lon, round(lat, 7) AS lat FROM e
+lg AS (SELECT *, coalesce({_hav4("lag(lon) OVER w", "lag(lat) OVER w", "lon", "lat")}, 0) AS leg FROM k WINDOW w AS (PARTITION BY track_id, seq ORDER BY i)),
+r AS (SELECT *, sum(leg) OVER (PARTITION BY track_id, seq ORDER BY i) AS run, sum(leg) OVER (PARTITION BY track_id, seq) AS whole FROM lg)
+SELECT track_id, seq, CAST(0 AS INTEGER) AS corner, t_us // 1000 AS t_ms, round(lon, 7) AS lon, round(lat, 7) AS lat FROM mv
 UNION ALL SELECT track_id, seq, CAST(i AS INTEGER), CAST(t_us + CAST(trunc((nt - t_us) * (run / greatest(whole, 1))) AS BIGINT) AS BIGINT) // 1000, round(lon, 7), round(lat, 7) FROM r WHERE i BETWEEN 1 AND {_CORNERS - 1}"""
 
 
@@ -278,15 +272,15 @@ def _snapped_view(v: DataFrame) -> DataFrame:
 
 @query("stage_rounds")
 def _(v):
-    """How many points of each track the rounds keep, and how many rounds, questions and bans it took."""
+    """How many points of each track two rounds keep, and how many rounds, questions and bans it took."""
     weights = s.weights(_snapped_view(v)).select("track_id", "seq", "t_us", "lon", "lat", F.col("weight").alias("w"), F.lit(False).alias("trusted"))
-    got = rounds.pick(weights, FormulaProvider(1.3).distances, rounds.keeper(v.sparkSession))
+    got = rounds.pick(weights, FormulaProvider(1.3).distances, rounds.keeper(v.sparkSession), passes=2)
     return got.chain.groupBy("track_id").agg(F.count("*").alias("kept")).join(got.report, "track_id").select("track_id", "kept", "road_passes", "loops", "road_asked", "road_banned")
 
 
 @query("stage_resolve")
 def _(v):
-    """One report row a track, with every question about roads in a stage across tracks."""
-    r = staged.resolve_in_stages(v, FormulaProvider(1.2, 0.002, 4)).report
+    """One report row a track, with every question about roads in a stage across tracks, after two rounds at most."""
+    r = staged.resolve_in_stages(v, FormulaProvider(1.2, 0.002, 4), passes=2).report
     names = ["status", "error", "points_before", "points_after", "collapsed", "stops_total", "stops_trusted", "split", "spread", "loops", "road_banned", "road_asked", "road_passes", "dropped", "guarded", "gaps", "filled", "added_points"]
     return r.select("track_id", *names, *(F.round(c, 3).alias(c) for c in ("length_before_m", "length_after_m", "km_after", "added_m")))

@@ -266,6 +266,36 @@ def test_http_roads(server):
     assert np.isnan(dead.snap(p, None)).all() and dead.pairs(p, [(0, 1)]) == [None] and dead.route(p, 0, 1) is None
 
 
+def test_ping_tells_whether_routes_are_built(server):
+    assert HttpRoads(server, retries=0).ping()
+    assert not HttpRoads("http://127.0.0.1:9", retries=0, timeout_s=0.2).ping()
+
+
+def test_settings_of_router_and_callback():
+    found = m.EngineConfig.load({"WAYMILL_ROUTER_URL": "http://r", "WAYMILL_ROUTER_REQUESTS": "4", "WAYMILL_ROUTER_TIMEOUT_S": "x", "WAYMILL_CALLBACK_URL": "http://c/{taskKey}"})
+    roads, provider = tasks.roads_of(found), tasks.provider_of(found)
+    assert (roads.url, roads.parallel, roads.timeout_s) == ("http://r", 4, 30.0) and (provider.url, provider.requests) == ("http://r", 4)
+    assert tasks.callback_of(found).url == "http://c/{taskKey}" and tasks.roads_of(m.EngineConfig()) is None and tasks.provider_of(m.EngineConfig()) is None
+
+
+def test_the_stage_that_failed_says_why(spark):
+    """Half of the snaps are missing: the core refuses the track."""
+    points = frame(spark, {"bad": drive(30), "good": drive(30)}).withColumn("snap_m", F.when((F.col("track_id") == "good") | (F.col("seq") % 2 == 0), F.col("snap_m")))
+    rows = engine.stage_stats(engine.resolve(points, AnalyticRoads())).orderBy("track_id", "at").collect()
+    bad = [(r.stage, r.points_after, r.error) for r in rows if r.track_id == "bad"]
+    assert [x[0] for x in bad] == ["sort_by_time", "core"] and bad[1][1] == 0 and "snaps are known for 50%" in bad[1][2]
+    assert all(r.error is None for r in rows if r.track_id == "good")
+
+
+def test_submit_returns_its_own_keys(spark, tmp_path):
+    queue = str(tmp_path / "queue")
+    kind = "task_key string, route_compressed string"
+    first = {r.task_key for r in tasks.submit(spark.createDataFrame([("a", "x"), (None, "y")], kind), queue).collect()}
+    again = {r.task_key for r in tasks.submit(spark.createDataFrame([("a", "x"), ("b", "z")], kind), queue).collect()}
+    assert "a" in first and len(first) == 2 and again == {"a", "b"}
+    assert spark.read.parquet(queue).count() == 4
+
+
 def test_callback(server):
     call = lambda path: tasks.Callback(server + path, pause_s=0.01).send("k1", "done")
     assert call("/ok/{taskKey}") and call("/flaky") and not call("/gone") and not tasks.Callback("").send("k", "done")

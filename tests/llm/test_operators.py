@@ -1,5 +1,6 @@
 """Each operator against a plain version, and its edge cases."""
 
+import functools
 import hashlib
 import random
 import re
@@ -185,6 +186,24 @@ def test_licences_of_a_long_text_take_linear_time():
     assert len(found) == 3000 and all(text[d["start"] : d["stop"]] == line for d in found[::100])
 
 
+@pytest.mark.parametrize(
+    "text,family",
+    [
+        ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "gpl-3.0"), ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991", "gpl-2.0"), ("Licensed under CC BY-NC-ND 4.0.", "unknown"), ("Licensed under CC BY-ND 4.0.", "unknown"),
+        ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "unknown"), ("Mozilla Public License Version 1.1", "unknown"), ("Licensed under the Apache License, Version 1.1.", "unknown"),
+        ("Licensed under CC BY 4.0.", "cc-by"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), ("This work is licensed under the GNU General Public License, version 3.", "gpl-3.0"), ("Licensed under the Mozilla Public License, version 2.0.", "mpl-2.0"),
+    ],
+)
+def test_sister_licences_are_told_apart(text, family):
+    found = _plain_model().scan(pa.array([text]))[0]
+    assert [f["family"] for f in found] == [family]
+
+
+@functools.lru_cache
+def _plain_model():
+    return licences.train(["the quick brown fox jumps over it", "another plain line of text here", "and a third one, quite plain"])
+
+
 # ---------------------------------------------------------------- 4 language
 
 

@@ -17,7 +17,9 @@ reach it.
 
 A predicted family is confirmed by its templates: at least CONFIRM of the
 paragraph's 3-word shingles, or of a template's, are shared by the two, and the
-paragraph has a word that names the family (NAMES) or LONG shared shingles. One
+paragraph has a word that names the family (NAMES) or LONG shared shingles.
+Words of a sister family (DENIED) and other versions than the family's (VERSIONS)
+deny it; a version that a sister has makes it the sister. One
 that is not confirmed is reported as ``unknown`` too. Paragraphs of class
 ``none`` are not reported.
 
@@ -96,9 +98,17 @@ NAMES = {
     "lgpl": {"lesser", "lgpl"}, "mit": {"mit"}, "mpl-2.0": {"mozilla", "mpl"}, "unlicense": {"unlicense", "unencumbered"},
 }
 
+# Words of a sister family, which deny one, and the version that a family has.
+_DERIVATIVES, _COMMERCIAL, _ALIKE = {"nd", "noderivatives", "noderivs"}, {"nc", "noncommercial"}, {"sa", "sharealike"}
+DENIED = {"cc-by": _DERIVATIVES | _COMMERCIAL | _ALIKE, "cc-by-nc": _DERIVATIVES | _ALIKE, "cc-by-sa": _DERIVATIVES | _COMMERCIAL, "gpl-2.0": {"affero", "lesser"}, "gpl-3.0": {"affero", "lesser"}}
+VERSIONS = {"agpl-3.0": "3", "apache-2.0": "2", "gpl-2.0": "2", "gpl-3.0": "3", "mpl-2.0": "2"}
+SISTERS = {"gpl-2.0": "gpl-3.0", "gpl-3.0": "gpl-2.0"}
+_VERSION = re.compile(r"\b(?:version|v)\.?\s{0,3}([0-9]+)|\b[al]?gpl[-v ]{0,2}([0-9]+)")
+
 _LINE = np.ones(256, dtype=bool)
 _LINE[[10, 13]] = False
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
+_WORDS_TEXT = re.compile(r"[0-9a-z]+")
 
 
 def grams(words: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -155,6 +165,18 @@ class Classifier:
         named = not NAMES[family].isdisjoint(w.decode("utf-8", "replace") for w in _WORDS.findall(text.encode().lower()))
         return mine, theirs, max(mine, theirs) >= CONFIRM and (named or shared >= LONG)
 
+    def told_apart(self, family: str, text: str, following: str) -> str | None:
+        """The family, or the sister whose version the text names, or else the line
+        below it; None if its words or versions are those of a licence that is neither."""
+        low = text.lower()
+        if not DENIED.get(family, set()).isdisjoint(_WORDS_TEXT.findall(low)):
+            return None
+        named = {a or b for a, b in _VERSION.findall(low) or _VERSION.findall(following.lower())}
+        if family not in VERSIONS or not named or VERSIONS[family] in named:
+            return family
+        sister = SISTERS.get(family)
+        return sister if sister and VERSIONS[sister] in named else None
+
     def scan(self, column: pa.Array) -> list[list[dict]]:
         data, ends = packed(column)
         low = LOWER[data]
@@ -202,9 +224,12 @@ class Classifier:
             if best == none:
                 continue
             a, b, t = int(s[first[row]]), int(e[last[row]]), parts[row][3]
-            family, q = self.classes[best], float(p[i, best])
-            mine, theirs, confirmed = self.compared(family, data[a:b].tobytes().decode())
-            if q < CONFIDENT or not confirmed:
+            family, q, own_text = self.classes[best], float(p[i, best]), data[a:b].tobytes().decode()
+            mine, theirs, confirmed = self.compared(family, own_text)
+            below = int(last[row]) + 1
+            following = data[int(s[below]) : int(e[below])].tobytes().decode() if below < per_text[t + 1] else ""
+            family = self.told_apart(family, own_text, following) if confirmed else None
+            if q < CONFIDENT or family is None:
                 if 1 - p[i, none] < CONFIDENT:
                     continue
                 family = UNKNOWN

@@ -22,7 +22,7 @@ def rows(frame: pd.DataFrame) -> list[tuple]:
     return sorted(tuple(map(str, map(one, r))) for r in frame[cols].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(q.QUERIES))
+@pytest.mark.parametrize("name", sorted(q.queries()))
 def test_query(spark, duck, name):
     frame = q.queries()[name](spark, SF)
     got = frame.toPandas()

@@ -1023,7 +1023,7 @@ _oracle("reorder_batches", _BATCHES)
 
 
 def queries() -> dict[str, Query]:
-    from waymill import stage_queries  # noqa: F401  registers its own
+    from waymill import stage_queries, stream_queries  # noqa: F401  register their own
 
     return dict(QUERIES)
 

@@ -250,6 +250,29 @@ def test_langid_code_lengths_equal_plain_ppm():
             assert abs(x - plain_bits(plain[lang], t)) <= 1e-6 * len(t) + 1e-9
 
 
+def test_langid_models_beyond_the_bound_are_refused_before_they_are_made(monkeypatch):
+    rng = np.random.default_rng(4)
+    counts = {}
+    for lang in ("x", "y"):
+        g, n = np.unique(langid._grams(rng.integers(97, 123, 200_000).astype(np.uint8), np.array([0, 200_000])), return_counts=True)
+        counts[lang] = (g, n.astype(float))
+    model = langid.Models(counts)
+    monkeypatch.setattr(langid, "MOST_BYTES", model.cost.nbytes + model.state.nbytes)
+    assert (langid.Models(counts).cost == model.cost).all()
+    monkeypatch.setattr(langid, "MOST_BYTES", model.cost.nbytes + model.state.nbytes - 1)
+    made = []
+    monkeypatch.setattr(np, "log2", lambda x: made.append(len(x)) or np.zeros(len(x)))
+    with pytest.raises(ValueError, match="exceed MOST_BYTES"):
+        langid.Models(counts)
+    # the depth that doesn't fit has no costs
+    assert sum(made) < model.cost[0].size
+    monkeypatch.setattr(langid, "MOST_BYTES", 1000)
+    made.clear()
+    with pytest.raises(ValueError, match="exceed MOST_BYTES"):
+        langid.Models(counts)
+    assert not made
+
+
 def test_langid_needs_a_letter_and_bounds_its_table(monkeypatch):
     counts = {lang: np.unique(langid._grams(np.frombuffer(t, np.uint8), np.array([0, len(t)])), return_counts=True) for lang, t in {"en": b"the cat sat on the mat", "fr": b"le chat est la"}.items()}
     model = langid.Models({k: (g, n.astype(float)) for k, (g, n) in counts.items()}, least=1)

@@ -35,7 +35,7 @@ from .common import balanced, packed, steps, table
 ORDER = 3
 LEAST = 4
 MOST_DOCS = 1500
-#: The models' table of code lengths (4 bytes each) holds at most so many bytes.
+#: The models' table of code lengths and the table of states (4 bytes an entry) hold at most so many bytes together.
 MOST_BYTES = 256 << 20
 
 _LETTER = regex.compile(r"\p{L}")
@@ -93,9 +93,11 @@ class Models:
                 # a context stands only if its shorter one does
                 here = here[np.isin(here % a ** (depth - 1), states[depth - 1])]
                 states.append(here)
+                self._fits(states, n_lang)
                 base = below[np.searchsorted(states[depth - 1], here % a ** (depth - 1))]
             else:
                 here = states[0]
+                self._fits(states, n_lang)
                 base = np.full((1, a, n_lang), 8.0)
             table = base.copy()
             for l, (key, n) in enumerate(per):
@@ -106,12 +108,10 @@ class Models:
                 known = total > 0
                 table[known, :, l] += -np.log2(distinct[known] / (total[known] + distinct[known]))[:, None]
                 table[at, sym, l] = -np.log2(n / (total[at] + distinct[at]))
-            cost.append(table)
+            cost.append(table.astype(np.float32))
             below = table
         first = np.cumsum([0, *(len(s) for s in states)])
-        if first[-1] * a * n_lang * 4 > MOST_BYTES:
-            raise ValueError(f"{first[-1]} contexts of {n_lang} languages exceed MOST_BYTES; train on fewer rows or raise it")
-        self.cost = np.ascontiguousarray(np.concatenate([x.astype(np.float32) for x in cost]).reshape(-1, n_lang).T)
+        self.cost = np.ascontiguousarray(np.concatenate(cost).reshape(-1, n_lang).T)
         # the state of the last ORDER symbols: their deepest context
         self.state = np.zeros(a**ORDER, dtype=np.int32)
         cells = np.arange(a**ORDER)
@@ -123,6 +123,12 @@ class Models:
                 ok = states[depth][pos] == short
                 self.state[ok] = first[depth] + pos[ok]
 
+    def _fits(self, states: list[np.ndarray], n_lang: int) -> None:
+        """Raises before a depth's costs are made if the models would outgrow MOST_BYTES."""
+        contexts = sum(len(s) for s in states)
+        if contexts * self.a * n_lang * 4 + self.a**ORDER * 4 > MOST_BYTES:
+            raise ValueError(f"{contexts} contexts of {n_lang} languages exceed MOST_BYTES; train on fewer rows or raise it")
+
     def bits(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Code length of every text under every language, in bits."""
         out = np.zeros((len(ends) - 1, len(self.langs)))

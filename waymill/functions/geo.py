@@ -81,8 +81,11 @@ def lateral_g(d1: Column, d2: Column, d3: Column, t1: Column, t2: Column) -> Col
 
 
 def coordinate_key(lon: Column, lat: Column) -> Column:
-    """``lon,lat`` with five decimals, the key of router look-ups."""
-    return F.format_string("%.5f,%.5f", lon, lat)
+    """``lon,lat`` with five decimals, the key of router look-ups. The double itself is
+    rounded, as ``%.5f`` does in C, Go and Python: ``format_string`` rounds the shortest
+    decimal that names it, which can lie on the other side of a half."""
+    five = lambda c: F.coalesce(F.call_function("format_number", c.cast("double"), F.lit("0.00000")), F.lit("null"))
+    return F.concat_ws(",", five(lon), five(lat))
 
 
 def snap_weight(snap: Column, sigma: Column) -> Column:

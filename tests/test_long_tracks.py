@@ -2,9 +2,12 @@
 
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from waymill import model as m
 from waymill.functions import geo
+from waymill.operators import sequence as s
 
 
 def test_coordinate_keys_round_the_double_itself(spark):
@@ -13,3 +16,29 @@ def test_coordinate_keys_round_the_double_itself(spark):
     values = [52.939465, 53.492095, 0.015625, 0.046875, -0.046875, -0.000001, 0.0, 1e7 + 0.000005, -179.999995, *(rng.randrange(-17_999_999, 18_000_000) / 1e5 + 5e-6 for _ in range(500))]
     got = spark.createDataFrame([(x, -x) for x in values], "lon double, lat double").select("lon", "lat", geo.coordinate_key(F.col("lon"), F.col("lat")).alias("key")).collect()
     assert [r.key for r in got] == [f"{r.lon:.5f},{r.lat:.5f}" for r in got]
+
+
+def test_windows_in_time_equal_sliding_frames_without_reading_them(spark):
+    """hot, spread and rush against sliding frames, with points of equal time."""
+    rng = random.Random(9)
+    rows, lon = [], 37.0
+    for track in "abc":
+        t = 0
+        for i in range(400):
+            t += rng.choice([0, 0, 7, 29, 60, 600, 1800])
+            lon = 37.0 + rng.choice([0.0, 0.0, 0.0, 0.02, 0.5]) if rng.random() < 0.1 else lon
+            rows.append((track, i, t * 1_000_000, lon + rng.random() * 0.004, 55.0, rng.random() < 0.02))
+    p = spark.createDataFrame(rows, "track_id string, seq int, t_us long, lon double, lat double, bad boolean")
+    around = lambda low, high: Window.partitionBy("track_id").orderBy("t_us").rangeBetween(low * s.US, high * s.US)
+    st = s.steps(p).withColumn("leap", F.coalesce((F.col("step_m") >= m.JUMP_M) & (F.col("dt_s") <= m.JUMP_GAP_S), F.lit(False)))
+    st = st.withColumn("mark", F.col("leap") | F.coalesce(F.lead("leap").over(s.order()), F.lit(False)))
+    st = st.withColumn("run_m", F.sum(F.coalesce("step_m", F.lit(0.0))).over(s.order().rowsBetween(Window.unboundedPreceding, 0)))
+    minute = around(0, m.RUSH_S)
+    st = st.select("track_id", "seq", F.max(F.col("mark").cast("int")).over(around(-m.JUMP_NEAR_S, m.JUMP_NEAR_S)) == 1, F.max(F.col("bad").cast("int")).over(around(-m.SPREAD_S, m.SPREAD_S)) == 1, F.max("seq").over(minute), F.round(F.max("run_m").over(minute) - F.col("run_m"), 6), F.max("t_us").over(minute) - F.col("t_us"))
+    want = {(r[0], r[1]): tuple(r)[2:] for r in st.collect()}
+    frames = {name: df._jdf.queryExecution().executedPlan().toString() for name, df in (("hot", s.hot(p)), ("spread", s.spread(p, "bad")), ("rush", s.rush(p)))}
+    assert not any("RangeFrame, -" in plan or "RangeFrame, currentrow$(), 6" in plan or "RangeFrame, 0" in plan for plan in frames.values())
+    assert {(r.track_id, r.seq): r.hot for r in s.hot(p).collect()} == {key: w[0] for key, w in want.items()}
+    assert {(r.track_id, r.seq): r.spread for r in s.spread(p, "bad").collect()} == {key: w[1] for key, w in want.items()}
+    rushed = {key: (w[2], w[3]) for key, w in want.items() if w[4] > 0 and w[3] > w[4] / s.US * m.CHAIN_KMH / 3.6 + m.CHAIN_SLACK_M}
+    assert {(r.track_id, r.seq): (r.end_seq, round(r.path_m, 6)) for r in s.rush(p).collect()} == rushed and len(rushed) > 10

@@ -115,28 +115,46 @@ def lateral(points: DataFrame) -> DataFrame:
 
 
 def rush(points: DataFrame) -> DataFrame:
-    """Points that begin a minute whose path no vehicle drives, with its end."""
+    """Points that begin a minute whose path no vehicle drives, with its end. Each
+    point asks at its minute's end for the last point so far, since a sliding
+    frame would be read anew for every point."""
     p = steps(points).withColumn("run_m", F.sum(F.coalesce("step_m", F.lit(0.0))).over(order().rowsBetween(Window.unboundedPreceding, 0)))
-    minute = Window.partitionBy("track_id").orderBy("t_us").rangeBetween(0, m.RUSH_S * US)
-    p = p.withColumns({"path_m": F.max("run_m").over(minute) - F.col("run_m"), "end_us": F.max("t_us").over(minute), "end_seq": F.max("seq").over(minute)})
+    own = F.struct(F.col("t_us").alias("at"), F.lit(0).alias("asks"), F.struct("t_us", "seq", "run_m").alias("here"))
+    end = F.struct((F.col("t_us") + m.RUSH_S * US).alias("at"), F.lit(1).alias("asks"), F.lit(None).cast("struct<t_us:bigint,seq:int,run_m:double>").alias("here"))
+    p = p.withColumn("_e", F.explode(F.array(own.cast(_EVENT), end.cast(_EVENT)))).withColumns({"_at": F.col("_e.at"), "_asks": F.col("_e.asks")})
+    so_far = Window.partitionBy("track_id").orderBy("_at", "_asks", "t_us", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    p = p.withColumn("_end", F.last("_e.here", ignorenulls=True).over(so_far)).where("_asks = 1")
+    p = p.withColumns({"path_m": F.col("_end.run_m") - F.col("run_m"), "end_us": F.col("_end.t_us"), "end_seq": F.col("_end.seq")}).drop("_e", "_at", "_asks", "_end")
     dt = (F.col("end_us") - F.col("t_us")) / US
     return p.where((dt > 0) & (F.col("path_m") > dt * m.CHAIN_KMH / 3.6 + m.CHAIN_SLACK_M))
 
 
+_EVENT = "struct<at:bigint,asks:int,here:struct<t_us:bigint,seq:int,run_m:double>>"
+
+
+def _marked_within(mark: Column, seconds: int) -> Column:
+    """Whether a marked point lies within so many seconds: the last one so far or the
+    first one to come, by running frames, which read each point once."""
+    marked = F.when(mark, F.col("t_us"))
+    before = F.max(marked).over(order().rowsBetween(Window.unboundedPreceding, 0))
+    back = Window.partitionBy("track_id").orderBy(F.desc("t_us"), F.desc("seq"))
+    after = F.min(marked).over(back.rowsBetween(Window.unboundedPreceding, 0))
+    near = lambda d: F.coalesce(d <= seconds * US, F.lit(False))
+    return near(F.col("t_us") - before) | near(after - F.col("t_us"))
+
+
 def spread(points: DataFrame, bad: str) -> DataFrame:
     """Adds spread: whether a bad point lies within ten minutes."""
-    around = Window.partitionBy("track_id").orderBy("t_us").rangeBetween(-m.SPREAD_S * US, m.SPREAD_S * US)
-    return points.withColumn("spread", F.max(F.col(bad).cast("int")).over(around) == 1)
+    return points.withColumn("spread", _marked_within(F.col(bad), m.SPREAD_S))
 
 
 def hot(points: DataFrame) -> DataFrame:
     """Adds hot: whether a sudden long jump lies within the hour."""
     p = steps(points)
     leap = (F.col("step_m") >= m.JUMP_M) & (F.col("dt_s") <= m.JUMP_GAP_S)
-    p = p.withColumn("_here", F.coalesce(leap.cast("int"), F.lit(0)))
-    p = p.withColumn("_mark", F.greatest("_here", F.coalesce(_next("_here"), F.lit(0))))
-    hour = Window.partitionBy("track_id").orderBy("t_us").rangeBetween(-m.JUMP_NEAR_S * US, m.JUMP_NEAR_S * US)
-    return p.withColumn("hot", F.max("_mark").over(hour) == 1).drop("_here", "_mark")
+    p = p.withColumn("_here", F.coalesce(leap, F.lit(False)))
+    p = p.withColumn("_mark", F.col("_here") | F.coalesce(_next("_here"), F.lit(False)))
+    return p.withColumn("hot", _marked_within(F.col("_mark"), m.JUMP_NEAR_S)).drop("_here", "_mark")
 
 
 def same_second(points: DataFrame) -> DataFrame:

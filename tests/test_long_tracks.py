@@ -1,12 +1,18 @@
 """What shows on larger tables only: rounding at halves, tracks of many points."""
 
 import random
+import statistics
+import time
+import tracemalloc
 
+import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymill import model as m
 from waymill.functions import geo
+from waymill.functions import kernels as k
 from waymill.operators import sequence as s
 
 
@@ -42,3 +48,94 @@ def test_windows_in_time_equal_sliding_frames_without_reading_them(spark):
     assert {(r.track_id, r.seq): r.spread for r in s.spread(p, "bad").collect()} == {key: w[1] for key, w in want.items()}
     rushed = {key: (w[2], w[3]) for key, w in want.items() if w[4] > 0 and w[3] > w[4] / s.US * m.CHAIN_KMH / 3.6 + m.CHAIN_SLACK_M}
     assert {(r.track_id, r.seq): (r.end_seq, round(r.path_m, 6)) for r in s.rush(p).collect()} == rushed and len(rushed) > 10
+
+
+def _wander(n: int, seed: int = 3) -> k.Track:
+    rng = np.random.default_rng(seed)
+    t = np.cumsum(rng.integers(0, 120, n)) * k.US
+    return k.Track(t, 37.0 + np.cumsum(rng.normal(0, 1e-3, n)) + rng.choice([0.0, 0.0, 0.0, 0.4], n), 55.0 + np.cumsum(rng.normal(0, 1e-3, n)))
+
+
+def _peak(run) -> int:
+    tracemalloc.start()
+    run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+def test_weights_hold_a_block_of_wide_rows_at_a_time():
+    """A row of sixty numbers for each point of a track took 480 bytes and more a point, several times over."""
+    p = _wander(100_000)
+    snap = np.where(np.arange(len(p)) % 7 == 0, np.nan, np.arange(len(p)) % 50.0)
+    assert _peak(lambda: k.point_weights(p, snap)) < 700 * len(p)
+    part = k.Track(p.t[:20_000], p.lon[:20_000], p.lat[:20_000])
+    raw, low = k.point_weights(part, snap[:20_000])
+    for i in [0, 1, 5, *range(k.BLOCK - 3, k.BLOCK + 3), 19_999]:
+        near = [raw[j] for j in range(max(0, i - m.SMOOTH_MOST), min(len(part), i + m.SMOOTH_MOST)) if abs(j - i) <= m.SMOOTH_LEAST or abs(part.t[j] - part.t[i]) <= m.SMOOTH_S * k.US]
+        assert low[i] == min(raw[i], statistics.median(near))
+
+
+def test_road_pairs_as_arrays():
+    """In the order of the loop that they replace, of equal times the first; with memory of bans and questions."""
+    p = _wander(3_000)
+    b, chain = k.ChainBuilder(p), np.flatnonzero(np.arange(len(p)) % 5 != 2)
+    memory = k.RoadMemory(len(p))
+    memory.penalty[::50] = 1.0
+
+    def plain():
+        wanted, last = list(zip(chain[:-1].tolist(), chain[1:].tolist())), len(chain) - 1
+        for at in k.hot_spots(p, chain, memory.penalty).tolist():
+            wanted += [(int(chain[max(0, at - x)]), int(chain[min(last, at + x)])) for x in m.HOT_STEPS]
+        out, seen = [], set()
+        for i, j in wanted:
+            key, d, dt = (b.t[i], b.t[j]), p.to(i, j), (b.t[j] - b.t[i]) / k.US
+            if i >= j or key in seen or key in memory.asked or b.key(i, j) in memory.bans or d < m.ROAD_LEAST_M or d < m.ROAD_SHORT_M and dt > 0 and d / dt * 3.6 <= m.ROAD_SHORT_KMH:
+                continue
+            seen.add(key)
+            out.append((i, j))
+        return out
+
+    first = plain()
+    assert k.road_pairs(b, chain, memory) == first and len(first) > 1_000
+    memory.asked |= {(b.t[i], b.t[j]) for i, j in first[::3]}
+    memory.bans |= {b.key(i, j): 1.0 for i, j in first[1::3]}
+    assert k.road_pairs(b, chain, memory) == plain()
+    long = _wander(60_000)
+    builder, empty = k.ChainBuilder(long), k.RoadMemory(len(long))
+    assert _peak(lambda: k.asked_pairs(builder, np.arange(len(long)), empty)) < 700 * len(long)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_teleports_skip_blocks_without_losing_a_return(seed):
+    def plain(p, jump, back, wide):
+        keep, i = [], 0
+        while i < len(p):
+            keep.append(i)
+            nxt = i + 1
+            if nxt < len(p) and p.to(i, nxt) > jump:
+                near = np.flatnonzero(p.to(i, slice(nxt + 1, len(p))) < back)
+                j = nxt + 1 + int(near[0]) if len(near) else -1
+                nxt = j if j >= 0 and k.span(p, nxt, j - 1) < wide else nxt
+            i = nxt
+        return keep
+
+    p = _wander(3_500, seed)
+    for limits in ((20_000.0, 300.0, 60_000.0), (20_000.0, 60.0, 1e9), (20_000.0, 5000.0, 10_000.0)):
+        assert k.remove_teleports(p, *limits).tolist() == plain(p, *limits)
+
+
+def test_teleports_read_no_whole_track_for_each_jump(monkeypatch):
+    """Every fortieth point jumps 30 km off and back: all points behind it were measured."""
+    n = 40_000
+    p = k.Track(np.arange(n) * k.US, 10.0 + np.arange(n) * 2e-4 + (np.arange(n) % 40 == 7) * 0.35, np.full(n, 40.0))
+    read, to = [0], k.Track.to
+
+    def counted(self, i, j):
+        found = to(self, i, j)
+        read[0] += np.size(found)
+        return found
+
+    monkeypatch.setattr(k.Track, "to", counted)
+    k.remove_teleports(p, 20_000.0, 5000.0, 10_000.0)
+    assert read[0] < 50 * n

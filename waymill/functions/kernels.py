@@ -7,6 +7,7 @@ Kernels take and return positions; none changes its arguments.
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import cached_property
 from math import atan2, cos, radians, sin, sqrt
 
 import numpy as np
@@ -14,6 +15,8 @@ import numpy as np
 from waymill import model as m
 
 US = 1_000_000
+#: Points whose wide rows are held at a time.
+BLOCK = 16_384
 
 
 class Track:
@@ -225,19 +228,69 @@ def remove_backtrack(p: Track, metres: float) -> np.ndarray:
     return np.array([*keep, n - 1])
 
 
+class _Boxes:
+    """Bounding boxes of a track's blocks of points, to skip blocks unread."""
+
+    def __init__(self, p: Track, size: int = 1024):
+        self.p, self.size = p, size
+        at = np.arange(0, len(p), size)
+        self.low, self.high = ([f.reduceat(c, at) for c in (p.lon, p.lat)] for f in (np.minimum, np.maximum))
+
+    def first_near(self, i: int, lo: int, metres: float) -> int:
+        """The first point from ``lo`` on within ``metres`` of point i; -1 if there is none."""
+        p, hi = self.p, min(lo + 64, len(self.p))
+        while lo < len(p):  # nearly always soon
+            near = np.flatnonzero(p.to(i, slice(lo, hi)) < metres)
+            if len(near):
+                return lo + int(near[0])
+            lo, hi = hi, min((hi // self.size + 1) * self.size, len(p))
+            if lo % self.size == 0:
+                break
+        if lo >= len(p):
+            return -1
+        # a box that lies farther off by its latitude alone holds no near point
+        b = lo // self.size
+        off = np.maximum(np.maximum(self.low[1][b:] - p.lat[i], p.lat[i] - self.high[1][b:]), 0.0)
+        close = ~(np.radians(off) * m.EARTH_M > metres * (1 + 1e-9) + 1e-3)
+        if abs(p.lat[i]) < 80:  # and so does one by its longitude: points within ``metres`` differ by few degrees of it
+            reach = np.degrees(metres * 1.01 / m.EARTH_M) + 1e-6
+            if reach < 5 and abs(p.lat[i]) + reach < 85:
+                far = reach / np.cos(np.radians(abs(p.lat[i]) + reach)) * 1.01
+                lon0, lon1 = self.low[0][b:], self.high[0][b:]
+                if far < 90 and np.abs(lon0).max() <= 180 and np.abs(lon1).max() <= 180 and abs(p.lon[i]) < 180 - far:
+                    close &= (lon0 <= p.lon[i] + far) & (lon1 >= p.lon[i] - far)
+        for x in (b + np.flatnonzero(close)).tolist():
+            a = x * self.size
+            near = np.flatnonzero(p.to(i, slice(a, a + self.size)) < metres)
+            if len(near):
+                return a + int(near[0])
+        return -1
+
+    def span(self, lo: int, hi: int) -> float:
+        """``span`` of points lo to hi, whole blocks by their boxes."""
+        a, b = -(-lo // self.size), (hi + 1) // self.size
+        if a >= b:
+            return span(self.p, lo, hi)
+        ends = []
+        for f, boxes in ((np.min, self.low), (np.max, self.high)):
+            for c, box in ((self.p.lon, boxes[0]), (self.p.lat, boxes[1])):
+                parts = [x for x in (c[lo : a * self.size], box[a:b], c[b * self.size : hi + 1]) if len(x)]
+                ends.append(f(np.array([f(x) for x in parts])))
+        return hav1(*ends)
+
+
 def remove_teleports(p: Track, jump_m: float, return_m: float, span_m: float) -> np.ndarray:
     """Cuts a detour that begins with a jump, comes back near its origin and
     stays small meanwhile."""
     n, keep, i = len(p), [], 0
+    boxes = _Boxes(p) if n else None
     while i < n:
         keep.append(i)
         nxt = i + 1
         if nxt < n and p.to(i, nxt) > jump_m:
-            back = np.flatnonzero(p.to(i, slice(nxt + 1, n)) < return_m)
-            if len(back):
-                j = nxt + 1 + int(back[0])
-                if span(p, nxt, j - 1) < span_m:
-                    nxt = j
+            j = boxes.first_near(i, nxt + 1, return_m)
+            if j >= 0 and boxes.span(nxt, j - 1) < span_m:
+                nxt = j
         i = nxt
     return np.array(keep, dtype=np.int64)
 
@@ -609,15 +662,17 @@ def point_weights(p: Track, snap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sigma = min(m.SIGMA_MAX_M, max(m.SIGMA_MIN_M, float(np.median(snap[known])) * m.SIGMA_FACTOR)) if known.any() else m.SIGMA_M
     raw = np.where(known, 2 * np.exp(-np.square(np.where(known, snap, 0.0)) / (2 * sigma * sigma)) - 1, 0.0)
     n = len(raw)
-    i = np.arange(n)
-    lo = np.clip(np.searchsorted(p.t, p.t - m.SMOOTH_S * US, side="left"), i - m.SMOOTH_MOST, i - m.SMOOTH_LEAST)
-    hi = np.clip(np.searchsorted(p.t, p.t + m.SMOOTH_S * US, side="right"), i + m.SMOOTH_LEAST + 1, i + m.SMOOTH_MOST)
-    lo, hi = np.maximum(lo, 0), np.minimum(hi, n)
-    # one sorted row per point, padded at its end
-    at = lo[:, None] + np.arange(2 * m.SMOOTH_MOST)
-    row = np.sort(np.where(at < hi[:, None], raw[np.minimum(at, n - 1)] if n else 0.0, np.inf), axis=1)
-    size = hi - lo
-    smooth = (row[i, (size - 1) // 2] + row[i, size // 2]) / 2
+    smooth = np.empty(n)
+    # one sorted row per point, padded at its end; a block at a time, since a row is sixty times its point
+    for a in range(0, n, BLOCK):
+        i = np.arange(a, min(a + BLOCK, n))
+        lo = np.clip(np.searchsorted(p.t, p.t[i] - m.SMOOTH_S * US, side="left"), i - m.SMOOTH_MOST, i - m.SMOOTH_LEAST)
+        hi = np.clip(np.searchsorted(p.t, p.t[i] + m.SMOOTH_S * US, side="right"), i + m.SMOOTH_LEAST + 1, i + m.SMOOTH_MOST)
+        lo, hi = np.maximum(lo, 0), np.minimum(hi, n)
+        at = lo[:, None] + np.arange(2 * m.SMOOTH_MOST)
+        row = np.sort(np.where(at < hi[:, None], raw[np.minimum(at, n - 1)], np.inf), axis=1)
+        k, size = np.arange(len(i)), hi - lo
+        smooth[i] = (row[k, (size - 1) // 2] + row[k, size // 2]) / 2
     return raw, np.minimum(raw, smooth)
 
 
@@ -660,10 +715,13 @@ class ChainBuilder:
 
     def __init__(self, p: Track, lookback: int = m.LOOKBACK):
         self.p, self.lookback = p, lookback
-        y, x = cells(p.lon, p.lat)
-        self.cell = list(zip(y.tolist(), x.tolist()))
         self.t, self.lon, self.lat = p.t.tolist(), p.lon.tolist(), p.lat.tolist()
 
+    @cached_property
+    def cell(self) -> list[tuple[int, int]]:
+        y, x = cells(self.p.lon, self.p.lat)
+        return list(zip(y.tolist(), x.tolist()))
+
     def key(self, i: int, j: int) -> tuple[int, int, int, int]:
         return self.cell[i] + self.cell[j]
 
@@ -817,21 +875,42 @@ def hot_spots(p: Track, chain: np.ndarray, penalty: np.ndarray) -> np.ndarray:
 
 def road_pairs(builder: ChainBuilder, chain: np.ndarray, memory: RoadMemory) -> list[tuple[int, int]]:
     """Pairs of points whose road distance is worth asking for."""
+    i, j, _ = asked_pairs(builder, chain, memory)
+    return list(zip(i.tolist(), j.tolist()))
+
+
+def asked_pairs(builder: ChainBuilder, chain: np.ndarray, memory: RoadMemory) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``road_pairs`` as arrays, with the pairs' distances: the steps, then those
+    around each hot point; of pairs of equal times the first."""
     p, last = builder.p, len(chain) - 1
-    wanted = list(zip(chain[:-1].tolist(), chain[1:].tolist()))
-    for k in hot_spots(p, chain, memory.penalty).tolist():
-        wanted += [(int(chain[max(0, k - s)]), int(chain[min(last, k + s)])) for s in m.HOT_STEPS]
-    out, seen = [], set()
-    for i, j in wanted:
-        key = (builder.t[i], builder.t[j])
-        if i >= j or key in seen or key in memory.asked or builder.key(i, j) in memory.bans:
-            continue
-        d, dt = p.to(i, j), (builder.t[j] - builder.t[i]) / US
-        if d < m.ROAD_LEAST_M or d < m.ROAD_SHORT_M and dt > 0 and d / dt * 3.6 <= m.ROAD_SHORT_KMH:
-            continue
-        seen.add(key)
-        out.append((i, j))
-    return out
+    hot = hot_spots(p, chain, memory.penalty)
+    found = []
+
+    def worth(i: np.ndarray, j: np.ndarray) -> None:
+        i, j = i[i < j], j[i < j]
+        d, dt = hav(p.lon[i], p.lat[i], p.lon[j], p.lat[j]), (p.t[j] - p.t[i]) / US
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ok = ~((d < m.ROAD_LEAST_M) | (d < m.ROAD_SHORT_M) & (dt > 0) & (d / dt * 3.6 <= m.ROAD_SHORT_KMH))
+        i, j, d = i[ok], j[ok], d[ok]
+        if memory.asked or memory.bans:
+            new = [(builder.t[a], builder.t[b]) not in memory.asked and builder.key(a, b) not in memory.bans for a, b in zip(i.tolist(), j.tolist())]
+            new = np.array(new, dtype=bool)
+            i, j, d = i[new], j[new], d[new]
+        found.append((i.astype(np.int32), j.astype(np.int32), d))
+
+    for a in range(0, last, BLOCK):
+        worth(chain[:-1][a : a + BLOCK], chain[1:][a : a + BLOCK])
+    steps = np.array(m.HOT_STEPS)
+    for a in range(0, len(hot), BLOCK):
+        at = hot[a : a + BLOCK, None]
+        worth(chain[np.maximum(at - steps, 0)].ravel(), chain[np.minimum(at + steps, last)].ravel())
+    i, j, d = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))
+    order = np.lexsort((p.t[j], p.t[i]))  # stable: of equal times the first comes first
+    t_a, t_b = p.t[i[order]], p.t[j[order]]
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = (t_a[1:] != t_a[:-1]) | (t_b[1:] != t_b[:-1])
+    keep = np.sort(order[first])
+    return i[keep], j[keep], d[keep]
 
 
 def check_road(builder: ChainBuilder, chain: np.ndarray, memory: RoadMemory, ask) -> int:

@@ -11,9 +11,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymill import model as m
+from waymill import queries
 from waymill.functions import geo
 from waymill.functions import kernels as k
 from waymill.operators import sequence as s
+from waymill.sources import codec
 
 
 def test_coordinate_keys_round_the_double_itself(spark):
@@ -139,3 +141,16 @@ def test_teleports_read_no_whole_track_for_each_jump(monkeypatch):
     monkeypatch.setattr(k.Track, "to", counted)
     k.remove_teleports(p, 20_000.0, 5000.0, 10_000.0)
     assert read[0] < 50 * n
+
+
+def test_round_trip_of_a_track_beyond_the_cap_of_tasks(spark):
+    """60,000 points came back as none: the round trip is of the wire form, not of a task."""
+    rows = spark.range(60_000).select(F.lit("a").alias("track_id"), F.col("id").cast("int").alias("seq"), (F.col("id") * s.US).alias("t_us"), (F.lit(37.0) + F.col("id") * 1e-5).alias("lon"), F.lit(55.0).alias("lat"))
+    made = rows.unionAll(rows.limit(3).withColumn("track_id", F.lit("b")))
+    got = {(r.track_id, r.n, r.last) for r in queries._round_trip(made).groupBy("track_id").agg(F.count("*").alias("n"), F.max_by("lon", "seq").alias("last")).collect()}
+    assert got == {("a", 60_000, 37.0 + 59_999 * 1e-5), ("b", 3, 37.0 + 2 * 1e-5)}
+
+
+def test_decoding_holds_columns():
+    route = codec.encode([(i * s.US, 0, 37.0 + i * 1e-5, 55.0) for i in range(50_000)])
+    assert _peak(lambda: codec.decode_columns(route)) < 250 * 50_000

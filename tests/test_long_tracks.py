@@ -154,3 +154,31 @@ def test_round_trip_of_a_track_beyond_the_cap_of_tasks(spark):
 def test_decoding_holds_columns():
     route = codec.encode([(i * s.US, 0, 37.0 + i * 1e-5, 55.0) for i in range(50_000)])
     assert _peak(lambda: codec.decode_columns(route)) < 250 * 50_000
+
+
+def test_places_are_dealt_out_in_blocks(monkeypatch):
+    """The same places as point by point, with points of equal distance; no call for each point."""
+
+    def plain(p):
+        centre, home = [], []
+        for i in range(len(p)):
+            d = k.hav(p.lon[centre], p.lat[centre], p.lon[i], p.lat[i]) if centre else np.zeros(0)
+            if not len(d) or not d.min() <= m.SPLIT_NEAR_M:
+                centre.append(i)
+                d = np.append(d, 0.0)
+            home.append(int(d.argmin()) if centre[-1] != i else len(centre) - 1)
+        return home, centre
+
+    rng = np.random.default_rng(6)
+    n = 2 * k.BLOCK + 77
+    apart = np.degrees(m.SPLIT_NEAR_M / m.EARTH_M)
+    p = k.Track(np.arange(n) * k.US, 37.0 + rng.integers(-40, 40, n) * apart / 4, 0.0 + rng.integers(-2, 3, n) * apart / 4)
+    home, centre = k.homes(p.lon, p.lat)
+    assert (home.tolist(), centre.tolist()) == plain(p) and len(centre) > 10
+    made = k.places(p, np.arange(n))
+    assert [x.centre for x in made] == centre.tolist() and [x.members for x in made] == [np.flatnonzero(home == x).tolist() for x in range(len(centre))]
+    assert k.places(p, []) == [] and [x.members for x in k.places(p, [7, 3])][0][0] == 7
+    calls, hav = [0], k.hav
+    monkeypatch.setattr(k, "hav", lambda *a: (calls.__setitem__(0, calls[0] + 1), hav(*a))[1])
+    k.homes(p.lon, p.lat)
+    assert calls[0] < n / 10

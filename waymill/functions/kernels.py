@@ -488,23 +488,40 @@ class Place:
 def places(p: Track, idx) -> list[Place]:
     """Assigns each point to its nearest centre within reach, or makes it one."""
     idx = np.asarray(idx, dtype=np.int64)
-    found: list[Place] = []
-    lon, lat = np.empty(len(idx)), np.empty(len(idx))
-    for i in idx.tolist():
-        n = len(found)
-        if n == 1:
-            near = hav1(lon[0], lat[0], p.lon[i], p.lat[i]) <= m.SPLIT_NEAR_M
-            k = 0
-        elif n:
-            d = hav(lon[:n], lat[:n], p.lon[i], p.lat[i])
-            k = int(d.argmin())
-            near = d[k] <= m.SPLIT_NEAR_M
-        if n and near:
-            found[k].members.append(i)
-            continue
-        lon[n], lat[n] = p.lon[i], p.lat[i]
-        found.append(Place(i))
-    return found
+    found, centre = homes(p.lon[idx], p.lat[idx])
+    out = [Place(int(i)) for i in idx[centre]]
+    order = np.argsort(found, kind="stable")
+    for place, own in zip(out, np.split(order, np.cumsum(np.bincount(found, minlength=len(centre)))[:-1])):
+        place.members = idx[own].tolist()
+    return out
+
+
+def homes(lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each point's place, and the places' centres as positions. Points are dealt out in
+    blocks to the centres so far; a block is gone through anew, against the new
+    centre alone, behind a point that lies within reach of none."""
+    home, centre = np.zeros(len(lon), np.int32), []
+    for a in range(0, len(lon), BLOCK):
+        x, y = lon[a : a + BLOCK], lat[a : a + BLOCK]
+        near, best = np.full(len(x), np.inf), np.zeros(len(x), np.int32)
+
+        def meet(n: int, at: int) -> None:
+            d = hav(lon[centre[n]], lat[centre[n]], x[at:], y[at:])
+            closer = d < near[at:]  # of equal distances the earlier centre's counts
+            near[at:][closer] = d[closer]
+            best[at:][closer] = n
+
+        for n in range(len(centre)):
+            meet(n, 0)
+        at = 0
+        while len(far := np.flatnonzero(~(near[at:] <= m.SPLIT_NEAR_M))[:1]):
+            at += int(far[0])
+            centre.append(a + at)
+            best[at], near[at] = len(centre) - 1, 0.0
+            meet(len(centre) - 1, at + 1)
+            at += 1
+        home[a : a + BLOCK] = best
+    return home, np.array(centre, dtype=np.int64)
 
 
 def returns(p: Track, idx, found: list[Place]) -> tuple[int, set[int]]:

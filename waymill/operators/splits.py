@@ -50,12 +50,8 @@ def placed(rows: DataFrame, group: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, ["track_id", group]):
-            p = k.Track(*(table.column(c).to_numpy() for c in ("t_us", "lon", "lat")))
-            place = np.zeros(len(p), np.int32)
-            centre = np.zeros(len(p), np.int64)
-            for n, found in enumerate(k.places(p, np.arange(len(p)))):
-                place[found.members], centre[found.members] = n, found.centre
-            at = pa.array(centre)
+            place, centre = k.homes(*(table.column(c).to_numpy() for c in ("lon", "lat")))
+            at = pa.array(centre[place])
             for name, column in (("place", pa.array(place)), *((f"c_{c}", table.column(c).take(at)) for c in ("seq", "lon", "lat"))):
                 table = table.append_column(name, column)
             yield from table.combine_chunks().to_batches()

@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymill import model as m
-from waymill import queries
+from waymill import queries, stream_queries
 from waymill.functions import geo
 from waymill.functions import kernels as k
 from waymill.operators import sequence as s
@@ -182,3 +182,10 @@ def test_places_are_dealt_out_in_blocks(monkeypatch):
     monkeypatch.setattr(k, "hav", lambda *a: (calls.__setitem__(0, calls[0] + 1), hav(*a))[1])
     k.homes(p.lon, p.lat)
     assert calls[0] < n / 10
+
+
+def test_stream_queries_take_tracks_beyond_the_cap_of_tasks(spark):
+    """60,000 points got a failed card, where the SQL has a done one."""
+    rows = spark.range(60_000).select(F.lit("a").alias("track_id"), F.col("id").cast("int").alias("seq"), (F.col("id") * 10 * s.US).alias("t_us"), F.lit(0).alias("tz_off_s"), (F.lit(37.0) + F.col("id") * 1e-4).alias("lon"), F.lit(55.0).alias("lat"))
+    cards, _ = stream_queries._twice(rows)
+    assert [(r.task_key, r.status, r.points_before) for r in cards.collect()] == [("a", "done", 60_000)]

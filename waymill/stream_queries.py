@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymill.plans.shared import shared_path
-from waymill.queries import ORACLES, _r, query
+from waymill.queries import ORACLES, WHOLE, _r, query
 from waymill.sources import codec
 from waymill.sources.events import VIEW_SQL
 from waymill.streaming import keyed, tasks, watch
@@ -20,7 +20,7 @@ def _twice(v: DataFrame, seen: watch.Watch | None = None) -> tuple[DataFrame, st
     name = ""
     for points in (v, v.where("seq % 2 = 0")):
         tasks.submit(codec.encode_tracks(points).withColumnRenamed("track_id", "task_key"), places[0])
-        stream = keyed.start(spark, *places, once=True)
+        stream = keyed.start(spark, *places, config=WHOLE, once=True)
         stream.awaitTermination()
         name = str(stream.id)
         if seen is not None:

@@ -189,3 +189,46 @@ def test_stream_queries_take_tracks_beyond_the_cap_of_tasks(spark):
     rows = spark.range(60_000).select(F.lit("a").alias("track_id"), F.col("id").cast("int").alias("seq"), (F.col("id") * 10 * s.US).alias("t_us"), F.lit(0).alias("tz_off_s"), (F.lit(37.0) + F.col("id") * 1e-4).alias("lon"), F.lit(55.0).alias("lat"))
     cards, _ = stream_queries._twice(rows)
     assert [(r.task_key, r.status, r.points_before) for r in cards.collect()] == [("a", "done", 60_000)]
+
+
+def test_a_chain_looks_up_few_bans_for_each_point():
+    """Whatever the look back: a point far off has no drivable predecessor among hundreds of heavy ones."""
+    rng = random.Random(7)
+    n, calls = 3000, [0]
+    t = np.arange(n) * 400_000
+    lon = 37.6 + np.arange(n) * 0.00004 + np.where(np.arange(n) % 9 == 4, 0.35, 0.0)
+    p = k.Track(t, lon, np.array([55.75 + rng.randrange(-3, 4) * 0.0002 for _ in range(n)]))
+    w = np.array([rng.choice([-300.0, -2.5, 0.5, 0.9, 1.0]) for _ in range(n)])
+
+    class Counted(k.ChainBuilder):
+        def key(self, i, j):
+            calls[0] += 1
+            return super().key(i, j)
+
+    b, bans = Counted(p), {}
+    for _ in range(400):
+        i = rng.randrange(n - 60)
+        bans[b.key(i, i + rng.randrange(1, 60))] = rng.choice([5.0, 20.0, 600.0])
+    calls[0] = 0
+    got = b.build(w, bans).tolist()
+    assert calls[0] < 12 * n
+    # the plain rule over numbered cells: of the drivable predecessors the heaviest, the nearest of equals
+    place = {c: q for q, c in enumerate(sorted(set(b.cell)))}
+    at, need = np.array([place[c] for c in b.cell]), np.zeros((len(place), len(place)))
+    for (ya, xa, yb, xb), s in bans.items():
+        need[place[ya, xa], place[yb, xb]] = s
+    best, prev, top = w.copy(), np.full(n, -1), [0]
+    for j in range(1, n):
+        i = np.arange(j - 1, max(0, j - 2000) - 1, -1)
+        if j > 2000:
+            i = np.append(i, top[j - 2001])
+        dt = (t[j] - t[i]) / 1e6
+        i = i[(best[i] > 0) & (dt >= need[at[i], at[j]]) & (p.to(j, i) <= 110 / 3.6 * dt + 300)]
+        if len(i):
+            prev[j] = i[int(best[i].argmax())]
+            best[j] = best[prev[j]] + w[j]
+        top.append(j if best[j] >= best[top[-1]] else top[-1])
+    want = [int(best.argmax())]
+    while prev[want[-1]] >= 0:
+        want.append(int(prev[want[-1]]))
+    assert got == want[::-1]

@@ -727,6 +727,19 @@ def build_weights(p: Track, snap: np.ndarray, trusted: np.ndarray, observed: np.
 Bans = dict[tuple[int, int, int, int], float]
 
 
+def _code(y, x):
+    """A cell as one number."""
+    return (y << 32) + x
+
+
+def _by_target(bans: Bans) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Bans by the code of the cell that they lead to: the cells they come from, sorted, and their needs."""
+    found: dict[int, list[tuple[int, float]]] = {}
+    for (ya, xa, yb, xb), need in bans.items():
+        found.setdefault(_code(int(yb), int(xb)), []).append((_code(int(ya), int(xa)), need))
+    return {cell: (np.array([c for c, _ in sorted(rows)], dtype=np.int64), np.array([n for _, n in sorted(rows)], dtype=np.float64)) for cell, rows in found.items()}
+
+
 class ChainBuilder:
     """The heaviest drivable chain of a track, for changing weights and bans."""
 
@@ -742,31 +755,55 @@ class ChainBuilder:
     def key(self, i: int, j: int) -> tuple[int, int, int, int]:
         return self.cell[i] + self.cell[j]
 
+    @cached_property
+    def place(self) -> np.ndarray:
+        """Points in space, in metres: a straight line there is no longer than ``hav``."""
+        a, b = np.radians(self.p.lat), np.radians(self.p.lon)
+        return m.EARTH_M * np.stack((np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)))
+
+    @cached_property
+    def code(self) -> np.ndarray:
+        y, x = cells(self.p.lon, self.p.lat)
+        return _code(y, x)
+
     def _drivable(self, i: int, j: int, bans: Bans) -> bool:
         dt = (self.t[j] - self.t[i]) / US
         if dt < 0 or bans and dt < bans.get(self.key(i, j), 0.0):
             return False
         return hav1(self.lon[i], self.lat[i], self.lon[j], self.lat[j]) <= m.CHAIN_KMH / 3.6 * dt + m.CHAIN_SLACK_M
 
-    def _heaviest(self, best: np.ndarray, lo: int, j: int, bans: Bans) -> int:
+    def _reachable(self, i: np.ndarray | slice, j: int, into: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Which of the points i may lead to j: all drivable ones, and such as miss by
+        little, as the line through space is shorter than the way over ground."""
+        dt = (self.t[j] - self.p.t[i]) / US
+        x, y, z = self.place
+        reach = m.CHAIN_KMH / 3.6 * dt + (m.CHAIN_SLACK_M + 0.01)
+        ok = ((x[i] - x[j]) ** 2 + (y[i] - y[j]) ** 2 + (z[i] - z[j]) ** 2 <= reach * reach) & (dt >= 0)
+        if into and (found := into.get(int(self.code[j]))):
+            source, need = found
+            code = self.code[i]
+            at = np.minimum(np.searchsorted(source, code), len(source) - 1)
+            ok &= (source[at] != code) | (dt >= need[at])
+        return ok
+
+    def _heaviest(self, best: np.ndarray, lo: int, j: int, bans: Bans, into: dict[int, tuple[np.ndarray, np.ndarray]]) -> int:
         """Of the drivable predecessors with positive sums the heaviest, the
         nearest of equals; -1 if there is none."""
         back = best[lo:j][::-1].copy()
-        for _ in range(6):  # the heaviest is nearly always drivable
+        tries = 0
+        while True:
             k = int(back.argmax())
             if not back[k] > 0:
                 return -1
             if self._drivable(j - 1 - k, j, bans):
                 return j - 1 - k
             back[k] = -np.inf
-        cand = np.flatnonzero(back > 0)
-        i = j - 1 - cand
-        p, dt = self.p, (self.t[j] - self.p.t[i]) / US
-        ok = (dt >= 0) & (p.to(j, i) <= m.CHAIN_KMH / 3.6 * dt + m.CHAIN_SLACK_M)
-        if bans:
-            ok &= np.array([d >= bans.get(self.key(a, j), 0.0) for a, d in zip(i.tolist(), dt.tolist())], dtype=bool)
-        cand = cand[ok]
-        return j - 1 - int(cand[back[cand].argmax()]) if len(cand) else -1
+            tries += 1
+            if tries == 2 and len(back) > 2 * m.CHAIN_FIRST:  # the heaviest is nearly always drivable, or one of the next
+                some = np.argpartition(back, -m.CHAIN_FIRST)[-m.CHAIN_FIRST :]
+                back[some[~self._reachable(j - 1 - some, j, into)]] = -np.inf
+            elif tries == 4:
+                back[~self._reachable(slice(lo, j), j, into)[::-1]] = -np.inf
 
     def build(self, w: np.ndarray, bans: Bans | None = None) -> np.ndarray:
         """Positions of the chain. Beyond ``lookback`` points only the heaviest
@@ -775,10 +812,10 @@ class ChainBuilder:
         if not n:
             return np.zeros(0, np.int64)
         best, came = np.array(w[:n], dtype=np.float64), np.full(n, -1)
-        top = np.zeros(n, dtype=np.int64)
+        top, into = np.zeros(n, dtype=np.int64), _by_target(bans)
         for j in range(1, n):
             lo = max(0, j - self.lookback)
-            i = self._heaviest(best, lo, j, bans)
+            i = self._heaviest(best, lo, j, bans, into)
             total = best[i] + w[j] if i >= 0 else w[j]
             if lo > 0:
                 far = int(top[lo - 1])

@@ -95,13 +95,19 @@ def road_questions(chain: DataFrame) -> DataFrame:
     w = s.order()
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     here = F.struct("seq", "t_us", "lon", "lat")
-    c = chain.withColumns({"at": F.row_number().over(w), "here": here})
-    ends = [F.struct(F.lit(0).alias("kind"), F.col("here").alias("a"), F.lead("here").over(w).alias("b"))]
+    c = chain.withColumns({"at": F.row_number().over(w), "here": here, "is_hot": (F.col("penalty") > 0) | F.col("hot")})
+    c = c.withColumns({"first": F.first("here").over(whole), "last": F.last("here").over(whole), "b0": F.lead("here").over(w)})
     for n, step in enumerate(m.HOT_STEPS):
-        back = F.coalesce(F.lag("here", step).over(w), F.first("here").over(whole))
-        ends.append(F.struct(F.lit(n + 1).alias("kind"), back.alias("a"), F.coalesce(F.lead("here", step).over(w), F.last("here").over(whole)).alias("b")))
-    q = c.withColumn("q", F.array(*ends)).select("track_id", "at", ((F.col("penalty") > 0) | F.col("hot")).alias("is_hot"), F.explode("q").alias("q"))
-    q = q.where("(q.kind = 0 or is_hot) and q.a.seq < q.b.seq")
+        c = c.withColumns({f"a{n + 1}": F.coalesce(F.lag("here", step).over(w), F.col("first")), f"b{n + 1}": F.coalesce(F.lead("here", step).over(w), F.col("last"))})
+
+    def end(kind: int) -> Column:
+        a, b = F.col(f"a{kind}" if kind else "here"), F.col(f"b{kind}")
+        # degrees along both axes are no less than the way: most pairs are left here, before rows and angles are made of them
+        far = (F.abs(a["lon"] - b["lon"]) + F.abs(a["lat"] - b["lat"])) * m.CELL_DEGREE_M >= m.ROAD_LEAST_M
+        return F.when(far & (F.col("is_hot") if kind else F.lit(True)), F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b")))
+
+    q = c.select("track_id", "at", F.explode(F.array(*(end(kind) for kind in range(len(m.HOT_STEPS) + 1)))).alias("q"))
+    q = q.where("q is not null").where("q.a.seq < q.b.seq")
     q = q.select("track_id", "at", F.col("q.kind").alias("kind"), *[F.col(f"q.{e}.{x}").alias(n) for e, names in (("a", ("i", "t_a", "a_lon", "a_lat")), ("b", ("j", "t_b", "b_lon", "b_lat"))) for x, n in zip(("seq", "t_us", "lon", "lat"), names)])
     metres = geo.haversine(F.col("a_lon"), F.col("a_lat"), F.col("b_lon"), F.col("b_lat"))
     q = q.where(_worth_asking(metres, (F.col("t_b") - F.col("t_a")) / US))

@@ -649,6 +649,57 @@ def test_tight_groups_that_link_less_closely(spark, monkeypatch):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == want
 
 
+def test_check_adds_links_that_the_search_lost(spark, monkeypatch):
+    nodes, _ = linked_nodes(spark, 400, 60, 0)
+    rows = [(r.node // 7919, "a", np.frombuffer(r.unit).tolist()) for r in nodes.collect()]
+    rows += [(900, *rows[3][1:])]  # a copy
+    gone = {np.array(rows[i][2]).round(6).tobytes() for i in (2, 3)}
+    verified = neighbours._verified
+
+    def lossy(threshold):
+        keeps = lambda e: np.frombuffer(e).round(6).tobytes() not in gone
+        return lambda batches: verified(threshold)(b.filter(pa.array([keeps(e) for e in b.column("a").to_pylist()])) for b in batches)
+
+    monkeypatch.setattr(neighbours, "_verified", lossy)
+    table = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+    want = {i: (1, i & ~1) if i < 120 else (0, i) for i in range(400)} | {2: (2, 2), 3: (2, 2), 900: (2, 2)}
+    report = {}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_duplicates(table, report=report).collect()}
+    assert report["short"] == 2 and report["added"] == 3
+    assert got == want
+    unchecked = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_duplicates(table, complete=False).collect()}
+    assert unchecked != want and all(unchecked[i] == want[i] for i in want if i not in (2, 3, 900))
+
+
+@pytest.mark.parametrize("panel,tile,spread", [(1 << 21, 1 << 21, 4), (24 * 40, 100, 1), (24 * 7, 1, 3)])
+def test_check_equals_brute_force(spark, monkeypatch, panel, tile, spread):
+    for name, value in (("PANEL", panel), ("TILE", tile), ("SPREAD", spread), ("SMALL", 16)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(12)
+    base = np.repeat(rng.normal(size=(40, 24)), 5, axis=0)
+    x = base + 0.25 * rng.normal(size=base.shape)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    off = x[0] - rng.normal(size=24)
+    off -= x[0] * (x[0] @ off)
+    off /= np.linalg.norm(off)
+    # a hair on either side of the threshold, which single precision can't tell
+    x[-2:] = [c * x[0] + np.sqrt(1 - c * c) * off for c in (0.93 - 1e-9, 0.93 + 1e-9)]
+    label, copies = ["a" if i % 3 or i > 197 or not i else "b" for i in range(200)], rng.integers(1, 4, size=200)
+    comp = [i // 5 * 5 if i % 2 else i for i in range(200)]
+    nodes = [(i * 7919, comp[i] * 7919, label[i], 24, int(copies[i]), x[i].tobytes()) for i in range(200)]
+    nodes += [(10**9 + i, 10**9 + i, "a", 2, 1, np.array([1.0, 0.0]).tobytes()) for i in range(3)]
+    members = spark.createDataFrame(nodes, "node long, component long, label string, dim int, copies long, unit binary")
+    link = [[i != j and label[i] == label[j] and bool(x[i] @ x[j] >= 0.93) for j in range(200)] for i in range(200)]
+    assert link[0][199] and not link[0][198] and sum(map(sum, link)) > 100
+    counts, across = neighbours.checked(members, Scratch(spark))
+    want = {i * 7919: n for i in range(200) if (n := int(sum(copies[j] for j in range(200) if link[i][j])))} | {10**9 + i: 2 for i in range(3)}
+    assert dict(map(tuple, counts.collect())) == want
+    got = [(u // 7919, v // 7919) for u, v in map(tuple, across.collect()) if u < 10**9]
+    assert all(link[i][j] for i, j in got)
+    apart = {frozenset((comp[i], comp[j])) for i in range(200) for j in range(i) if link[i][j] and comp[i] != comp[j]}
+    assert {frozenset((comp[i], comp[j])) for i, j in got} == apart
+
+
 # ---------------------------------------------------------------- pipeline
 
 

@@ -25,6 +25,14 @@ lower end below LOWEST, all lists are doubled and refined anew, twice; the run
 fails rather than return less. Where nothing is missed, but links are so rare
 that the sample can't tell more, the log says so.
 
+A search that passes its audit may still have lost a link here and there. So an
+exact check follows (``complete``): nodes of a label and length are dealt out to
+parts, every two parts are multiplied in single precision, and what is near the
+threshold is decided in double. It adds the links that were missed, to the counts
+and to the components. No list of links is made: a pair of parts gives one count a
+node and one link for two components. This costs a product for every two nodes
+of a label, spread over all tasks, and sends a vector once for every part.
+
 Rows: vectors that are null, zero or hold null or non-finite components, and
 rows with null label, link with nothing and are their own component; vectors of
 different lengths never link; repeated rows are linked rows of their own; a
@@ -60,6 +68,10 @@ AUDIT, AUDIT_STEPS, TARGET, LOWEST = 1024, 4, 0.95, 0.9
 Z = 1.96
 #: Balls compared with one another at a time.
 BALLS = 1024
+#: Values (nodes by length) of a part of the check, and the parts that smaller labels of at least so many nodes each are dealt out to.
+PANEL, SPREAD, SMALL = 1 << 21, 4, 256
+#: Similarities that the check computes at a time.
+TILE = 1 << 21
 #: Half precision may understate a link by this much; double precision decides.
 SLACK = 0.004
 
@@ -397,6 +409,69 @@ def bridges(members: DataFrame, scratch: Scratch, threshold: float = THRESHOLD)
     return dealt.mapInArrow(_met(threshold), "u long, v long")
 
 
+def _checked(threshold: float):
+    """Rows (label, dim, i, j, part, node, component, copies, unit) sorted by the
+    first four: for each node of the two parts, the copies it links with in the
+    other part (u, n), and a link (u, v) for every two components that have one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, ("label", "dim", "i", "j")):
+            dim, i, j, part, node, comp, copies = (t.column(x).to_numpy() for x in ("dim", "i", "j", "part", "node", "component", "copies"))
+            unit = _matrix(t.column("unit"))
+            b = _bounds(t.column("label").to_pylist(), dim, i, j)
+            for s, e in zip(b, b[1:]):
+                left = np.arange(s, e)[part[s:e] == i[s]]
+                right = left if i[s] == j[s] else np.arange(s, e)[part[s:e] == j[s]]
+                if not len(left) or not len(right):
+                    continue
+                x = np.vstack([unit[q] for q in left])
+                y = x if right is left else np.vstack([unit[q] for q in right])
+                x4, y4 = x.astype(np.float32), y.astype(np.float32)
+                unsure = float(dim[s] + 2) * 2.0**-22  # more than single precision can be off
+                counts, joined = np.zeros(e - s), {}
+                step = max(1, TILE // len(right))
+                for at in range(0, len(left), step):
+                    first = at if right is left else 0  # a part with itself: later ones only
+                    sims = x4[at : at + step] @ y4[first:].T
+                    hit = np.flatnonzero(sims >= threshold - unsure)
+                    p, q = np.divmod(hit, sims.shape[1])
+                    ok = sims.ravel()[hit] >= threshold + unsure
+                    p, q = p + at, q + first
+                    near = np.flatnonzero(~ok)
+                    ok[near] = [x[a] @ y[c] >= threshold for a, c in zip(p[near], q[near])]
+                    if right is left:
+                        ok &= q > p
+                    p, q = left[p[ok]], right[q[ok]]
+                    counts += np.bincount(p - s, copies[q], e - s) + np.bincount(q - s, copies[p], e - s)
+                    apart = comp[p] != comp[q]
+                    p, q = p[apart], q[apart]
+                    pairs, one = np.unique(np.sort(np.stack([comp[p], comp[q]], axis=1), axis=1), axis=0, return_index=True)
+                    for pair, k in zip(pairs.tolist(), one):
+                        joined.setdefault(tuple(pair), (node[p[k]], node[q[k]]))
+                linked = np.flatnonzero(counts)
+                us = np.concatenate([node[s + linked], np.array([u for u, _ in joined.values()], np.int64)])
+                vs = [None] * len(linked) + [int(v) for _, v in joined.values()]
+                ns = [int(n) for n in counts[linked]] + [None] * len(joined)
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(ns, pa.int64())], names=["u", "v", "n"])
+
+    return run
+
+
+def checked(members: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """By comparing all nodes of a label: (node, n), the rows that link with each
+    node that has links, its own copies left out, and (u, v), links between
+    components. ``members`` is (node, component, label, dim, copies, unit)."""
+    few = F.least(F.lit(SPREAD), F.ceil(F.count("*") / SMALL))
+    parts = members.groupBy("label", "dim").agg(F.greatest(F.ceil(F.count("*") * F.col("dim") / PANEL), few).cast("int").alias("parts"))
+    d = members.join(parts, ["label", "dim"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    d = d.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    d = d.select("label", "dim", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "node", "component", "copies", "unit")
+    d = d.repartition("label", "dim", "i", "j").sortWithinPartitions("label", "dim", "i", "j")
+    told = scratch.keep(d.mapInArrow(_checked(threshold), "u long, v long, n long"), "checked")
+    counts = told.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
+    return counts, told.where("v is not null").select("u", "v")
+
+
 @dataclass
 class Audit:
     """Recall over nodes with true links: estimate and lower end of its 95 %
@@ -481,10 +556,11 @@ def _true_links(nodes: DataFrame, held: pd.DataFrame, threshold: float) -> dict[
     return out
 
 
-def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEAREST, audit: int = AUDIT, report: dict | None = None, **columns) -> DataFrame:
+def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEAREST, audit: int = AUDIT, report: dict | None = None, complete: bool = True, **columns) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row. ``report`` receives
-    the audited recall (None without links), the links it was measured on and
-    the list length; they are logged too."""
+    the audited recall (None without links), the links it was measured on, the
+    list length and what the check added; they are logged too. Without ``complete``
+    the search isn't checked: for labels with too many rows to compare all pairs."""
     scratch = Scratch(rows.sparkSession)
     own = scratch.keep(vectors(rows, **columns), "vectors")
     unit = F.when(F.min("unit") == F.max("unit"), F.min("unit")).otherwise(F.raise_error(F.lit("two vectors share a hash")).cast("binary"))
@@ -532,6 +608,19 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEAR
         if attempt == 2:
             raise RuntimeError(f"recall {seen.recall:.3f} (at least {seen.low:.3f}) is below {TARGET} with lists of {k}")
         k *= 2
+    if complete:
+        placed = nodes.join(comps, nodes.node == comps.id, "left").select("node", F.coalesce("component", "node").alias("component"), "label", "dim", "copies", "unit")
+        true, across = checked(placed, scratch, threshold)
+        short = true.withColumnRenamed("n", "true_n").join(counts, "node", "left").where(F.col("true_n") > F.coalesce("n", F.lit(0)))
+        short = scratch.keep(short.select("node", F.col("true_n").alias("n"), (F.col("true_n") - F.coalesce("n", F.lit(0))).alias("added")), "short")
+        added = short.agg(F.count("*"), F.coalesce(F.sum("added"), F.lit(0))).first()
+        log.info("the check added %d links of %d nodes", added[1], added[0])
+        if report is not None:
+            report |= {"short": added[0], "added": added[1]}
+        if added[0]:
+            counts = counts.join(short, "node", "left_anti").unionAll(short.select("node", "n"))
+            if across.limit(1).count():
+                comps = connected_components(comps.select(F.col("id").alias("u"), F.col("component").alias("v")).unionAll(across), scratch)
     comps = scratch.keep(comps.union(comps.select(F.col("component").alias("id"), "component").distinct()), "components")
     named = nodes.select("node", "rep", "copies").join(comps, nodes.node == comps.id, "left").join(counts, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     low = named.groupBy("component").agg(F.min("rep").alias("low"))

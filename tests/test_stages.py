@@ -10,11 +10,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymill import model as m
+from waymill import queries as q
+from waymill import stage_queries
 from waymill.functions import kernels as k
+from waymill.operators import sequence as s
 from waymill.plans import engine, rounds, staged, weave
 from waymill.plans import track as one
 from waymill.plans.providers import FormulaProvider, HttpProvider, TableProvider
 from waymill.plans.roads import HttpRoads, Route, TableRoads, pair_key, point_key
+from waymill.sources.events import track_view
 
 POINT = "track_id string, seq int, t_us long, lon double, lat double"
 
@@ -107,6 +111,22 @@ def test_rounds_end_at_the_pass_cap(spark):
     assert any(r.cut_short for r in report.values())
 
 
+def test_registered_rounds_go_on_until_a_track_has_no_faults(spark, tmp_path):
+    e = spark.read.parquet("/root/testdata/sf0.1/events.parquet").where("event_id < 500").crossJoin(spark.range(3).withColumnRenamed("id", "copy"))
+    e = e.withColumns({"event_id": F.col("event_id") + F.col("copy") * 100_000, "ts": F.col("ts") + F.make_dt_interval(secs=F.col("copy"))}).drop("copy")
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.track_id: r for r in q.queries()["stage_rounds"](spark, str(tmp_path)).collect()}
+    v = s.weights(stage_queries._snapped_view(track_view(spark, str(tmp_path)))).orderBy("t_us", "seq").toPandas()
+    passes = []
+    for name, own in v.groupby("track_id"):
+        p, want, roads = k.Track(own.t_us, own.lon, own.lat), one.CoreReport(), KeyedRoads(FormulaProvider(1.3))
+        chain = one.pick(p, own.weight.to_numpy(), np.zeros(len(p), bool), lambda pairs: roads.pairs(p, pairs), want)
+        r = got.pop(name)
+        assert (r.kept, r.road_passes, r.loops, r.road_asked, r.road_banned) == (len(chain), want.road_passes, want.loops, want.road_asked, want.road_banned)
+        passes.append(want.road_passes)
+    assert not got and max(passes) > 2
+
+
 def test_rounds_without_roads_and_without_rows(spark):
     tracks = wandering(7, 3, 60)
     w, trusted = {n: np.ones(len(p)) for n, p in tracks.items()}, {n: np.zeros(len(p), bool) for n, p in tracks.items()}

@@ -342,6 +342,18 @@ def test_stream_end_to_end(spark, tmp_path):
     assert tasks.cards(spark, results).count() == 7
 
 
+def test_cards_are_made_in_one_pass(spark):
+    routes = [("a", codec.encode([(1_700_000_000_000_000 + i * k.US, 3600, 37 + i * 0.001, 55.0) for i in range(30)])), ("bad", "?"), ("none", codec.encode([])), ("one", codec.encode([(0, 0, 37.0, 55.0)])), ("null", None)]
+    made = tasks.solve(spark.createDataFrame(routes, "task_key string, route_compressed string"))
+    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow") == 1 and plan.count("FlatMapGroupsInArrow") == 1
+    got = {r.task_key: r for r in made.collect()}
+    assert {key: (r.status, r.error_kind) for key, r in got.items()} == {"a": ("done", None), "bad": ("failed", "invalid"), "none": ("failed", "too_few"), "one": ("failed", "unprocessable"), "null": ("failed", "invalid")}
+    kept = codec.decode(got["a"].route_compressed)
+    assert len(kept) == got["a"].points_after and kept[0] == (1_700_000_000_000_000, 3600, 37.0, 55.0) and got["a"].length_m > 0
+    assert got["bad"].length_m == 0 and got["bad"].degraded is False and got["bad"].warnings is None
+
+
 def test_expired_cards_are_purged(spark, tmp_path):
     queue, results, check = (str(tmp_path / x) for x in ("queue", "results", "check"))
     old, new = m.EngineConfig(ttl_s=-200_000), m.EngineConfig()

@@ -469,3 +469,40 @@ def test_large_inputs_stay_fast():
     k.ChainBuilder(k.Track(np.arange(n) * 5 * S, 37 + np.arange(n) * 1e-4, np.full(n, 55.0))).build((np.arange(n) % 7 - 3).astype(float))
     k.simplify(k.Track(np.arange(n), 37 + np.arange(n) * 1e-4, 55 + 0.01 * np.sin(np.arange(n))), 5)
     assert time.time() - began < 30
+
+
+def jittered(n):
+    """A way to the east with places at seven widths; it stands still by turns, and some points lie far ahead."""
+    rng, i = np.random.default_rng(3), np.arange(n)
+    run = n // 6
+    at = (i // run) * (run * 2 // 3) + np.minimum(i % run, run * 2 // 3)
+    return k.Track(i * S // 10, 37.6 + at * 3e-5 + np.where(rng.random(n) < 0.04, 0.35, 0.0), 55.75 + rng.integers(-3, 4, n) * 2e-4)
+
+
+@pytest.mark.parametrize("n", [900, 4000])
+def test_simplified_tracks_are_those_of_a_plain_division(n):
+    p = jittered(n)
+
+    def plain(a, b):
+        if b - a < 2:
+            return []
+        off = k.cross_track(p.lon[a + 1 : b], p.lat[a + 1 : b], p.lon[a], p.lat[a], p.lon[b], p.lat[b])
+        at = a + 1 + int(off.argmax())
+        return [*plain(a, at), at, *plain(at, b)] if off.max() > 5 else []
+
+    import sys
+
+    deep = sys.getrecursionlimit()
+    sys.setrecursionlimit(20_000)
+    try:
+        assert k.simplify(p, 5).tolist() == [0, *plain(0, n - 1), n - 1]
+    finally:
+        sys.setrecursionlimit(deep)
+
+
+def test_simplification_does_not_look_at_all_points_at_each_division(monkeypatch):
+    seen, real = [], k.cross_track
+    monkeypatch.setattr(k, "cross_track", lambda *a: seen.append(len(a[0])) or real(*a))
+    p = jittered(40_000)
+    assert len(k.simplify(p, 5)) > 4000
+    assert sum(seen) < 10 * len(p)

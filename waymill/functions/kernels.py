@@ -167,12 +167,116 @@ def collapse_stops(p: Track, metres: float = 50.0, points: int = 5) -> np.ndarra
     n = len(p)
     if points < 2 or n < points:
         return np.arange(n)
-    keep, i = [], 0
-    while i < n:
-        keep.append(i)
-        j = _reach(p, i, metres)
-        i = j if j - i >= points and j > i else i + 1
-    return np.array(keep)
+    # whether the next followers are near is told for a block of points at once; a run is walked from its first point alone
+    keep, i = np.zeros(n, dtype=bool), 0
+    for a in range(0, n, BLOCK):
+        b = min(a + BLOCK, n)
+        run = np.arange(a, b) < n - points
+        for d in range(1, points + 1):
+            at = a + np.flatnonzero(run)
+            run[at - a] = ~(hav(p.lon[at], p.lat[at], p.lon[at + d], p.lat[at + d]) >= metres)
+        for start in (a + np.flatnonzero(run)).tolist():
+            if start >= i:
+                keep[i : start + 1] = True
+                j = _reach(p, start, metres)
+                i = j if j - start >= points else start + 1
+        if i < b:
+            keep[i:b] = True
+            i = b
+    return indices(keep)
+
+
+class _Farthest:
+    """The point of a stretch that lies farthest off the line through the stretch's ends,
+    for many stretches of one track. ``cross_track`` decides, but only between points that
+    a plane through the line can't tell apart; whole blocks of points are skipped by their
+    boxes, and by holding nothing but places that the stretch has had before."""
+
+    #: Sines of equal points differ by far less, those that differ by more are in the order of ``cross_track``.
+    NEAR = 1e-11
+
+    def __init__(self, p: Track, size: int = 64):
+        self.p, self.size = p, size
+        a, b = np.radians(p.lat), np.radians(p.lon)
+        self.sines = np.sin(a), np.cos(a), np.sin(b), np.cos(b)
+        # axes east, north and up at the track's middle, where boxes lie close about their points
+        mid = (float(f(c.mean())) for c in (a, b) for f in (np.sin, np.cos))
+        self.axes = np.stack(self._axes(*mid))
+        self.at = np.stack((self.sines[1] * self.sines[3], self.sines[1] * self.sines[2], self.sines[0]), axis=1) @ self.axes.T
+        self.plain = not np.isfinite(self.at).all()
+        order = np.lexsort((p.lat, p.lon))
+        same = (p.lon[order[1:]] == p.lon[order[:-1]]) & (p.lat[order[1:]] == p.lat[order[:-1]])
+        #: The point before with the same place, -1 if there is none.
+        self.before = np.full(len(p), -1)
+        self.before[order[1:][same]] = order[:-1][same]
+        cut = np.arange(0, len(p), size)
+        low, high = np.minimum.reduceat(self.at, cut), np.maximum.reduceat(self.at, cut)
+        self.centre, self.half, self.new = (low + high) / 2, (high - low) / 2, np.minimum.reduceat(self.before, cut)
+
+    @staticmethod
+    def _axes(sa: float, ca: float, sb: float, cb: float) -> tuple[tuple[float, float, float], ...]:
+        """East, north and up, by sines and cosines of a place's latitude and longitude."""
+        return (-sb, cb, 0.0), (-sa * cb, -sa * sb, ca), (ca * cb, ca * sb, sa)
+
+    def _side(self, a: int, b: int) -> np.ndarray:
+        """The direction square to the line from a to b at a; the line's angle is that of ``azimuth``."""
+        sines = [c.item(a) for c in self.sines]
+        sa, ca, *_ = sines
+        sb, cb, d = self.sines[0].item(b), self.sines[1].item(b), np.radians(self.p.lon[b] - self.p.lon[a])
+        turn = float(np.arctan2(np.sin(d) * cb, ca * sb - sa * cb * np.cos(d)))
+        east, north, _ = self._axes(*sines)
+        x, y = cos(turn), sin(turn)
+        return self.axes @ np.array([x * e - y * n for e, n in zip(east, north)])
+
+    def _plain(self, a: int, b: int, metres: float) -> int:
+        p = self.p
+        off = cross_track(p.lon[a + 1 : b], p.lat[a + 1 : b], p.lon[a], p.lat[a], p.lon[b], p.lat[b])
+        k = int(off.argmax())
+        return a + 1 + k if off[k] > metres else -1
+
+    def _farthest(self, lo: int, hi: int, side: np.ndarray, least: float) -> tuple[float, np.ndarray | None]:
+        """The largest sine of points lo to hi - 1, and the points that come near it; none if it is below ``least``."""
+        if hi - lo <= 8 * self.size:
+            s = np.abs(self.at[lo:hi] @ side)
+            top = s.item(s.argmax())
+            return top, None if top < least else lo + (s >= top - self.NEAR).nonzero()[0]
+        size = self.size
+        a, b = -(-lo // size), hi // size
+        most = np.abs(self.centre[a:b] @ side) + self.half[a:b] @ np.abs(side)
+        most[self.new[a:b] >= lo] = -1.0
+        parts = [np.arange(lo, a * size), np.arange(b * size, hi)]
+        top, found = 0.0, []
+        while True:
+            own = np.concatenate(parts)
+            s = np.abs(self.at[own] @ side)
+            top = max(top, float(s.max())) if len(s) else top
+            found.append((own, s))
+            blocks = np.flatnonzero(most >= top - self.NEAR)
+            if not len(blocks):
+                break
+            if len(blocks) > 16:  # the highest boxes first: what they hold rules out most of the others
+                blocks = blocks[np.argpartition(most[blocks], -8)[-8:]]
+            most[blocks] = -1.0
+            parts = [((a + blocks)[:, None] * size + np.arange(size)).ravel()]
+        return top, np.sort(np.concatenate([own[s >= top - self.NEAR] for own, s in found]))
+
+    def beyond(self, a: int, b: int, metres: float) -> int:
+        """The first of the points between a and b that lie farthest off their line, -1 if that is ``metres`` at most."""
+        p = self.p
+        if self.plain:
+            return self._plain(a, b, metres)
+        least = sin(min(metres / m.EARTH_M, 1.0))
+        top, near = self._farthest(a + 1, b, self._side(a, b), least - self.NEAR)
+        if max(top, least) > 0.4:  # so far off the sine says little
+            return self._plain(a, b, metres)
+        if near is None or top < least - self.NEAR:
+            return -1
+        near = near[self.before[near] <= a]  # of equal places the first
+        if len(near) == 1 and top > least + self.NEAR:
+            return near.item(0)
+        off = cross_track(p.lon[near], p.lat[near], p.lon[a], p.lat[a], p.lon[b], p.lat[b])
+        k = int(off.argmax())
+        return int(near[k]) if off[k] > metres else -1
 
 
 def simplify(p: Track, metres: float = 5.0, must: np.ndarray | None = None) -> np.ndarray:
@@ -184,16 +288,15 @@ def simplify(p: Track, metres: float = 5.0, must: np.ndarray | None = None) -> n
     keep = np.zeros(n, dtype=bool) if must is None else np.asarray(must, dtype=bool).copy()
     keep[[0, -1]] = True
     anchors = indices(keep).tolist()
-    todo = list(zip(anchors, anchors[1:]))
+    todo, far = list(zip(anchors, anchors[1:])), _Farthest(p)
     while todo:
         a, b = todo.pop()
         if b - a < 2:
             continue
-        off = cross_track(p.lon[a + 1 : b], p.lat[a + 1 : b], p.lon[a], p.lat[a], p.lon[b], p.lat[b])
-        k = int(off.argmax())
-        if off[k] > metres:
-            keep[a + 1 + k] = True
-            todo += [(a, a + 1 + k), (a + 1 + k, b)]
+        k = far.beyond(a, b, metres)
+        if k >= 0:
+            keep[k] = True
+            todo += [(a, k), (k, b)]
     return indices(keep)
 
 

@@ -17,12 +17,13 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from waymill.model import EngineConfig
-from waymill.plans import engine
+from waymill.plans import engine, rounds
 from waymill.plans.providers import HttpProvider
 from waymill.plans.roads import HttpRoads
 from waymill.plans.shared import shared_path
@@ -108,17 +109,34 @@ def resolve_route(spark: SparkSession, route: str, roads=None, config: EngineCon
     return card | {"http_status": HTTP_STATUS.get(card["error_kind"], 500)}
 
 
+#: What a card says before its times are set.
+_MADE = CARD.split(", finished_at")[0]
+_ARROW_MADE = pa.schema([(c.split(" ")[0], {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}[c.split(" ")[1]]) for c in _MADE.split(", ")])
+
+
 def solve(tasks: DataFrame, roads=None, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """One CARD row per (task_key, route_compressed): decode, resolve, encode."""
-    decoded = codec.decode_routes(tasks, config=config)
-    bad = decoded.where("error_kind is not null").select("task_key", F.lit("failed").alias("status"), "error_kind", "error")
-    empty = decoded.where("size(points) = 0").select("task_key", F.lit("failed").alias("status"), F.lit("too_few").alias("error_kind"), F.lit("too few points after processing").alias("error"))
-    solved = engine.resolve(codec.exploded(decoded), roads, config).withColumnRenamed("track_id", "task_key")
-    routes = codec.encode_tracks(solved.where("status = 'done'").select(F.col("task_key").alias("track_id"), F.explode("points").alias("p")).select("track_id", "p.*"))
-    solved = solved.join(routes.withColumnRenamed("track_id", "task_key"), "task_key", "left").withColumnRenamed("length_after_m", "length_m")
-    solved = solved.withColumn("error_kind", F.when(F.col("status") == "failed", "unprocessable")).select(*[c for c in CARD_COLUMNS if c in solved.columns or c == "error_kind"])
-    out = solved.unionByName(bad.unionByName(empty), allowMissingColumns=True)
-    out = out.withColumns({"length_m": F.coalesce("length_m", F.lit(0.0)), "degraded": F.coalesce("degraded", F.lit(False)), "finished_at": F.current_timestamp()})
+    """One CARD row per (task_key, route_compressed): decode, resolve, encode. Unreadable
+    and empty routes go the same way as the others, so that no step is run twice."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        kind = table.column("error_kind")[0].as_py()
+        if kind is not None:
+            found = {"status": "failed", "error_kind": kind, "error": table.column("error")[0].as_py()}
+        elif table.column("seq")[0].as_py() is None:
+            found = {"status": "failed", "error_kind": "too_few", "error": "too few points after processing"}
+        else:
+            found = engine.solved(table.drop_columns(["error_kind", "error"]), roads, config)
+            found |= {"stages": json.dumps(found.get("stages") or []), "length_m": found.get("length_after_m")}
+            if found["status"] == "failed":
+                found["error_kind"] = "unprocessable"
+            else:
+                _, _, t_us, zone, lon, lat, *_ = found["points"]
+                found["route_compressed"] = codec.encode_columns(t_us, zone, lon, lat)
+        found |= {"task_key": key[0].as_py(), "length_m": found.get("length_m") or 0.0, "degraded": bool(found.get("degraded"))}
+        return pa.Table.from_pylist([{c: found.get(c) for c in _ARROW_MADE.names}], schema=_ARROW_MADE)
+
+    made = rounds.dealt(codec.decode_points(tasks, config=config)).groupBy("track_id").applyInArrow(run, _MADE)
+    out = made.withColumn("finished_at", F.current_timestamp())
     return out.withColumn("expires_at", F.col("finished_at") + F.make_dt_interval(secs=F.lit(config.ttl_s))).select(CARD_COLUMNS)
 
 

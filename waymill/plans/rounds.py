@@ -213,7 +213,8 @@ def pick(points: DataFrame, distances: Callable[[DataFrame], DataFrame] | None,
     tallies: list[DataFrame] = []
     told: list[dict] = []
     for number in range(passes):
-        chain = keep(chains(live, bans))
+        # dealt out once for all window rules: by its bytes a chain would be one task
+        chain = dealt(keep(chains(live, bans)))
         faults = chain_faults(chain)
         new_bans, open_asked = bans.limit(0), asked
         if distances is not None:
